@@ -10,6 +10,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,7 +56,7 @@ def let(value: Column, body) -> Column:
 def text_batches(batch: pa.RecordBatch, text_field: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of batch with at most limit bytes of text each (or one row), so that memory stays bounded."""
     col = batch.column(batch.schema.get_field_index(text_field))
-    size = np.frombuffer(pa.compute.binary_length(col).fill_null(0).cast(pa.int64()).to_numpy(zero_copy_only=False), dtype=np.int64)
+    size = pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False)
     start, total = 0, 0
     for i, n in enumerate(size):
         if total and total + n > limit:

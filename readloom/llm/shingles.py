@@ -97,9 +97,9 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, width: int = 5) -> list[n
         if b - a >= width:
             out.append(np.unique(rolled[a : b - width + 1].view(np.int64)))
         elif b > a:
-            whole = np.uint64(b - a)
-            for k in range(b - a):
-                whole = whole * m[1] + words[a + k]
+            whole = b - a
+            for w in words[a:b].tolist():
+                whole = (whole * _JOIN + w) % (1 << 64)
             out.append(mix(np.array([whole], np.uint64)).view(np.int64))
         else:
             out.append(np.zeros(0, np.int64))
