@@ -5,7 +5,7 @@ overlap of two texts is counted in each fragment by itself and summed per pair.
 
 What keeps it far from all pairs:
 
-1. Texts with equal n-gram sets form one class; only classes go on (copies are never paired).
+1. Texts with equal n-gram sets form one class (a node); copies are never paired.
 2. A class needs a share of the lowest part of its set to occur elsewhere too, and then of its
    whole set: links at the threshold are impossible otherwise. This drops nearly every text
    without a near copy, whatever passages it shares.
@@ -27,7 +27,7 @@ from pyspark.sql.window import Window
 
 from readloom.llm.components import components
 from readloom.llm.runtime import bitmap_has, checkpointed, key_bitmap, ship_code, text_batches, utf8_buffer
-from readloom.llm.shingles import shingle_sets
+from readloom.llm.shingles import mix, shingle_sets
 
 #: Similarity in hundredths at which two texts link.
 THRESHOLD = 80
@@ -35,6 +35,9 @@ THRESHOLD = 80
 WIDTH = 5
 #: Fragments of the global n-gram order.
 FRAGMENTS = 8
+#: Besides the least part that linked sets must share a gram of, one SPARE-th of a set is looked at:
+#: then that many of its grams must be shared.
+SPARE = 10
 #: Rounds of comparisons with pivots before the rest is compared in full.
 PIVOT_ROUNDS = 3
 
@@ -44,45 +47,61 @@ def _least_overlap(n, threshold: int):
     return -((-n * threshold) // 100)
 
 
-def _signature(sets: np.ndarray) -> tuple[int, int]:
-    """Two 64-bit digests of a sorted set."""
-    x = sets.view(np.uint64)
-    a = np.bitwise_xor.reduce(x * np.uint64(0x9E3779B97F4A7C15)) if len(x) else np.uint64(0)
-    b = np.add.reduce((x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) if len(x) else np.uint64(0)
-    return int(np.uint64(a).view(np.int64)), int(np.uint64(b).view(np.int64))
+def _signature(grams: np.ndarray) -> int:
+    """A 64-bit digest of a sorted set; 0 stands for the empty set."""
+    if not len(grams):
+        return 0
+    x = grams.view(np.uint64)
+    parts = np.array([np.bitwise_xor.reduce(x * np.uint64(0x9E3779B97F4A7C15)), np.add.reduce(mix(x)), len(x)], np.uint64)
+    return int(mix(mix(mix(parts[:1]) + parts[1:2]) + parts[2:]).view(np.int64)[0]) or 1
 
 
-def _heads(threshold: int, width: int):
-    """Arrow function: set size, digests and the lowest part of each text's set."""
+#: Sets that a task remembers, so that copies which meet in it are sent on once.
+SEEN = 1 << 16
+
+
+def _batches_of_sets(batches: Iterator[pa.RecordBatch], width: int):
+    for whole in batches:
+        for batch in text_batches(whole, "text"):
+            sets = shingle_sets(*utf8_buffer(batch.column("text")), width)
+            yield batch, sets, np.array([_signature(s) for s in sets], np.int64)
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, arrays)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays) if arrays else np.zeros(0, np.int64)))
+
+
+def _nodes(width: int):
+    """Arrow function: size and digest of each text's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in text_batches(whole, "text"):
-                raw, off = utf8_buffer(batch.column("text"))
-                sets = shingle_sets(raw, off, width)
-                n = [len(s) for s in sets]
-                signs = [_signature(s) for s in sets]
-                head = [s[: k - _least_overlap(k, threshold) + k // 10 + 1] for s, k in zip(sets, n)]
-                ends = np.cumsum([0, *map(len, head)], dtype=np.int32)
-                values = np.concatenate(head) if head else np.zeros(0, np.int64)
-                yield pa.record_batch(
-                    [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array([a for a, _ in signs], pa.int64()), pa.array([b for _, b in signs], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))],
-                    ["doc_id", "n", "sign_a", "sign_b", "head"],
-                )
+        for batch, sets, nodes in _batches_of_sets(batches, width):
+            yield pa.record_batch([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes)], ["doc_id", "n", "node"])
 
     return run
 
 
-def _full_sets(bitmap, width: int):
-    """Arrow function: the whole sets of the rows whose key may be in the broadcast bitmap."""
+def _grams(width: int, threshold: int, bitmap=None):
+    """Arrow function: (node, grams) once for each set that the task meets.
+
+    Without bitmap the lowest part of each set; with it, the whole sets of nodes that may be in it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            rows = whole.filter(pa.array(bitmap_has(bitmap.value, whole.column("slot").to_numpy(zero_copy_only=False))))
-            for batch in text_batches(rows, "text"):
-                sets = shingle_sets(*utf8_buffer(batch.column("text")), width)
-                ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
-                yield pa.record_batch([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))], ["doc_id", "grams"])
+        seen: set[int] = set()
+        for _, sets, nodes in _batches_of_sets(batches, width):
+            wanted = nodes != 0 if bitmap is None else (nodes != 0) & bitmap_has(bitmap.value, nodes)
+            rows = []
+            for i in np.flatnonzero(wanted).tolist():
+                if int(nodes[i]) not in seen:
+                    if len(seen) >= SEEN:
+                        seen.clear()
+                    seen.add(int(nodes[i]))
+                    rows.append(i)
+            n = {i: len(sets[i]) for i in rows}
+            parts = [sets[i] if bitmap is not None else sets[i][: n[i] - _least_overlap(n[i], threshold) + n[i] // SPARE + 1] for i in rows]
+            yield pa.record_batch([pa.array(nodes[rows] if rows else np.zeros(0, np.int64)), _lists(parts)], ["node", "grams"])
 
     return run
 
@@ -120,51 +139,50 @@ def ngram_jaccard_components(docs: DataFrame, threshold: int = THRESHOLD, width:
 
     A text's set: distinct shingles of width words ([^\\x20\\x09-\\x0D]+, A-Z lower-cased); fewer words are one
     shingle. Two texts link when 100 * intersection >= threshold * union. component_id: the smallest
-    doc_id that links reach. Shingles are compared by 64-bit hashes.
+    doc_id that links reach. Shingles, and sets as wholes, are compared by 64-bit hashes.
 
     Null and empty texts have no shingles and link with nothing (component_id is the own doc_id).
-    Rows without doc_id link with equal texts only; their component_id is that of those, or null.
+    Rows without doc_id take part; a component's id is the smallest that is not null, or null.
     Repeated rows come back as often as they came in. An empty table gives an empty table.
     """
     spark = docs.sparkSession
     ship_code(spark)
-    base = docs.select("doc_id", "text")
-    heads = checkpointed(base.mapInArrow(_heads(threshold, width), "doc_id long, n long, sign_a long, sign_b long, head array<bigint>"))
-
-    keys = ["n", "sign_a", "sign_b"]
-    classes = heads.where("n > 0").groupBy(*keys).agg(F.min("doc_id").alias("first_id"))
-    node = F.coalesce("first_id", F.col("sign_a").bitwiseOR(F.lit(-(1 << 63))))
-    classes = checkpointed(classes.select(*keys, "first_id", node.alias("node")))
+    texts = docs.select("text")
+    rows = checkpointed(docs.select("doc_id", "text").mapInArrow(_nodes(width), "doc_id long, n long, node long"))
+    classes = checkpointed(rows.where("node <> 0").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n")))
 
     # Classes whose set has enough n-grams, in its lowest part, that another class has too.
-    one_each = classes.where("first_id is not null").select("node", *keys)
-    lone = heads.where("n > 0").join(one_each, keys).where("doc_id = node").dropDuplicates(["node"])
-    shared = lone.select("node", "n", F.explode("head").alias("gram")).withColumn("holders", F.count("*").over(Window.partitionBy("gram"))).where("holders > 1")
-    enough = shared.groupBy("node").agg(F.count("*").alias("common"), F.first("n").alias("n")).where("common > floor(n / 10)")
-    alive = checkpointed(enough.select("node", "n"))
+    heads = texts.mapInArrow(_grams(width, threshold), "node long, grams array<bigint>").select("node", F.explode("grams").alias("gram"))
+    common = _shared_grams(heads).groupBy("node").agg(F.count("*").alias("common"))
+    alive = checkpointed(common.join(classes, "node").where(F.col("common") > F.floor(F.col("n") / SPARE)).select("node", "n"))
 
     # Their whole sets; then those with at least threshold hundredths of it in common with others.
     bitmap = spark.sparkContext.broadcast(key_bitmap(alive, "node"))
-    grams = base.select("doc_id", "text", F.xxhash64("doc_id").alias("slot")).mapInArrow(_full_sets(bitmap, width), "doc_id long, grams array<bigint>")
-    full = checkpointed(grams.join(alive, F.col("doc_id") == F.col("node")).dropDuplicates(["node"]).select("node", "n", "grams"))
-    held = full.select("node", "n", F.explode("grams").alias("gram")).withColumn("holders", F.count("*").over(Window.partitionBy("gram"))).where("holders > 1")
-    ordered = held.groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("holders", "gram"))).alias("ranked")).where(F.size("ranked") * 100 >= F.col("n") * threshold)
-    near = checkpointed(ordered.select("node", "n", F.transform("ranked", lambda x: x.gram).alias("grams")))
+    full = texts.mapInArrow(_grams(width, threshold, bitmap), "node long, grams array<bigint>").join(alive, "node")
+    full = checkpointed(full.dropDuplicates(["node"]).select("node", "grams"))
+    held = _shared_grams(full.select("node", F.explode("grams").alias("gram")))
+    ranked = held.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("holders", "gram"))).alias("ranked"))
+    ranked = ranked.join(alive, "node").where(F.size("ranked") * 100 >= F.col("n") * threshold)
+    near = checkpointed(ranked.select("node", "n", F.transform("ranked", lambda x: x.gram).alias("grams")))
 
     sizes = near.select("node", "n")
     prefix = F.slice("grams", F.lit(1), F.greatest(F.lit(0), F.size("grams") - F.ceil(F.col("n") * threshold / 100) + 1).cast("int"))
     lists = checkpointed(near.select("node", "n", (F.size("grams") / F.col("n")).alias("share"), F.explode(prefix).alias("gram")))
     links = _link_lists(lists, near, sizes, threshold)
-    labels = components(links)
-
-    full_classes = classes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = full_classes.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = full_classes.join(least, "component").select(*keys, "component_id")
-    return (
-        heads.select("doc_id", *keys)
-        .join(named, keys, "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-    )
+
+    grouped = classes.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = grouped.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    named = grouped.join(least, "component").select("node", "component_id")
+    return rows.join(named, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def _shared_grams(held: DataFrame) -> DataFrame:
+    """node, gram, holders: the distinct pairs of held whose gram more than one node holds. One shuffle, by gram."""
+    same = Window.partitionBy("gram")
+    in_order = same.orderBy("node")
+    new = ~F.col("node").eqNullSafe(F.lag("node").over(in_order))
+    marked = held.withColumn("new", new).withColumn("holders", F.sum(F.col("new").cast("int")).over(same))
+    return marked.where("new and holders > 1").select("node", "gram", "holders")
 
 
 def _link_lists(lists: DataFrame, sets: DataFrame, sizes: DataFrame, threshold: int) -> DataFrame:

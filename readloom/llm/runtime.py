@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import zipfile
@@ -31,7 +32,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and sc.getCheckpointDir() is None:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="readloom-checkpoint-"))
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    # Spark deletes the shuffle files of plans that the driver has collected as garbage
+    del df
+    gc.collect()
+    sc._jvm.System.gc()
+    return out
 
 
 def ship_code(spark: SparkSession) -> None:
@@ -86,11 +92,11 @@ BITMAP_BITS = 25
 
 
 def key_bitmap(keys: DataFrame, column: str) -> np.ndarray:
-    """A bitmap of fixed size with the hashes of all keys: a filter without false negatives.
+    """A bitmap of fixed size with the low bits of all keys (hashes): a filter without false negatives.
 
     A full bitmap lets everything pass, so whoever uses it follows with an exact join.
     """
-    slot = F.pmod(F.xxhash64(F.col(column)), F.lit(1 << BITMAP_BITS))
+    slot = F.pmod(F.col(column), F.lit(1 << BITMAP_BITS))
     words = (
         keys.select(slot.alias("slot"))
         .groupBy(F.shiftright("slot", 15).alias("page"))
@@ -102,7 +108,7 @@ def key_bitmap(keys: DataFrame, column: str) -> np.ndarray:
     return out
 
 
-def bitmap_has(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Which xxhash64 values may be in the bitmap."""
-    slot = hashes.astype(np.int64) & ((1 << BITMAP_BITS) - 1)
+def bitmap_has(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which keys (64-bit hashes) may be in the bitmap."""
+    slot = keys.astype(np.int64) & ((1 << BITMAP_BITS) - 1)
     return (bitmap[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
