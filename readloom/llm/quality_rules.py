@@ -180,7 +180,7 @@ twice AS (SELECT rid, p FROM (SELECT rid, p, count(*) OVER (PARTITION BY rid, gr
 cover AS (SELECT rid, count(DISTINCT q) AS n FROM (SELECT rid, unnest(range(p, p + {WINDOW})) AS q FROM twice) GROUP BY rid),
 lines AS (SELECT rid, count(*) AS n, count(DISTINCT x) AS d FROM (SELECT rid, unnest(string_split(text, chr(10))) AS x FROM w) WHERE regexp_matches(x, '{words}') GROUP BY rid),
 f AS (SELECT w.doc_id, CASE WHEN known THEN lang ELSE '{OTHER}' END AS stratum, CAST(len(words) AS BIGINT) AS n_words,
-    CAST(coalesce(list_sum(list_transform(words, x -> length(x))), 0) AS BIGINT) AS word_chars,
+    CAST(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
     CAST(len(regexp_extract_all(text, '{SYMBOLS}')) AS BIGINT) AS n_symbols, coalesce(l.n - l.d, 0) AS n_dup_lines, coalesce(l.n, 0) AS n_lines, coalesce(c.n, 0) AS n_repeat_words
   FROM w LEFT JOIN cover c USING (rid) LEFT JOIN lines l USING (rid)),
 b AS (SELECT *, n_words < {MIN_WORDS} OR n_repeat_words * 100 > n_words * {MAX_REPEAT_PERCENT} AS base_failed FROM f),

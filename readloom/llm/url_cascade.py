@@ -1,10 +1,11 @@
 """URL rules and an exact host list as a cascade of Bloom filters (DataFrame functions only).
 
-The universe holds every domain (host and parents) of the corpus. Level 1 encodes the listed ones;
-level 2 those of the rest that level 1 lets through by mistake; level 3 the listed ones that level 2
-lets through, and so on until none are. A domain is listed if the first level that refuses it is
-an even one (or the last level that holds it is odd). Over the universe this is exact, and the
-urls are judged without a join: the filters come in as scalar subqueries of one row.
+The universe holds every host of the corpus; listed are those on the list or below a domain on it.
+Level 1 encodes the listed hosts; level 2 those of the rest that level 1 lets through by mistake;
+level 3 the listed ones that level 2 lets through, and so on until none are. A host is listed if
+the first level that refuses it is an even one (or if none does and the last is odd). Over the
+universe this is exact, and the urls are judged without a join: the filters come in as scalar
+subqueries of one row.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org
 LISTED = ("casino-win.example.org", "cheap-pills.example.com", "spam-farm.example.org", "malware-drop.example.net", "phish-bank.example.com")
 HASHES = 5
 BITS_PER_KEY = 8
-#: At most 1 MB of filter for a level; longer lists are judged by a join with the distinct domains.
+#: At most 1 MB of filter for a level; more listed hosts are looked up by a join.
 MAX_BITS = 1 << 23
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -110,21 +111,21 @@ def url_verdicts(pages: DataFrame, listed: DataFrame | None = None, rules=RULES)
     verdict: the longest fitting rule's, else 'block' if the host or a parent domain is listed, else
     'allow'. Null urls and urls without '://' have empty host and path, fit no rule and are allowed.
     Repeated rows come back as often as they came in. listed: a table with column key, by default
-    LISTED. Lists whose filter would exceed MAX_BITS are looked up by a join instead.
+    LISTED. Where a filter would exceed MAX_BITS,
+    hosts are looked up by a join instead.
     """
     spark = pages.sparkSession
     if listed is None:
         listed = spark.range(1).select(F.explode(F.array(*map(F.lit, LISTED))).alias("key"))
     host, path = url_parts(F.col("url"))
     parsed = pages.select("page_id", host.alias("host"), path.alias("path"))
-    hosts = pages.select(host.alias("host")).distinct()
-    universe = hosts.select(F.explode(domains_of(F.col("host"))).alias("key")).distinct()
-    cascade = Cascade(universe, listed)
+    hosts = checkpointed(pages.select(host.alias("key")).distinct())
+    bad = hosts.select("key", F.explode(domains_of(F.col("key"))).alias("domain")).join(listed.select(F.col("key").alias("domain")), "domain", "left_semi").select("key").distinct()
+    cascade = Cascade(hosts, bad)
     if cascade.fits:
-        judged = parsed.withColumn("listed", F.exists(domains_of(F.col("host")), cascade.contains))
+        judged = parsed.withColumn("listed", cascade.contains(F.col("host")))
     else:
-        bad = hosts.select("host", F.explode(domains_of(F.col("host"))).alias("key")).join(cascade.listed, "key", "left_semi").select("host").distinct()
-        judged = parsed.join(bad.withColumn("listed", F.lit(True)), "host", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
+        judged = parsed.join(cascade.listed.select(F.col("key").alias("host"), F.lit(True).alias("listed")), "host", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
     return judged.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"), "listed")
 
