@@ -11,8 +11,9 @@ What keeps it far from all pairs:
    without a near copy, whatever passages it shares.
 3. Classes that share an n-gram of their rare-first prefixes are compared with one pivot of that
    n-gram, in a few rounds; linked ones merge. What is left are pairs of different components
-   under one prefix n-gram, and all of those are compared. So no link between components is
-   lost, and a group of k near copies costs about k comparisons, not k^2.
+   under one prefix n-gram. All of those that their overlaps with the pivot don't rule out are
+   compared. So no link between components is lost, and a group of k near copies costs about k
+   comparisons, not k^2.
 """
 
 from __future__ import annotations
@@ -129,9 +130,14 @@ def _linked(pairs: DataFrame, sets: DataFrame, sizes: DataFrame, threshold: int)
     return found.where(F.col("shared") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("shared")) * threshold).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def _may_link(n_a: Column, n_b: Column, threshold: int) -> Column:
-    """Set sizes alone don't rule the link out."""
-    return (F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * threshold)
+def _may_link(threshold: int) -> Column:
+    """Sets a and b of n grams, c of them held by others too, can still link: neither their sizes nor their common grams rule it out.
+
+    The intersection is at most the lesser c, and threshold hundredths of the union need it to be at
+    least threshold / (100 + threshold) of n_a + n_b.
+    """
+    sizes = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * threshold
+    return sizes & (F.least("c_a", "c_b") * (100 + threshold) >= (F.col("n_a") + F.col("n_b")) * threshold)
 
 
 def ngram_jaccard_components(docs: DataFrame, threshold: int = THRESHOLD, width: int = WIDTH) -> DataFrame:
@@ -167,10 +173,10 @@ def ngram_jaccard_components(docs: DataFrame, threshold: int = THRESHOLD, width:
 
     sizes = near.select("node", "n")
     prefix = F.slice("grams", F.lit(1), F.greatest(F.lit(0), F.size("grams") - F.ceil(F.col("n") * threshold / 100) + 1).cast("int"))
-    lists = checkpointed(near.select("node", "n", (F.size("grams") / F.col("n")).alias("share"), F.explode(prefix).alias("gram")))
-    links = _link_lists(lists, near, sizes, threshold)
+    lists = checkpointed(near.select("node", "n", F.size("grams").alias("c"), F.explode(prefix).alias("gram")))
+    labels = _merged_lists(lists, near, sizes, threshold)
 
-    grouped = classes.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    grouped = classes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = grouped.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = grouped.join(least, "component").select("node", "component_id")
     return rows.join(named, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
@@ -185,28 +191,26 @@ def _shared_grams(held: DataFrame) -> DataFrame:
     return marked.where("new and holders > 1").select("node", "gram", "holders")
 
 
-def _link_lists(lists: DataFrame, sets: DataFrame, sizes: DataFrame, threshold: int) -> DataFrame:
-    """Links that join everything that can be joined, among the nodes that share a prefix n-gram."""
-    links = tried = None
+def _merged_lists(lists: DataFrame, sets: DataFrame, sizes: DataFrame, threshold: int) -> DataFrame:
+    """(node, component) of the nodes that have links, by comparisons among the nodes that share a prefix n-gram."""
+    labels = links = tried = None
     turn = 0
     while turn <= PIVOT_ROUNDS:
-        if links is None:
-            now = lists.withColumn("component", F.col("node"))
-        else:
-            now = lists.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        now = lists.withColumn("component", F.col("node")) if labels is None else lists.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
         # n-grams under which more than one component is left
         open_grams = now.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("gram")
         now = checkpointed(now.join(open_grams, "gram"))
-        if now.isEmpty():
-            break
-        pairs = _pivot_pairs(now, turn, threshold) if turn < PIVOT_ROUNDS else _open_pairs(now, threshold)
+        pairs = _pivot_pairs(now, turn, threshold) if turn < PIVOT_ROUNDS else _open_pairs(now, sets, threshold)
         pairs = checkpointed(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         found = checkpointed(_linked(pairs, sets, sizes, threshold))
         # without a new link the components stay, and only the full comparison can tell more
-        turn = PIVOT_ROUNDS if turn < PIVOT_ROUNDS and found.isEmpty() else turn + 1
+        fresh = not found.isEmpty()
+        turn = PIVOT_ROUNDS if turn < PIVOT_ROUNDS and not fresh else turn + 1
         tried = pairs if tried is None else tried.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
-    return links if links is not None else lists.sparkSession.createDataFrame([], "u long, v long")
+        if fresh:
+            links = found if links is None else links.unionByName(found)
+            labels = checkpointed(components(links))
+    return labels if labels is not None else sizes.sparkSession.createDataFrame([], "node long, component long")
 
 
 def _pivot_pairs(now: DataFrame, turn: int, threshold: int) -> DataFrame:
@@ -215,21 +219,45 @@ def _pivot_pairs(now: DataFrame, turn: int, threshold: int) -> DataFrame:
     At first the pivot is the most central node (most of its set is held by others too); later it
     is that of the largest component but one.
     """
-    per = now.groupBy("gram", "component").agg(F.count("*").alias("members"), F.max(F.struct("share", (-F.col("node")).alias("back"), "n")).alias("best"))
+    best = F.max(F.struct((F.col("c") / F.col("n")).alias("share"), (-F.col("node")).alias("back"), "n", "c"))
+    per = now.groupBy("gram", "component").agg(F.count("*").alias("members"), best.alias("best"))
     rank = F.struct("best") if turn == 0 else F.struct("members", "best")
     top = per.groupBy("gram").agg(F.max_by(F.struct("component", "best"), rank).alias("top"))
     if turn:
         per = per.join(top, "gram").where(F.col("component") != F.col("top.component")).drop("top")
         top = per.groupBy("gram").agg(F.max_by(F.struct("component", "best"), rank).alias("top"))
-    pivot = top.select("gram", F.col("top.component").alias("other"), (-F.col("top.best.back")).alias("pivot"), F.col("top.best.n").alias("n_pivot"))
-    pairs = now.join(pivot, "gram").where((F.col("component") != F.col("other")) & _may_link(F.col("n"), F.col("n_pivot"), threshold))
+    pivot = top.select("gram", F.col("top.component").alias("other"), (-F.col("top.best.back")).alias("pivot"), F.col("top.best.n").alias("n_b"), F.col("top.best.c").alias("c_b"))
+    rows = now.select("gram", "component", "node", F.col("n").alias("n_a"), F.col("c").alias("c_a"))
+    pairs = rows.join(pivot, "gram").where((F.col("component") != F.col("other")) & _may_link(threshold))
     return pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
 
 
-def _open_pairs(now: DataFrame, threshold: int) -> DataFrame:
-    """Under each n-gram, all pairs of nodes of different components whose sizes fit."""
-    apart = now.select("gram", "component").distinct()
-    ways = apart.join(apart.select("gram", F.col("component").alias("other")), "gram").where("component < other")
-    one = ways.join(now.select("gram", "component", F.col("node").alias("a"), F.col("n").alias("n_a")), ["gram", "component"])
-    two = one.join(now.select("gram", F.col("component").alias("other"), F.col("node").alias("b"), F.col("n").alias("n_b")), ["gram", "other"])
-    return two.where(_may_link(F.col("n_a"), F.col("n_b"), threshold)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _open_pairs(now: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """All pairs of nodes of different components, under one n-gram, that can still link.
+
+    What a and b share lies in the n-gram's pivot or outside it: their intersection is at most the
+    lesser of their overlaps with the pivot, plus the n-grams outside the pivot that both hold. So
+    a pair either fits by its overlaps with the pivot (tried on classes of nodes of equal component,
+    size and overlap), or holds common n-grams outside it (found by an index of those only).
+    """
+    rank = F.struct((F.col("c") / F.col("n")).alias("share"), (-F.col("node")).alias("back"))
+    pivots = now.groupBy("gram").agg((-F.max(rank)["back"]).alias("pivot"))
+    member = checkpointed(now.join(pivots, "gram").select("pivot", "node", "component", "n").distinct())
+    shared = overlaps(member.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")), sets)
+    o = F.when(F.col("node") == F.col("pivot"), F.col("n")).otherwise(F.coalesce("shared", F.lit(0)))
+    member = checkpointed(member.join(shared.select(F.col("a").alias("node"), F.col("b").alias("pivot"), "shared"), ["node", "pivot"], "left").select("pivot", "node", "component", "n", o.alias("o")))
+
+    def other(df: DataFrame) -> DataFrame:
+        return df.withColumnsRenamed({"node": "node_b", "component": "component_b", "n": "n_b", "o": "o_b"})
+
+    fits = lambda extra: (F.least("o", "o_b") + extra) * (100 + threshold) >= (F.col("n") + F.col("n_b")) * threshold
+    kinds = member.select("pivot", "component", "n", "o").distinct()
+    ways = kinds.join(other(kinds), "pivot").where((F.col("component") < F.col("component_b")) & fits(0))
+    by_pivot = ways.join(member, ["pivot", "component", "n", "o"]).join(other(member), ["pivot", "component_b", "n_b", "o_b"]).select("node", "node_b")
+
+    own, theirs = sets.select("node", "grams"), sets.select(F.col("node").alias("pivot"), F.col("grams").alias("pivot_grams"))
+    outside = member.join(own, "node").join(theirs, "pivot").select("pivot", "node", "component", "n", "o", F.explode(F.array_except("grams", "pivot_grams")).alias("gram"))
+    held = checkpointed(outside)
+    met = held.join(other(held), ["pivot", "gram"]).where("component < component_b")
+    by_rest = met.groupBy("pivot", "node", "node_b", "n", "n_b", "o", "o_b").agg(F.count("*").alias("extra")).where(fits(F.col("extra"))).select("node", "node_b")
+    return by_pivot.unionByName(by_rest).select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")).distinct()
