@@ -1,7 +1,7 @@
 """BPE encoding and decoding with reuse of content-defined chunks.
 
 A rolling hash of 16 bytes cuts each text where the hash meets a mask, so equal passages in
-different texts give equal chunks. A chunk is encoded once while it stays in the task's bounded
+different texts give equal chunks. A chunk is encoded once while it stays in the worker's bounded
 table, up to the words that its ends cut. Each join of two chunks is repaired by re-encoding the
 bytes around it, from the last white space of the left one to the first of the right one: at white
 space both encodings agree for certain, as this tokenizer never merges, composes or matches
@@ -21,22 +21,31 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from readloom.llm.bpe_words import WordMerger
 from readloom.llm.runtime import ship_code, text_batches, utf8_buffer
 from readloom.llm.shingles import mix
 
 #: A chunk ends where these bits of the rolling hash are zero: 512 bytes on average.
 CUT_MASK = np.uint32(0xFF800000)
 WINDOW = 16
-#: Bounds of the tables that a task keeps.
-MAX_CHUNKS = 30_000
-MAX_WORDS = 250_000
+#: Bounds of the tables that a worker keeps (about 100 MB).
+MAX_CHUNKS = 20_000
+MAX_WORDS = 400_000
 #: Texts are encoded in pieces of at most about so many bytes.
 PIECE_BYTES = 4 << 20
 
 _GEAR = (mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
 _SPACE = frozenset(b" \t\n\r\x0b\x0c")
-#: Letters (ASCII and Latin-1) with marks after them: the marks are a pre-token of their own.
-_PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,;:!?]+)?")
+#: Plain texts have ASCII (without ', <, | and >, which can begin contractions and special tokens) and letters of
+#: Latin-1 only. There, pre-tokens are the runs of letters, the single digits and the runs of other marks.
+_LETTER = rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])"
+_ASCII = bytes(c for c in range(0x20, 0x7F) if c not in b"'<|>") + b"\t\n\r\x0b\x0c"
+_LATIN = re.compile(rb"(?:\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])*")
+_PARTS = re.compile(_LETTER + rb"+|[0-9]|[!\"#$%&()*+,\-./:;=?@\[\\\]^_`{}~]+")
+
+
+def _plain(text: bytes) -> bool:
+    return _LATIN.fullmatch(text.translate(None, _ASCII)) is not None
 
 
 def cut_points(raw: np.ndarray) -> np.ndarray:
@@ -60,51 +69,59 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.merger = WordMerger(tokenizer_json)
         self.tokens = [self.tokenizer.id_to_token(i) for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
         self.digits = [str(i) for i in range(len(self.tokens))]
-        self.words: dict[bytes, tuple[int, ...]] = {}
-        self.stems: dict[bytes, tuple[int, ...]] = {}
+        self.numbers = list(range(len(self.tokens)))
+        self.parts: dict[bytes, tuple[int, ...]] = {}
         self.chunks: dict[bytes, tuple | None] = {}
         self.encoded_chunks = self.reused_chunks = 0
 
-    def _learn(self, words: set[bytes]) -> None:
-        """Encode words that the table lacks; letters are encoded apart from marks that follow them."""
-        if len(self.words) > MAX_WORDS:
-            self.words.clear()
-            self.chunks.clear()
-        new = [w for w in words if w not in self.words]
-        if not new:
-            return
-        if len(self.stems) > MAX_WORDS:
-            self.stems.clear()
-        parts = []
-        for w in new:
-            m = _PLAIN.fullmatch(w)
-            parts.append((m[1].lower(), m[2]) if m else (w, None))
-        need = list({s for p in parts for s in p if s is not None and s not in self.stems})
-        for at in range(0, len(need), 4096):
-            some = need[at : at + 4096]
-            for s, e in zip(some, self.tokenizer.encode_batch_fast([s.decode(errors="replace") for s in some], add_special_tokens=False)):
-                self.stems[s] = tuple(e.ids)
-        for w, (a, b) in zip(new, parts):
-            self.words[w] = self.stems[a] + self.stems[b] if b else self.stems[a]
+    def learn(self, text: bytes) -> None:
+        """Fills the table with the parts of a text (of those that a cut has split, in vain)."""
+        new = [p for p in set(_PARTS.findall(text.lower())) if p not in self.parts]
+        if len(self.parts) + len(new) > MAX_WORDS:
+            self.parts.clear()
+        self._add(new)
+
+    def _add(self, new: list[bytes]) -> None:
+        short = [p for p in new if len(p) <= WordMerger.LONGEST]
+        number = self.numbers.__getitem__
+        for p, ids in zip(short, self.merger.encode([p.decode().lower().encode() for p in short])):
+            self.parts[p] = tuple(map(number, ids))
+        for p in new:
+            if len(p) > WordMerger.LONGEST:
+                self.parts[p] = self._whole(p)
+
+    def _whole(self, text: bytes) -> tuple[int, ...]:
+        return tuple(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids)
+
+    def _words(self, text: bytes) -> tuple[int, ...]:
+        """Ids of a text that begins and ends at white space or a text's ends."""
+        if not _plain(text):
+            words = text.split()
+            if len(words) == 1:
+                return self._whole(text)
+            return tuple(chain.from_iterable(map(self._words, words)))
+        found = _PARTS.findall(text.lower())
+        try:
+            return tuple(chain.from_iterable(map(self.parts.__getitem__, found)))
+        except KeyError:
+            self._add([p for p in set(found) if p not in self.parts])
+            return tuple(chain.from_iterable(map(self.parts.__getitem__, found)))
 
     def _chunk(self, chunk: bytes) -> tuple | None:
         """(cut word in front, ids between, cut word at the end); None without white space."""
-        try:
-            found = self.chunks[chunk]
+        if chunk in self.chunks:
             self.reused_chunks += 1
-            return found
-        except KeyError:
-            pass
+            return self.chunks[chunk]
         self.encoded_chunks += 1
-        parts = chunk.split()
-        head = parts.pop(0) if parts and chunk[0] not in _SPACE else b""
+        head = chunk.split(None, 1)[0] if chunk[0] not in _SPACE else b""
         if len(head) == len(chunk):
             found = None
         else:
-            tail = parts.pop() if parts and chunk[-1] not in _SPACE else b""
-            found = (head, tuple(chain.from_iterable(map(self.words.__getitem__, parts))), tail)
+            tail = chunk.rsplit(None, 1)[-1] if chunk[-1] not in _SPACE else b""
+            found = (head, self._words(chunk[len(head) : len(chunk) - len(tail)]), tail)
         if len(self.chunks) >= MAX_CHUNKS:
             self.chunks.clear()
         self.chunks[chunk] = found
@@ -115,38 +132,24 @@ class ChunkEncoder:
         out = array("i")
         bounds = [0, *cut_points(raw).tolist(), len(raw)]
         whole = raw.tobytes()
-        carry, at = b"", 0
-        while at < len(bounds) - 1:
-            to = at + 1
-            while to < len(bounds) - 1 and bounds[to] - bounds[at] < PIECE_BYTES:
-                to += 1
-            # parts of words that a cut has split are learnt in vain (no whole word looks like a cut character)
-            self._learn(set(whole[bounds[at] : bounds[to]].split()) - self.words.keys())
-            for a, b in zip(bounds[at:to], bounds[at + 1 : to + 1]):
-                chunk = whole[a:b]
-                try:
-                    found = self._chunk(chunk)
-                except KeyError:  # the chunk's own words, where a cut has split a neighbour
-                    self._learn(set(chunk.split()))
-                    found = self._chunk(chunk)
-                if found is None:
-                    carry += chunk
-                    continue
-                head, ids, tail = found
-                out.extend(self._joint(carry + head))
-                out.extend(ids)
-                carry = tail
-            at = to
-        out.extend(self._joint(carry))
+        carry: list[bytes] = []
+        for a, b in zip(bounds[:-1], bounds[1:]):
+            if a == b:
+                continue
+            chunk = whole[a:b]
+            found = self._chunk(chunk)
+            if found is None:
+                carry.append(chunk)
+                continue
+            head, ids, tail = found
+            if carry or head:
+                out.extend(self._words(b"".join([*carry, head])))
+            out.extend(ids)
+            carry = [tail] if tail else []
+        if carry:
+            out.extend(self._words(b"".join(carry)))
         return out
 
-    def _joint(self, word: bytes) -> tuple[int, ...]:
-        if not word:
-            return ()
-        if word not in self.words:
-            self._learn({word})
-        return self.words[word]
-
     def id_text(self, ids: array) -> str:
         return " ".join(map(self.digits.__getitem__, ids))
 
@@ -160,12 +163,26 @@ OUTPUTS = {"n_tokens": "long", "ids": "array<int>", "decoded": "string", "ids_sh
 _ARROW = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32()), "decoded": pa.string(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
 
 
+_encoders: dict[int, ChunkEncoder] = {}
+
+
+def _encoder(tokenizer_json: str) -> ChunkEncoder:
+    """The worker's encoder, whose tables serve all tasks that it runs."""
+    key = hash(tokenizer_json)
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = ChunkEncoder(tokenizer_json)
+    return _encoders[key]
+
+
 def _encode_batches(source, outputs: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(source.value)
+        encoder = _encoder(source.value)
         for whole in batches:
             for batch in text_batches(whole, "text", PIECE_BYTES):
                 raw, off = utf8_buffer(batch.column("text"))
+                for at in range(0, len(raw), PIECE_BYTES):
+                    encoder.learn(raw[at : at + PIECE_BYTES].tobytes())
                 rows: dict[str, list] = {k: [] for k in outputs}
                 for a, b in zip(off[:-1].tolist(), off[1:].tolist()):
                     ids = encoder.encode(raw[a:b])
@@ -190,7 +207,7 @@ def bpe_encode(docs: DataFrame, vocabulary: str, outputs: tuple[str, ...] = ("n_
     vocabulary: a tokenizers file of word-level BPE whose pre-tokens never span white space and
     which has no decoder. The file is read on the driver and sent to the executors (a few MB,
     whatever the input). Null and empty texts have no tokens and decode to ''. Repeated rows come
-    back as often as they came in; doc_id may be null. No shuffle: each task keeps bounded tables
+    back as often as they came in; doc_id may be null. No shuffle: each worker keeps bounded tables
     of chunks and words, and a text is encoded in pieces.
     """
     ship_code(docs.sparkSession)
