@@ -5,16 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readloom.functions import aux, names
+from readloom.functions import aux, cigar, names
 from readloom.operators import aggregates as A
+from readloom.operators import checksums as S
 from readloom.operators import duplicates as G
 from readloom.operators import filters as D
+from readloom.operators import folds as K
 from readloom.operators import intervals as I
 from readloom.operators import orders as O
 from readloom.operators import pairs as P
+from readloom.operators import reference as R
 from readloom.plans import fixture
 from readloom.plans.registry import query, table_query
 from readloom.plans.row_queries import _REFLEN, TAGS
+from readloom.sources import fastq as Q
+from readloom.sources import sam
 
 _NUM = "(CASE WHEN flag & 1 = 0 THEN 0 WHEN flag & 64 <> 0 THEN 1 ELSE 2 END)"
 _MAIN = f"main AS (SELECT *, {_NUM} AS num, max(CASE WHEN {_NUM} = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY qname) AS h1, max(CASE WHEN {_NUM} = 2 THEN 1 ELSE 0 END) OVER (PARTITION BY qname) AS h2 FROM aln WHERE flag & 2304 = 0)"
@@ -327,3 +332,112 @@ def _(a: DataFrame) -> DataFrame:
 @query("g8_longest_chain", f", {_CHAIN} SELECT refid, CAST(chain AS BIGINT) AS chain, CAST(sum(\"end\" - pos + 1) AS BIGINT) AS length, count(*) AS members FROM ch GROUP BY refid, chain ORDER BY length DESC, refid, chain LIMIT 1")
 def _(a: DataFrame) -> DataFrame:
     return O.longest_chain(O.chains(a.where("rank % 50 = 0"), 5))
+
+
+def _reference(a: DataFrame) -> DataFrame:
+    """A made-up reference: refid n repeats the digits of a hash of n."""
+    return a.sparkSession.range(4).select(F.col("id").cast("int").alias("refid"), F.repeat(F.translate(F.md5(F.col("id").cast("string")), "0123456789abcdef", "ACGTACGTACGTACGT"), 35).alias("seq"))
+
+
+_REF = "r AS (SELECT CAST(n AS INT) AS refid, repeat(translate(md5(CAST(n AS VARCHAR)), '0123456789abcdef', 'ACGTACGTACGTACGT'), 35) AS bases FROM range(4) t(n))"
+
+
+@query("c17_exact_cigars")
+def _(a: DataFrame) -> DataFrame:
+    return R.exact_cigars(a, _reference(a)).select("rank", cigar.to_text(F.col("cigar")).alias("cigar"))
+
+
+@query("c18_mismatch_tags", f", {_REF} SELECT rank, CASE WHEN flag & 4 = 0 THEN (SELECT count(*) FROM (SELECT unnest(range(1, 33)) AS i) z WHERE substr(seq, i, 1) <> substr(bases, pos + i, 1)) END AS nm FROM aln JOIN r USING (refid) WHERE cigar = '32M'")
+def _(a: DataFrame) -> DataFrame:
+    plain = a.where((F.col("refid") >= 0) & (cigar.to_text(F.col("cigar")) == "32M"))
+    return R.mismatch_tags(plain, _reference(a)).select("rank", aux.value(F.col("aux"), "NM").cast("long").alias("nm"))
+
+
+@query("c19_checked_alignments")
+def _(a: DataFrame) -> DataFrame:
+    return R.checked_alignments(a, _reference(a)).select("rank", cigar.to_text(F.col("cigar")).alias("cigar"), "seq")
+
+
+@query("a9_bases_of", f", {_REF} SELECT rank, substr(bases, pos + 1, 25) AS bases FROM aln JOIN r USING (refid) WHERE rank % 3 = 0")
+def _(a: DataFrame) -> DataFrame:
+    asked = a.where("refid >= 0 and rank % 3 = 0").select("rank", F.col("refid").cast("string").alias("name"), "pos", F.lit(25).alias("len"))
+    ref = _reference(a).select(F.col("refid").cast("string").alias("name"), "seq")
+    found = R.bases_of(asked.select("name", "pos", "len").distinct(), ref, 64)
+    return asked.join(found, ["name", "pos", "len"]).select("rank", F.col("seq").alias("bases"))
+
+
+@query("d18_best_chain")
+def _(a: DataFrame) -> DataFrame:
+    return K.best_mappings(a, "chain").select("rank", "flag", "mate_refid", "mate_pos")
+
+
+@query("d18_best_cluster")
+def _(a: DataFrame) -> DataFrame:
+    return K.best_mappings(a, "cluster").select("rank", "flag", "mate_refid", "mate_pos")
+
+
+@query("f7_depth_peaks")
+def _(a: DataFrame) -> DataFrame:
+    return K.depth_peaks(A.depth(A.aligned_blocks(a)), 1.0, 4, 64)
+
+
+@query("f10_checksum_products")
+def _(a: DataFrame) -> DataFrame:
+    return S.checksum_products(a)
+
+
+@query("f10_checksum_sums")
+def _(a: DataFrame) -> DataFrame:
+    return S.checksum_sums(a)
+
+
+@query("f11_near_collisions")
+def _(a: DataFrame) -> DataFrame:
+    return S.near_collisions(S.read_digests(a), most=3)
+
+
+@query("f11_bit_bias")
+def _(a: DataFrame) -> DataFrame:
+    return S.bit_bias(S.read_digests(a))
+
+
+@query("f18_covered_bases", f"SELECT qname, count(DISTINCT p) AS covered FROM (SELECT qname, unnest(range(f, f + n)) AS p FROM (SELECT qname, CASE cigar WHEN '4S20M2D8M' THEN (CASE WHEN flag & 16 <> 0 THEN 0 ELSE 4 END) WHEN '2H3S24M5S' THEN 5 ELSE 0 END AS f, CASE cigar WHEN '4S20M2D8M' THEN 28 WHEN '2H3S24M5S' THEN 24 ELSE 32 END AS n FROM aln WHERE flag & 4 = 0) x) y GROUP BY qname")
+def _(a: DataFrame) -> DataFrame:
+    return K.covered_bases(a)
+
+
+@query("c20_from_fastq", "SELECT rank, qname, CASE WHEN rank % 2 = 0 THEN 77 ELSE 141 END AS flag, replace(seq, 'A', 'N') AS seq FROM aln")
+def _(a: DataFrame) -> DataFrame:
+    mate = F.when(F.col("rank") % 2 == 0, "/1").otherwise("/2")
+    records = a.select(F.col("rank").alias("place"), F.concat("qname", mate, F.lit(" note")).alias("name"), F.lower(F.translate("seq", "A", ".")).alias("seq"), "qual")
+    return Q.to_alignments(records).select("rank", "qname", "flag", "seq")
+
+
+@query("b5_to_fastq", f", {_MAIN} SELECT rank, {_CLASS} AS class, substr(aux, 6, 3) AS rg, '@' || qname || CASE num WHEN 0 THEN '' WHEN 1 THEN '/1' ELSE '/2' END || chr(10) || CASE WHEN flag & 16 <> 0 THEN translate(reverse(seq), 'ACGT', 'TGCA') ELSE seq END || chr(10) || '+' || chr(10) || CASE WHEN flag & 16 <> 0 THEN reverse(qual) ELSE qual END AS record FROM main")
+def _(a: DataFrame) -> DataFrame:
+    return Q.from_alignments(a).select("rank", "class", "rg", "record")
+
+
+@query("b12_normalised_fasta", "SELECT rank AS place, '>' || qname || chr(10) || substr(seq, 1, 20) || chr(10) || substr(seq, 21) AS record FROM aln")
+def _(a: DataFrame) -> DataFrame:
+    records = a.select(F.col("rank").alias("place"), F.col("qname").alias("id"), F.lit("").alias("descr"), "seq")
+    return Q.normalised_fasta(records, 20).select("place", "record")
+
+
+@table_query("b1_sam_lines", "SELECT rank, qname || chr(9) || CAST(flag AS VARCHAR) || chr(9) || coalesce(s.name, '*') || chr(9) || CAST(pos + 1 AS VARCHAR) || chr(9) || CAST(mapq AS VARCHAR) || chr(9) || cigar || chr(9) || CASE WHEN m.name IS NULL THEN '*' WHEN m.name = s.name THEN '=' ELSE m.name END || chr(9) || CAST(mate_pos + 1 AS VARCHAR) || chr(9) || CAST(tlen AS VARCHAR) || chr(9) || seq || chr(9) || qual || chr(9) || replace(aux, '|', chr(9)) AS \"value\" FROM aln LEFT JOIN sq s ON aln.refid = s.refid LEFT JOIN sq m ON aln.mate_refid = m.refid")
+def _(spark, sf_dir) -> DataFrame:
+    return sam.to_lines(fixture.alignments(spark, sf_dir), fixture.references(spark, sf_dir))
+
+
+@table_query("a1_sam_round_trip", "SELECT rank, flag, refid, pos, cigar, aux FROM aln")
+def _(spark, sf_dir) -> DataFrame:
+    a, sq = fixture.alignments(spark, sf_dir), fixture.references(spark, sf_dir)
+    lines = sam.to_lines(a, sq)
+    back = sam._with_rank(lines, sq)
+    return back.select("rank", "flag", "refid", "pos", cigar.to_text(F.col("cigar")).alias("cigar"), TAGS)
+
+
+@table_query("a12_valid_lines", f"SELECT count(*) AS n FROM aln LEFT JOIN sq USING (refid) WHERE flag & 4 <> 0 OR pos + {_REFLEN} <= 900")
+def _(spark, sf_dir) -> DataFrame:
+    a, sq = fixture.alignments(spark, sf_dir), fixture.references(spark, sf_dir)
+    return sam.valid_lines(sam.to_lines(a, sq), sq.withColumn("length", F.lit(900))).agg(F.count("*").alias("n"))
