@@ -13,7 +13,6 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -28,10 +27,10 @@ from readloom.llm.shingles import mix
 #: A chunk ends where these bits of the rolling hash are zero: 512 bytes on average.
 CUT_MASK = np.uint32(0xFF800000)
 WINDOW = 16
-#: Bounds of the tables that a worker keeps (about 100 MB).
+#: Bounds of the tables that a worker keeps (about 250 MB).
 MAX_CHUNKS = 20_000
-MAX_WORDS = 400_000
-#: Texts are encoded in pieces of at most about so many bytes.
+MAX_WORDS = 700_000
+#: So many bytes of texts are encoded together (or one longer text).
 PIECE_BYTES = 4 << 20
 
 _GEAR = (mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
@@ -52,10 +51,10 @@ def cut_points(raw: np.ndarray) -> np.ndarray:
     """Ends of the content-defined chunks of raw (without its own end)."""
     if len(raw) <= WINDOW:
         return np.zeros(0, np.int64)
-    gear = _GEAR[raw]
-    h = gear.copy()
-    for k in range(1, WINDOW):
-        h[k:] += gear[:-k] << np.uint32(2 * k)
+    # sums of 2, 4, 8 and 16 shifted terms
+    h = _GEAR[raw]
+    for k in (1, 2, 4, 8):
+        h[k:] = h[k:] + (h[:-k] << np.uint32(2 * k))
     return np.flatnonzero((h[:-1] & CUT_MASK) == 0) + 1
 
 
@@ -72,46 +71,47 @@ class ChunkEncoder:
         self.merger = WordMerger(tokenizer_json)
         self.tokens = [self.tokenizer.id_to_token(i) for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
         self.digits = [str(i) for i in range(len(self.tokens))]
-        self.numbers = list(range(len(self.tokens)))
-        self.parts: dict[bytes, tuple[int, ...]] = {}
-        self.chunks: dict[bytes, tuple | None] = {}
+        self.slots: dict[bytes, int] = {}
+        self.clear()
         self.encoded_chunks = self.reused_chunks = 0
 
-    def learn(self, text: bytes) -> None:
-        """Fills the table with the parts of a text (of those that a cut has split, in vain)."""
-        new = [p for p in set(_PARTS.findall(text.lower())) if p not in self.parts]
-        if len(self.parts) + len(new) > MAX_WORDS:
-            self.parts.clear()
-        self._add(new)
-
-    def _add(self, new: list[bytes]) -> None:
-        short = [p for p in new if len(p) <= WordMerger.LONGEST]
-        number = self.numbers.__getitem__
-        for p, ids in zip(short, self.merger.encode([p.decode().lower().encode() for p in short])):
-            self.parts[p] = tuple(map(number, ids))
-        for p in new:
-            if len(p) > WordMerger.LONGEST:
-                self.parts[p] = self._whole(p)
-
-    def _whole(self, text: bytes) -> tuple[int, ...]:
-        return tuple(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids)
-
-    def _words(self, text: bytes) -> tuple[int, ...]:
-        """Ids of a text that begins and ends at white space or a text's ends."""
-        if not _plain(text):
-            words = text.split()
-            if len(words) == 1:
-                return self._whole(text)
-            return tuple(chain.from_iterable(map(self._words, words)))
-        found = _PARTS.findall(text.lower())
-        try:
-            return tuple(chain.from_iterable(map(self.parts.__getitem__, found)))
-        except KeyError:
-            self._add([p for p in set(found) if p not in self.parts])
-            return tuple(chain.from_iterable(map(self.parts.__getitem__, found)))
-
-    def _chunk(self, chunk: bytes) -> tuple | None:
-        """(cut word in front, ids between, cut word at the end); None without white space."""
+    def clear(self) -> None:
+        """Forgets all parts, and the chunks made of them."""
+        self.slots.clear()
+        self.ids: list[tuple[int, ...]] = []
+        self.counts: list[int] = []
+        self.id_texts: list[str] = []
+        self.token_texts: list[str] = []
+        self.odd: set[bytes] = set()
+        self.chunks: dict[bytes, list | None] = {}
+
+    def learn(self, parts: set[bytes]) -> None:
+        """Gives each part that has none a slot; a part without tokens gets -1."""
+        new = [p for p in parts if p not in self.slots]
+        short = [p for p in new if len(p) <= WordMerger.LONGEST and p not in self.odd]
+        found = self.merger.encode([p.decode().lower().encode() for p in short])
+        other = [p for p in new if len(p) > WordMerger.LONGEST or p in self.odd]
+        found += [self.tokenizer.encode(p.decode(), add_special_tokens=False).ids for p in other]
+        for p, ids in zip(short + other, found):
+            self.slots[p] = len(self.ids) if ids else -1
+            if ids:
+                self.ids.append(tuple(ids))
+                self.counts.append(len(ids))
+                self.id_texts.append(" ".join(map(self.digits.__getitem__, ids)))
+                self.token_texts.append(" ".join(map(self.tokens.__getitem__, ids)))
+
+    def _parts(self, text: bytes) -> list[bytes]:
+        """The parts of a text that begins and ends at white space or a text's ends: pre-tokens, or whole words that aren't plain."""
+        if _plain(text):
+            return _PARTS.findall(text.lower())
+        words = text.split()
+        if len(words) == 1:
+            self.odd.update(words)
+            return words
+        return list(chain.from_iterable(map(self._parts, words)))
+
+    def _chunk(self, chunk: bytes) -> list | None:
+        """[cut word in front, parts between, cut word at the end]; None without white space."""
         if chunk in self.chunks:
             self.reused_chunks += 1
             return self.chunks[chunk]
@@ -121,18 +121,25 @@ class ChunkEncoder:
             found = None
         else:
             tail = chunk.rsplit(None, 1)[-1] if chunk[-1] not in _SPACE else b""
-            found = (head, self._words(chunk[len(head) : len(chunk) - len(tail)]), tail)
+            found = [head, self._parts(chunk[len(head) : len(chunk) - len(tail)]), tail]
+            self.fresh.append(found)
         if len(self.chunks) >= MAX_CHUNKS:
             self.chunks.clear()
         self.chunks[chunk] = found
         return found
 
-    def encode(self, raw: np.ndarray) -> array:
-        """Token ids of one text, given as UTF-8 bytes."""
-        out = array("i")
+    def _read(self, raw: np.ndarray) -> list[list]:
+        """A text's chunks and the repaired joins between them, in order."""
+        out: list[list] = []
         bounds = [0, *cut_points(raw).tolist(), len(raw)]
         whole = raw.tobytes()
         carry: list[bytes] = []
+
+        def joint(pieces: list[bytes]) -> None:
+            entry = [b"", self._parts(b"".join(pieces)), b""]
+            self.fresh.append(entry)
+            out.append(entry)
+
         for a, b in zip(bounds[:-1], bounds[1:]):
             if a == b:
                 continue
@@ -141,21 +148,43 @@ class ChunkEncoder:
             if found is None:
                 carry.append(chunk)
                 continue
-            head, ids, tail = found
+            head, _, tail = found
             if carry or head:
-                out.extend(self._words(b"".join([*carry, head])))
-            out.extend(ids)
+                joint([*carry, head])
+            out.append(found)
             carry = [tail] if tail else []
         if carry:
-            out.extend(self._words(b"".join(carry)))
+            joint(carry)
         return out
 
-    def id_text(self, ids: array) -> str:
-        return " ".join(map(self.digits.__getitem__, ids))
-
-    def decode(self, ids: array) -> str:
+    def encode(self, texts: list[np.ndarray]) -> list[list[int]]:
+        """Slots of each text's parts in order; texts are given as UTF-8 bytes. New parts of all texts are learnt together."""
+        if len(self.slots) > MAX_WORDS:
+            self.clear()
+        self.fresh: list[list] = []
+        read = [self._read(t) for t in texts]
+        missing: set[bytes] = set()
+        for entry in self.fresh:
+            missing.update(entry[1])
+        self.learn(missing)
+        for entry in self.fresh:
+            slots = list(map(self.slots.__getitem__, entry[1]))
+            entry[1] = [x for x in slots if x >= 0] if -1 in slots else slots
+        self.fresh = []
+        return [list(chain.from_iterable([e[1] for e in entries])) for entries in read]
+
+    def count(self, slots: list[int]) -> int:
+        return sum(map(self.counts.__getitem__, slots))
+
+    def token_ids(self, slots: list[int]) -> np.ndarray:
+        return np.fromiter(chain.from_iterable(map(self.ids.__getitem__, slots)), np.int32)
+
+    def id_text(self, slots: list[int]) -> str:
+        return " ".join(map(self.id_texts.__getitem__, slots))
+
+    def decode(self, slots: list[int]) -> str:
         """As the tokenizer's decode(ids, skip_special_tokens=False): it has no decoder, so tokens join by spaces."""
-        return " ".join(map(self.tokens.__getitem__, ids))
+        return " ".join(map(self.token_texts.__getitem__, slots))
 
 
 #: Output columns to choose from, with their types.
@@ -181,21 +210,18 @@ def _encode_batches(source, outputs: tuple[str, ...]):
         for whole in batches:
             for batch in text_batches(whole, "text", PIECE_BYTES):
                 raw, off = utf8_buffer(batch.column("text"))
-                for at in range(0, len(raw), PIECE_BYTES):
-                    encoder.learn(raw[at : at + PIECE_BYTES].tobytes())
                 rows: dict[str, list] = {k: [] for k in outputs}
-                for a, b in zip(off[:-1].tolist(), off[1:].tolist()):
-                    ids = encoder.encode(raw[a:b])
-                    decoded = encoder.decode(ids) if {"decoded", "decoded_sha256"} & rows.keys() else ""
+                for slots in encoder.encode([raw[a:b] for a, b in zip(off[:-1].tolist(), off[1:].tolist())]):
+                    decoded = encoder.decode(slots) if {"decoded", "decoded_sha256"} & rows.keys() else ""
                     for k, out in rows.items():
                         if k == "n_tokens":
-                            out.append(len(ids))
+                            out.append(encoder.count(slots))
                         elif k == "ids":
-                            out.append(np.frombuffer(ids, np.int32) if ids else np.zeros(0, np.int32))
+                            out.append(encoder.token_ids(slots))
                         elif k == "decoded":
                             out.append(decoded)
                         else:
-                            out.append(hashlib.sha256((encoder.id_text(ids) if k == "ids_sha256" else decoded).encode()).hexdigest())
+                            out.append(hashlib.sha256((encoder.id_text(slots) if k == "ids_sha256" else decoded).encode()).hexdigest())
                 yield pa.record_batch([batch.column("doc_id"), *(pa.array(rows[k], _ARROW[k]) for k in outputs)], ["doc_id", *outputs])
 
     return run
@@ -208,7 +234,7 @@ def bpe_encode(docs: DataFrame, vocabulary: str, outputs: tuple[str, ...] = ("n_
     which has no decoder. The file is read on the driver and sent to the executors (a few MB,
     whatever the input). Null and empty texts have no tokens and decode to ''. Repeated rows come
     back as often as they came in; doc_id may be null. No shuffle: each worker keeps bounded tables
-    of chunks and words, and a text is encoded in pieces.
+    of chunks and words.
     """
     ship_code(docs.sparkSession)
     with open(vocabulary, encoding="utf-8") as f:
