@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from readloom.functions import aux, cigar, names, sequences
@@ -11,8 +11,16 @@ from readloom.operators import transforms as C
 from readloom.plans import fixture
 from readloom.plans.registry import query, table_query
 
-TAGS = aux.to_text(F.col("aux")).alias("aux")
-CIGAR = cigar.to_text(F.col("cigar")).alias("cigar")
+
+
+def tags_text() -> Column:
+    return aux.to_text(F.col("aux")).alias("aux")
+
+
+def cigar_text() -> Column:
+    return cigar.to_text(F.col("cigar")).alias("cigar")
+
+
 _REVCOMP = "translate(reverse(seq), 'ACGT', 'TGCA')"
 _LIST = "string_split(aux, '|')"
 _REFLEN = "CASE cigar WHEN '*' THEN 0 WHEN '4S20M2D8M' THEN 30 WHEN '10M3I19M' THEN 29 WHEN '12M5N20M' THEN 37 WHEN '2H3S24M5S' THEN 24 ELSE 32 END"
@@ -26,7 +34,7 @@ def _(a: DataFrame) -> DataFrame:
 
 @query("c2_reset", f"SELECT rank, qname, {_KEPT_FLAG} AS flag, -1 AS refid, -1 AS pos, 0 AS mapq, '*' AS cigar, CASE WHEN flag & 16 <> 0 THEN {_REVCOMP} ELSE seq END AS seq, CASE WHEN flag & 16 <> 0 THEN reverse(qual) ELSE qual END AS qual, '' AS aux FROM aln WHERE flag & 2304 = 0")
 def _(a: DataFrame) -> DataFrame:
-    return C.reset(a).select("rank", "qname", "flag", "refid", "pos", "mapq", CIGAR, "seq", "qual", TAGS)
+    return C.reset(a).select("rank", "qname", "flag", "refid", "pos", "mapq", cigar_text(), "seq", "qual", tags_text())
 
 
 @query("c3_filter_tags", f"SELECT rank, array_to_string(list_filter({_LIST}, lambda x: x[1:2] IN ('RG', 'MC')), '|') AS kept, array_to_string(list_filter({_LIST}, lambda x: x[1:2] NOT IN ('NM', 'AB')), '|') AS rest FROM aln")
@@ -37,22 +45,22 @@ def _(a: DataFrame) -> DataFrame:
 
 @query("c4_sort_tags", f"SELECT rank, array_to_string(list_sort({_LIST}), '|') AS aux FROM aln")
 def _(a: DataFrame) -> DataFrame:
-    return C.sort_tags(a).select("rank", TAGS)
+    return C.sort_tags(a).select("rank", tags_text())
 
 
 @query("c5_drop_mate_cigar", f"SELECT rank, CASE WHEN flag & 8 <> 0 THEN array_to_string(list_filter({_LIST}, lambda x: x[1:2] <> 'MC'), '|') ELSE aux END AS aux FROM aln")
 def _(a: DataFrame) -> DataFrame:
-    return C.drop_mate_cigar_of_unmapped(a).select("rank", TAGS)
+    return C.drop_mate_cigar_of_unmapped(a).select("rank", tags_text())
 
 
 @query("c6_rank_to_tag", "SELECT rank, aux || '|zz:B:C,0,0,0,0,0,' || CAST(rank // 65536 AS VARCHAR) || ',' || CAST(rank // 256 % 256 AS VARCHAR) || ',' || CAST(rank % 256 AS VARCHAR) AS aux FROM aln")
 def _(a: DataFrame) -> DataFrame:
-    return C.rank_to_tag(a).select("rank", TAGS)
+    return C.rank_to_tag(a).select("rank", tags_text())
 
 
 @query("c7_rank_to_name", "SELECT rank, CAST(rank AS VARCHAR) || '_' || qname AS qname, aux FROM aln")
 def _(a: DataFrame) -> DataFrame:
-    return C.rank_to_name(C.rank_to_tag(a)).select("rank", "qname", TAGS)
+    return C.rank_to_name(C.rank_to_tag(a)).select("rank", "qname", tags_text())
 
 
 _PREFIX = "CAST(rank AS VARCHAR) || '_0' || CAST(rank + 1 AS VARCHAR) || '_' || qname"
@@ -70,12 +78,12 @@ def _(a: DataFrame) -> DataFrame:
 
 @query("c10_clip_adapters")
 def _(a: DataFrame) -> DataFrame:
-    return C.clip_adapters(a).select("rank", "pos", CIGAR, "seq", "qual", TAGS)
+    return C.clip_adapters(a).select("rank", "pos", cigar_text(), "seq", "qual", tags_text())
 
 
 @query("c11_reinsert_clips")
 def _(a: DataFrame) -> DataFrame:
-    return C.reinsert_clips(C.clip_adapters(a)).select("rank", "pos", CIGAR, "seq", "qual", TAGS)
+    return C.reinsert_clips(C.clip_adapters(a)).select("rank", "pos", cigar_text(), "seq", "qual", tags_text())
 
 
 _CLIPS = "SELECT rank, qname || '_front' AS qname, flag | 4 AS flag, -1 AS refid, '*' AS cigar, substr(seq, 1, 4) AS seq FROM aln WHERE cigar = '4S20M2D8M' UNION ALL SELECT rank, qname || '_back', flag | 4, -1, '*', right(seq, 5) FROM aln WHERE cigar = '2H3S24M5S' UNION ALL SELECT rank, qname, flag, refid, '*', seq FROM aln WHERE flag & 4 <> 0"
@@ -83,7 +91,7 @@ _CLIPS = "SELECT rank, qname || '_front' AS qname, flag | 4 AS flag, -1 AS refid
 
 @query("c12_extract_clips", _CLIPS)
 def _(a: DataFrame) -> DataFrame:
-    return C.extract_clips(a, least=4).select("rank", "qname", "flag", "refid", CIGAR, "seq")
+    return C.extract_clips(a, least=4).select("rank", "qname", "flag", "refid", cigar_text(), "seq")
 
 
 _TURNED = f"(SELECT *, CASE WHEN flag & 16 <> 0 THEN {_REVCOMP} ELSE seq END AS s FROM aln WHERE flag & 2304 = 0) x"
@@ -99,23 +107,23 @@ _NEW = "CASE WHEN len(list_filter({l}, lambda x: x LIKE '{old}:i:%')) > 0 THEN l
 
 @query("c14_convert_tags", f"SELECT rank, array_to_string({_NEW.format(l='t', old='MC', new='mc')}, '|') AS aux FROM (SELECT rank, {_NEW.format(l=_LIST, old='MS', new='ms')} AS t FROM aln) x")
 def _(a: DataFrame) -> DataFrame:
-    return C.convert_tags(a).select("rank", TAGS)
+    return C.convert_tags(a).select("rank", tags_text())
 
 
 @query("c15_tag_reference_interval", f"SELECT rank, CASE WHEN flag & 4 = 0 THEN aux || '|re:Z:[' || CAST(pos AS VARCHAR) || ',' || CAST(pos + {_REFLEN} AS VARCHAR) || ')' ELSE aux END AS aux FROM aln")
 def _(a: DataFrame) -> DataFrame:
-    return C.tag_reference_interval(a).select("rank", TAGS)
+    return C.tag_reference_interval(a).select("rank", tags_text())
 
 
 @query("c16_random_tag")
 def _(a: DataFrame) -> DataFrame:
-    return C.random_tag(a).select("rank", TAGS)
+    return C.random_tag(a).select("rank", tags_text())
 
 
 @query("c24_replace_read_groups", "SELECT rank, replace(replace(aux, 'RG:Z:rg0', 'RG:Z:lane0'), 'RG:Z:rg1', 'RG:Z:lane1') AS aux FROM aln")
 def _(a: DataFrame) -> DataFrame:
     table = a.sparkSession.sql("SELECT * FROM VALUES ('rg0', 'lane0'), ('rg1', 'lane1') AS t(old, new)")
-    return C.replace_read_groups(a, table).select("rank", TAGS)
+    return C.replace_read_groups(a, table).select("rank", tags_text())
 
 
 @query("d1_by_mapping", "SELECT rank FROM aln WHERE (CASE WHEN flag & 4 = 0 THEN 1 ELSE 0 END) + (CASE WHEN flag & 1 <> 0 AND flag & 8 = 0 THEN 1 ELSE 0 END) + (CASE WHEN flag & 2 <> 0 THEN 1 ELSE 0 END) BETWEEN 1 AND 2")

@@ -17,7 +17,7 @@ from readloom.operators import pairs as P
 from readloom.operators import reference as R
 from readloom.plans import fixture
 from readloom.plans.registry import query, table_query
-from readloom.plans.row_queries import _REFLEN, TAGS
+from readloom.plans.row_queries import _REFLEN, tags_text
 from readloom.sources import fastq as Q
 from readloom.sources import sam
 
@@ -76,12 +76,12 @@ def _(a: DataFrame) -> DataFrame:
 def _(a: DataFrame) -> DataFrame:
     new = aux.parse(F.lit("RG:Z:new|XX:i:1"))
     aligned = a.withColumns({"qname": F.concat_ws("_", F.col("rank").cast("string"), "qname"), "aux": new, "flag": F.col("flag").bitwiseAND(~512)})
-    return P.merge_tags_by_rank(aligned, a).select("rank", "qname", TAGS, "flag")
+    return P.merge_tags_by_rank(aligned, a).select("rank", "qname", tags_text(), "flag")
 
 
 @query("e8_merge_tags_by_name", "SELECT aln.rank, 'AB:Z:own' || replace(o.aux, '|AB:Z:x', '') AS aux FROM (SELECT qname, '|' || arg_min(aux, rank) AS aux FROM aln GROUP BY qname) o JOIN aln USING (qname)")
 def _(a: DataFrame) -> DataFrame:
-    return P.merge_tags_by_name(a.withColumn("aux", aux.parse(F.lit("AB:Z:own"))), a).select("rank", TAGS)
+    return P.merge_tags_by_name(a.withColumn("aux", aux.parse(F.lit("AB:Z:own"))), a).select("rank", tags_text())
 
 
 @query("e9_fill_bases", ", f AS (SELECT qname, arg_min(seq, rank) AS read FROM aln GROUP BY qname) SELECT rank, CASE WHEN cigar = '2H3S24M5S' THEN substr(t, CASE WHEN cigar = '2H3S24M5S' THEN 3 ELSE 1 END) ELSE t END AS seq, repeat('H', CASE WHEN cigar = '2H3S24M5S' THEN 30 ELSE 32 END) AS qual FROM (SELECT aln.*, CASE WHEN flag & 16 <> 0 THEN translate(reverse(read), 'ACGT', 'TGCA') ELSE read END AS t FROM aln JOIN f USING (qname)) x")
@@ -100,7 +100,7 @@ def _(spark, sf_dir) -> DataFrame:
 
 @table_query("e10_annotate", f", {_OVER} SELECT a.rank, a.aux || coalesce('|CO:Z:' || n.co, '') AS aux FROM aln a LEFT JOIN (SELECT rank, string_agg('(' || gene || ',' || name || ')', ';' ORDER BY \"from\", \"to\", name) AS co FROM o GROUP BY rank) n USING (rank)")
 def _(spark, sf_dir) -> DataFrame:
-    return I.annotate(fixture.alignments(spark, sf_dir), fixture.intervals(spark, sf_dir)).select("rank", TAGS)
+    return I.annotate(fixture.alignments(spark, sf_dir), fixture.intervals(spark, sf_dir)).select("rank", tags_text())
 
 
 @table_query("e11_unified_transcripts", ', s AS (SELECT gene, refid, "from", "to", max("to") OVER (PARTITION BY gene, refid ORDER BY "from", "to" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM iv), t AS (SELECT *, sum(CASE WHEN reach IS NULL OR "from" > reach THEN 1 ELSE 0 END) OVER (PARTITION BY gene, refid ORDER BY "from", "to") AS island FROM s), m AS (SELECT gene, refid, min("from") AS f, max("to") AS t FROM t GROUP BY gene, refid, island) SELECT gene, CASE WHEN k = 1 THEN gene ELSE gene || \'_\' || CAST(k AS VARCHAR) END AS name, \'chr\' || CAST(refid AS VARCHAR) AS refname, f AS from_pos, t AS to_pos FROM (SELECT *, row_number() OVER (PARTITION BY gene ORDER BY refid, f) AS k FROM m) x')
@@ -434,7 +434,7 @@ def _(spark, sf_dir) -> DataFrame:
     a, sq = fixture.alignments(spark, sf_dir), fixture.references(spark, sf_dir)
     lines = sam.to_lines(a, sq)
     back = sam._with_rank(lines, sq)
-    return back.select("rank", "flag", "refid", "pos", cigar.to_text(F.col("cigar")).alias("cigar"), TAGS)
+    return back.select("rank", "flag", "refid", "pos", cigar.to_text(F.col("cigar")).alias("cigar"), tags_text())
 
 
 @table_query("a12_valid_lines", f"SELECT count(*) AS n FROM aln LEFT JOIN sq USING (refid) WHERE flag & 4 <> 0 OR pos + {_REFLEN} <= 900")
