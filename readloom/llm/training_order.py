@@ -73,34 +73,27 @@ def index_of(slots: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
 
 
 def _sequences(n: int, key: int, sequence: int, shard: int):
-    """Arrow function: a record for each sequence of each text, with its slot and shard."""
-    kind = record_type(sequence)
+    """Arrow function: the bytes of each sequence of each text, with its slot and shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, firsts = batch.column("doc_id").to_pylist(), batch.column("first").to_pylist()
             for i, text in enumerate(batch.column("text")):
-                raw = np.frombuffer((text.as_py() or "").encode(), np.uint8)
+                raw = (text.as_py() or "").encode()
                 parts = len(raw) // sequence + 1
                 # a long text goes out in slices, so that memory stays bounded
                 for at in range(0, parts, 1024):
-                    to = min(at + 1024, parts)
-                    records = np.zeros(to - at, kind)
-                    flat = np.full((to - at) * sequence, END, TOKEN)
-                    some = raw[at * sequence : to * sequence]
-                    flat[: len(some)] = some
-                    records["tokens"] = flat.reshape(-1, sequence)
-                    records["doc_id"] = -1 if ids[i] is None else ids[i]
-                    records["part"] = np.arange(at, to)
-                    records["used"] = np.minimum(sequence, len(raw) + 1 - np.arange(at, to) * sequence)
-                    slots = slots_of(np.arange(at, to, dtype=np.int64) + firsts[i], n, key)
-                    yield pa.record_batch([pa.array(slots // shard, pa.int32()), pa.array(slots), pa.array([r.tobytes() for r in records], pa.binary())], ["shard", "slot", "record"])
+                    place = np.arange(at, min(at + 1024, parts), dtype=np.int64)
+                    slots = slots_of(place + firsts[i], n, key)
+                    doc_id = np.full(len(place), -1 if ids[i] is None else ids[i], np.int64)
+                    cut = [raw[k * sequence : (k + 1) * sequence] for k in place.tolist()]
+                    yield pa.record_batch([pa.array(slots // shard, pa.int32()), pa.array(slots), pa.array(doc_id), pa.array(place, pa.int32()), pa.array(cut, pa.binary())], ["shard", "slot", "doc_id", "part", "bytes"])
 
     return run
 
 
 def training_sequences(docs: DataFrame, key: int = KEY, sequence: int = SEQUENCE, shard: int = SHARD) -> tuple[DataFrame, int]:
-    """(shard, slot, record for each sequence of docs, number of sequences N). docs: doc_id, text; more columns are ignored.
+    """(shard, slot, doc_id, part, bytes for each sequence of docs, number of sequences N). docs: doc_id, text; more columns are ignored.
 
     A text gives its UTF-8 bytes as token ids and END, cut into sequences; null and empty texts give
     one sequence with END alone. Null ids are written as -1. Equal rows get slots of their own. An
@@ -120,24 +113,30 @@ def training_sequences(docs: DataFrame, key: int = KEY, sequence: int = SEQUENCE
     before = Window.partitionBy("bucket").orderBy("doc_id", "text").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("within", F.coalesce(F.sum("parts").over(before), F.lit(0))).join(F.broadcast(table), "bucket")
     firsts = placed.select("doc_id", "text", (F.col("start") + F.col("within")).alias("first"))
-    return firsts.mapInArrow(_sequences(n, key, sequence, shard), "shard int, slot long, record binary"), n
+    return firsts.mapInArrow(_sequences(n, key, sequence, shard), "shard int, slot long, doc_id long, part int, bytes binary"), n
 
 
 def _files(folder: str | None, sequence: int, shard: int, n: int):
     """Arrow function: whole shards, from rows in the order of shard and slot."""
-    stride = record_type(sequence).itemsize
+    kind = record_type(sequence)
 
-    def put(number: int, records: list[bytes]) -> tuple:
+    def put(number: int, rows: list[tuple[int, int, bytes]]) -> tuple:
         want = min(shard, n - number * shard)
-        if len(records) != want:
-            raise ValueError(f"shard {number} has {len(records)} records, not {want}")
-        payload = b"".join(records)
+        if len(rows) != want:
+            raise ValueError(f"shard {number} has {len(rows)} records, not {want}")
+        records = np.zeros(want, kind)
+        records["tokens"] = END
+        for record, (doc_id, part, some) in zip(records, rows):
+            record["doc_id"], record["part"] = doc_id, part
+            record["used"] = min(sequence, len(some) + 1)  # the last sequence has room for END
+            record["tokens"][: len(some)] = np.frombuffer(some, np.uint8)
+        payload = records.tobytes()
         if folder:
             name = os.path.join(folder, f"shard-{number:06d}.bin")
             with open(part := f"{name}.{os.getpid()}.part", "wb") as f:
                 f.write(payload)
             os.replace(part, name)  # whole or not at all, so a task that is run again does no harm
-        return number, want, stride, zlib.crc32(payload), payload
+        return number, want, kind.itemsize, zlib.crc32(payload), payload
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["shard", "records", "stride", "crc32", "payload"]
@@ -145,12 +144,12 @@ def _files(folder: str | None, sequence: int, shard: int, n: int):
         now, records = None, []
         out = lambda row: pa.record_batch([pa.array([v], t) for v, t in zip(row, types)], names)
         for batch in batches:
-            for number, record in zip(batch.column("shard").to_pylist(), batch.column("record").to_pylist()):
+            for number, *row in zip(*(batch.column(c).to_pylist() for c in ("shard", "doc_id", "part", "bytes"))):
                 if number != now:
                     if records:
                         yield out(put(now, records))
                     now, records = number, []
-                records.append(record)
+                records.append(tuple(row))
         if records:
             yield out(put(now, records))
 
