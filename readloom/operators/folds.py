@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import namedtuple
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -21,49 +24,64 @@ def mapping_spans(df: DataFrame) -> DataFrame:
     return df.where(flags.mapped() & (F.col("refid") >= 0)).select("rank", "qname", score.alias("score"), "refid", F.col("pos").alias("ref_from"), (F.col("pos") + cigar.reference_length(c)).alias("ref_to"), front.alias("read_from"), (front + used).alias("read_to"))
 
 
-def _cluster(group: pd.DataFrame) -> pd.DataFrame:
-    """Best score per base first; a mapping stays if it overlaps none that stays."""
-    density = group["score"] / (group["read_to"] - group["read_from"]).clip(lower=1)
-    rows = group.assign(d=-density).sort_values(["d", "rank"], kind="stable")
+Mapping = namedtuple("Mapping", "rank score refid ref_from ref_to read_from read_to")
+
+
+def _cluster(rows: list[Mapping]) -> list[int]:
+    """Ranks that stay: best score per base first; a mapping stays if it overlaps none that stays."""
     kept: list[tuple[int, int]] = []
     out = []
-    for r in rows.itertuples():
+    for r in sorted(rows, key=lambda r: (-r.score / max(1, r.read_to - r.read_from), r.rank)):
         if all(r.read_to <= a or r.read_from >= b for a, b in kept):
             kept.append((r.read_from, r.read_to))
-            out.append((r.qname, r.rank))
-    return pd.DataFrame({"qname": [x for x, _ in out], "rank": np.array([x for _, x in out], np.int64)})
+            out.append(r.rank)
+    return out
 
 
 #: Gaps on read and reference between neighbours of a chain may differ by this factor of the smaller.
 GAP_FACTOR = 1.3
 
 
-def _chain(group: pd.DataFrame) -> pd.DataFrame:
-    """The run of colinear mappings, in the order of the reference, with the largest sum of scores."""
-    rows = group.sort_values(["refid", "ref_from", "ref_to", "rank"], kind="stable")
-    best: list = []
-    best_score = run_score = None
-    run: list = []
+def _chain(rows: list[Mapping]) -> list[int]:
+    """Ranks of the run of colinear mappings, in the order of the reference, with the largest sum of scores."""
+    best: list[int] = []
+    best_score = None
+    run: list[int] = []
+    run_score = 0
     last = None
-    for r in rows.itertuples():
+    for r in sorted(rows, key=lambda r: (r.refid, r.ref_from, r.ref_to, r.rank)):
         fits = last is not None and r.refid == last.refid and r.read_from >= last.read_to and r.ref_from >= last.ref_to
         if fits:
             a, b = r.read_from - last.read_to, r.ref_from - last.ref_to
             fits = abs(a - b) <= GAP_FACTOR * min(a, b)
-        run, run_score = ([*run, r], run_score + r.score) if fits else ([r], r.score)
+        run, run_score = ([*run, r.rank], run_score + r.score) if fits else ([r.rank], r.score)
         if best_score is None or run_score > best_score:
             best, best_score = run, run_score
         last = r
-    return pd.DataFrame({"qname": [r.qname for r in best], "rank": np.array([r.rank for r in best], np.int64)})
+    return best
 
 
 def best_mappings(df: DataFrame, link: str = "chain") -> DataFrame:
     """The best set of mappings of each read: chain or cluster. Rows after the first are supplementary, and each row's mate is the next, the last one's the first.
 
-    A group is the mappings of one read.
+    Rows stream in the order of names; only the mappings of one read are held.
     """
     walk = {"chain": _chain, "cluster": _cluster}[link]
-    kept = mapping_spans(df).groupBy("qname").applyInPandas(walk, "qname string, rank long").select("rank")
+
+    def stream(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        name, held = None, []
+        for frame in frames:
+            kept: list[int] = []
+            for qname, *row in frame.itertuples(index=False, name=None):
+                if qname != name:
+                    kept += walk(held)
+                    name, held = qname, []
+                held.append(Mapping(*row))
+            yield pd.DataFrame({"rank": np.array(kept, np.int64)})
+        yield pd.DataFrame({"rank": np.array(walk(held), np.int64)})
+
+    spans = mapping_spans(df).select("qname", *Mapping._fields)
+    kept = spans.repartition("qname").sortWithinPartitions("qname").mapInPandas(stream, "rank long")
     rows = df.join(kept, "rank")
     w = Window.partitionBy("qname").orderBy("refid", "pos", "rank")
     ring = lambda c: F.coalesce(F.lead(c).over(w), F.first(c).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
