@@ -334,6 +334,20 @@ def _(a: DataFrame) -> DataFrame:
     return O.longest_chain(O.chains(a.where("rank % 50 = 0"), 5))
 
 
+#: The same over all mapped rows.
+_CHAIN_OF_ALL = _CHAIN.replace(" AND rank % 50 = 0", "")
+
+
+@query("g8_chains_of_all", f", {_CHAIN_OF_ALL} SELECT rank, refid, CAST(\"offset\" AS VARCHAR) AS gap, CAST(chain AS BIGINT) AS chain FROM ch")
+def _(a: DataFrame) -> DataFrame:
+    return O.chains(a, 5).select("rank", "refid", F.col("offset").cast("string").alias("gap"), "chain")
+
+
+@query("g8_longest_chain_of_all", f", {_CHAIN_OF_ALL} SELECT refid, CAST(chain AS BIGINT) AS chain, CAST(sum(\"end\" - pos + 1) AS BIGINT) AS length, count(*) AS members FROM ch GROUP BY refid, chain ORDER BY length DESC, refid, chain LIMIT 1")
+def _(a: DataFrame) -> DataFrame:
+    return O.longest_chain(O.chains(a, 5))
+
+
 def _reference(a: DataFrame) -> DataFrame:
     """A made-up reference: refid n repeats the digits of a hash of n."""
     return a.sparkSession.range(4).select(F.col("id").cast("int").alias("refid"), F.repeat(F.translate(F.md5(F.col("id").cast("string")), "0123456789abcdef", "ACGTACGTACGTACGT"), 35).alias("seq"))

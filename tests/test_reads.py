@@ -245,6 +245,19 @@ def test_queries_equal_their_sql(spark, name):
     assert sorted(map(str, found)) == sorted(str(tuple(r)) for r in df.select(*[F.col(f"`{c}`") for c in columns]).collect())
 
 
+@pytest.mark.parametrize("name", ["g8_chains_of_all", "g8_longest_chain_of_all"])
+def test_chains_of_all_rows(spark, name):
+    test_queries_equal_their_sql(spark, name)
+    mapped = fixture.alignments(spark, SF).where("flag & 4 = 0").count()
+    df = catalog.QUERIES[name](spark, SF)
+    assert mapped == (df.count() if name == "g8_chains_of_all" else orders.chains(fixture.alignments(spark, SF), 5).count())
+
+
+def test_chains_break_at_the_gap(spark):
+    df = reads(spark, [{"pos": 0}, {"pos": 11}, {"pos": 23}, {"refid": 1, "pos": 5}])
+    assert [(r.offset, r.chain) for r in orders.chains(df, 5).orderBy("rank").collect()] == [(None, 1), (4, 1), (5, 2), (None, 1)]
+
+
 def test_entry_and_keys(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).limit(5).count() == 5
