@@ -1,7 +1,10 @@
 """Read operators: hand-checked cases, round trips, and the SQL twins on the smallest tables."""
 
 import gzip
+import itertools
 import os
+import random
+import re
 
 import duckdb
 import pytest
@@ -109,6 +112,44 @@ def test_reference_comparison(spark):
     assert [(r.rank, r.seq) for r in checked] == [(0, "===A===="), (1, "========"), (2, "==T====="), (4, "ACGTACGT")]
 
 
+def brute_reference(row, ref):
+    """(exact cigar, MD, NM) of a read with cigar, pos and seq, base by base."""
+    q, r, ops, md, run, nm, gap = 0, row["pos"], [], "", 0, 0, False
+    for n, op in re.findall(r"(\d+)([A-Z=])", row["cigar"]):
+        for _ in range(int(n)):
+            read = row["seq"][q] if op in "MIS=X" else ""
+            base = ref[r] if op in "MDN=X" else ""
+            q, r = q + len(read), r + len(base)
+            if op in "M=X":
+                ops.append("=" if read == base else "X")
+                md, run, nm, gap = (md, run + 1, nm, False) if read == base else (md + f"{run}{base}", 0, nm + 1, False)
+            else:
+                ops.append(op)
+                nm += op in "ID"
+                if op == "D":
+                    md, run, gap = md + ("" if gap else f"{run}^") + base, 0, True
+    return "".join(f"{len(list(g))}{k}" for k, g in itertools.groupby(ops)), md + str(run), nm
+
+
+def test_spans_over_several_pieces(spark):
+    rng = random.Random(3)
+    bases = "".join(rng.choice("ACGT") for _ in range(150_000))
+    rows = []
+    for pos, text in [(16_380, "4M60000N4M"), (0, "5M2D20000N3M1I2M"), (16_300, "40000M"), (149_992, "8M"), (149_993, "8M"), (100, "2S3M140000N3M")]:
+        r, seq = pos, ""
+        for n, op in re.findall(r"(\d+)([A-Z])", text):
+            seq += bases[r : r + int(n)] if op == "M" else "T" * int(n) if op in "IS" else ""
+            r += int(n) if op in "MDN" else 0
+        rows.append({"pos": pos, "cigar": text, "seq": seq[:-2] + "A" + seq[-1:] if len(seq) > 7 else seq, "qual": "I" * len(seq)})
+    ref = spark.createDataFrame([(0, bases.lower())], "refid int, seq string")
+    want = {i: brute_reference(r, bases) for i, r in enumerate(rows) if i != 4}
+    exact = text_of(reference.exact_cigars(reads(spark, rows), ref)).collect()
+    assert {r["rank"]: r.cigar for r in exact} == {i: w[0] for i, w in want.items()}
+    tags = text_of(reference.mismatch_tags(reads(spark, rows), ref)).collect()
+    assert {r["rank"]: r.aux for r in tags} == {i: f"MD:Z:{want[i][1]}|NM:i:{want[i][2]}" if i in want else "" for i in range(len(rows))}
+    assert sorted(r["rank"] for r in reference.checked_alignments(reads(spark, rows), ref).select("rank").collect()) == sorted(want)
+
+
 def test_depth_over_tiles_and_gaps(spark):
     df = reads(spark, [{"cigar": "4M2D4M"}, {"pos": 12, "cigar": "2S3M3N3M"}])
     for tile in (2, 64):
