@@ -37,7 +37,6 @@ FREEDOM = {
 UNKNOWN = 0.2
 #: An exception ("with") frees half of what is left.
 EXCEPTION_GAIN = 0.5
-MAX_EXPRESSION = 1000
 
 _TOKEN = re.compile(r"[ \t]*(\(|\)|[a-z0-9][a-z0-9.+:-]*)")
 _RANK = {"or": 1, "and": 2, "with": 3}
@@ -49,16 +48,18 @@ def freedom(label: str) -> float:
     return FREEDOM[max(found, key=len)] if found else UNKNOWN
 
 
-def parse_expression(text: str) -> tuple[list[str], int]:
-    """(reverse Polish form, characters used) of the longest licence expression that text starts with; ([], 0) without one.
+def parse_expression(text: str, start: int = 0, end: int | None = None) -> tuple[list[str], int]:
+    """(reverse Polish form, characters used) of the longest licence expression that text[start:end] starts with; ([], 0) without one.
 
     Operators by rank: with, and, or; all group to the left; brackets nest.
     """
     out: list[str] = []
     stack: list[str] = []
-    best: tuple[list[str], int] = ([], 0)
-    at, depth, want = 0, 0, True
-    while m := _TOKEN.match(text, at):
+    # how much of out, the operators still open (of rising rank, as no bracket is open) and the end
+    n, rest, used = 0, [], start
+    at, depth, want = start, 0, True
+    end = len(text) if end is None else end
+    while m := _TOKEN.match(text, at, end):
         t = m[1]
         if t == "(" and want:
             stack.append(t)
@@ -80,8 +81,8 @@ def parse_expression(text: str) -> tuple[list[str], int]:
             break
         at = m.end()
         if not want and not depth:
-            best = (out + stack[::-1], at)
-    return best
+            n, rest, used = len(out), stack[::-1], at
+    return out[:n] + rest, used - start
 
 
 def evaluate(rpn: list[str]) -> float:
@@ -139,10 +140,12 @@ class Scanner:
             values.append(freedom(label))
         found = []
         lower = raw.lower().decode("latin-1")
+        stop = -1
         for end, _ in self.tags.iter(lower):
-            rest = lower[end + 1 : end + 1 + MAX_EXPRESSION]
-            stop = _EXPRESSION_END.search(rest)
-            rpn, _used = parse_expression(rest[: stop.start()] if stop else rest)
+            if stop <= end:
+                line_end = _EXPRESSION_END.search(lower, end + 1)
+                stop = line_end.start() if line_end else len(lower)
+            rpn, _used = parse_expression(lower, end + 1, stop)
             if rpn:
                 found.append(" ".join(rpn))
                 labels.update(t.replace(",", "") for i, t in enumerate(rpn) if t not in _RANK and not (i + 1 < len(rpn) and rpn[i + 1] == "with"))
@@ -171,7 +174,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
     Words are [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+, A-Z lower-cased. n_base: places of BASE_PHRASES, which may
     overlap; first_word, last_word: their smallest and largest start (words from 0, else null);
     base_labels; labels: also those of NOTICES and of the licence expressions after TAGS;
-    expressions: these in reverse Polish form; score: how free reuse is under the strictest of what was
+    expressions: these in reverse Polish form, each read up to its line's end; score: how free reuse is under the strictest of what was
     found (0 to 1; 0 without any). Labels are distinct, sorted and comma-joined, '' without any.
 
     Null and empty texts have no words and no labels; doc_id may be null; repeated rows come back as

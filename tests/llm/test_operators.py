@@ -253,6 +253,19 @@ def test_license_scan(spark):
     assert rpn == ["a", "b", "c", "d", "with", "and", "or"] and used == 19
 
 
+def test_license_scan_reads_long_expressions(spark):
+    names = [f"lib{i}-license-1.{i}" for i in range(80)]
+    texts = [
+        "SPDX-License-Identifier: " + " OR ".join(names) + "\nAND not-this", "SPDX-License-Identifier: MIT OR " + " OR ".join(["mit"] * 300) + " and gpl-3.0",
+        "License-Expression: (" + " and ".join(["mit"] * 300) + ") and gpl-2.0\r\nSPDX-License-Identifier: isc", "SPDX-License-Identifier: " + " OR ".join(["mit"] * 50000),
+    ]
+    rows = license_scan.license_scan(table(spark, texts)).orderBy("doc_id").collect()
+    assert rows[0].labels == ",".join(sorted(names)) and len(rows[0].expressions[0].split()) == 159
+    assert rows[1].labels == "gpl-3.0,mit" and rows[1].score == 1.0
+    assert rows[2].labels == "gpl-2.0,isc,mit" and rows[2].score == pytest.approx(0.4) and len(rows[2].expressions) == 2
+    assert len(rows[3].expressions[0].split()) == 99999 and rows[3].score == 1.0
+
+
 def test_mixing(spark):
     rng = random.Random(4)
     big = ["word " * rng.randint(0, 30) for _ in range(1200)]
