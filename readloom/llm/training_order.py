@@ -10,12 +10,16 @@ from __future__ import annotations
 
 import json
 import os
+import re
+import tempfile
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -116,7 +120,17 @@ def training_sequences(docs: DataFrame, key: int = KEY, sequence: int = SEQUENCE
     return firsts.mapInArrow(_sequences(n, key, sequence, shard), "shard int, slot long, doc_id long, part int, bytes binary"), n
 
 
-def _files(folder: str | None, sequence: int, shard: int, n: int):
+def _store(folder: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI, and the path there."""
+    folder = re.sub("^file:/+", "/", folder.rstrip("/"))
+    return fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), os.path.abspath(folder))
+
+
+def shard_name(number: int) -> str:
+    return f"shard-{number:06d}.bin"
+
+
+def _files(folder: str | None, sequence: int, shard: int, n: int, with_payload: bool):
     """Arrow function: whole shards, from rows in the order of shard and slot."""
     kind = record_type(sequence)
 
@@ -132,11 +146,12 @@ def _files(folder: str | None, sequence: int, shard: int, n: int):
             record["tokens"][: len(some)] = np.frombuffer(some, np.uint8)
         payload = records.tobytes()
         if folder:
-            name = os.path.join(folder, f"shard-{number:06d}.bin")
-            with open(part := f"{name}.{os.getpid()}.part", "wb") as f:
+            store, top = _store(folder)
+            name = f"{top}/{shard_name(number)}"
+            with store.open_output_stream(part := f"{name}.{uuid.uuid4().hex}.part") as f:
                 f.write(payload)
-            os.replace(part, name)  # whole or not at all, so a task that is run again does no harm
-        return number, want, kind.itemsize, zlib.crc32(payload), payload
+            store.move(part, name)  # whole or not at all, so a task that is run again does no harm
+        return number, want, kind.itemsize, zlib.crc32(payload), payload if with_payload else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["shard", "records", "stride", "crc32", "payload"]
@@ -156,23 +171,26 @@ def _files(folder: str | None, sequence: int, shard: int, n: int):
     return run
 
 
-def training_shards(docs: DataFrame, folder: str | None = None, key: int = KEY, sequence: int = SEQUENCE, shard: int = SHARD) -> DataFrame:
+def training_shards(docs: DataFrame, folder: str | None = None, key: int = KEY, sequence: int = SEQUENCE, shard: int = SHARD, with_payload: bool = True) -> DataFrame:
     """shard, records, stride, crc32, payload: the shard files of docs. A shard's size is fixed, so a task's memory is too.
 
-    folder: where to write shard-000000.bin and so on (a path that all executors share); None: nowhere.
+    folder: where to write shard-000000.bin and so on (a path or URI that all executors share); None: nowhere.
+    Without with_payload the bytes go to the files only, and payload is null.
     Rows as in training_sequences.
     """
     records, n = training_sequences(docs, key, sequence, shard)
     dealt = records.repartition("shard").sortWithinPartitions("shard", "slot")
-    return dealt.mapInArrow(_files(folder, sequence, shard, n), "shard int, records long, stride long, crc32 long, payload binary")
+    return dealt.mapInArrow(_files(folder, sequence, shard, n, with_payload), "shard int, records long, stride long, crc32 long, payload binary")
 
 
 def write_manifest(folder: str, shards: DataFrame, key: int = KEY, sequence: int = SEQUENCE, shard: int = SHARD) -> dict:
     """Runs training_shards' plan, writes the files and manifest.json, and returns the manifest."""
-    rows = shards.select("shard", "records", "crc32").orderBy("shard").collect()
+    # sorted here, as orderBy would run the plan a second time for its sample
+    rows = sorted(shards.select("shard", "records", "crc32").collect())
     manifest = {"key": key, "sequence": sequence, "shard": shard, "stride": record_type(sequence).itemsize, "total": sum(r.records for r in rows), "crc32": [r.crc32 for r in rows]}
-    with open(os.path.join(folder, "manifest.json"), "w") as f:
-        json.dump(manifest, f)
+    store, top = _store(folder)
+    with store.open_output_stream(f"{top}/manifest.json") as f:
+        f.write(json.dumps(manifest).encode())
     return manifest
 
 
@@ -185,20 +203,70 @@ def read_slot(folder: str, slot: int) -> np.void:
         return np.frombuffer(f.read(manifest["stride"]), record_type(manifest["sequence"]))[0]
 
 
+def fresh_folder(spark: SparkSession) -> str:
+    """A new folder, as a URI, under the session's checkpoint folder, which all executors share; under a temporary one where that is unset."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="readloom-shards-")
+    store, top = _store(shared)
+    name = f"training-shards-{uuid.uuid4().hex}"
+    store.create_dir(f"{top}/{name}")
+    return f"{shared.rstrip('/')}/{name}"
+
+
+def _records_of(folder: str, sequence: int, shard: int, batch: int = 1 << 8):
+    """Arrow function: the records of the shards whose numbers come in, read from the files in sequence."""
+    kind = record_type(sequence)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, top = _store(folder)
+        for numbers in batches:
+            for number, want, crc in zip(*(numbers.column(c).to_pylist() for c in ("shard", "records", "crc32"))):
+                at, found = 0, 0
+                with store.open_input_stream(f"{top}/{shard_name(number)}") as f:
+                    while some := f.read(batch * kind.itemsize):
+                        found = zlib.crc32(some, found)
+                        rows = np.frombuffer(some, kind)
+                        yield _described(rows, number, at, shard)
+                        at += len(rows)
+                if at != want or found != crc:
+                    raise ValueError(f"{shard_name(number)} is not the file of the manifest")
+
+    return run
+
+
+def written_contents(spark: SparkSession, folder: str) -> DataFrame:
+    """As shard_contents, of the shards and manifest written to folder. Each file is read in sequence and held against the manifest's counts and CRCs."""
+    store, top = _store(folder)
+    with store.open_input_stream(f"{top}/manifest.json") as f:
+        manifest = json.loads(f.read())
+    total, shard = manifest["total"], manifest["shard"]
+    rows = [(i, min(shard, total - i * shard), crc) for i, crc in enumerate(manifest["crc32"])]
+    parts = max(1, min(len(rows), 4 * spark.sparkContext.defaultParallelism))
+    table = spark.createDataFrame(rows, "shard int, records long, crc32 long").repartition(parts)
+    return table.mapInArrow(_records_of(folder, manifest["sequence"], shard), CONTENTS)
+
+
+CONTENTS = "doc_id long, part int, slot long, shard int, byte_offset long, n_tokens int, tokens_crc32 long"
+
+
+def _described(rows: np.ndarray, number: int, first: int, shard: int) -> pa.RecordBatch:
+    """The columns CONTENTS of records of shard number, from record first on."""
+    place = np.arange(first, first + len(rows), dtype=np.int64)
+    crc = [zlib.crc32(r["tokens"][: r["used"]].tobytes()) for r in rows]
+    return pa.record_batch(
+        [pa.array(rows["doc_id"]), pa.array(rows["part"]), pa.array(place + number * shard), pa.array(np.full(len(rows), number, np.int32)), pa.array(place * rows.itemsize), pa.array(rows["used"]), pa.array(crc, pa.int64())],
+        ["doc_id", "part", "slot", "shard", "byte_offset", "n_tokens", "tokens_crc32"],
+    )
+
+
 def _read_back(sequence: int, shard: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, payload in zip(batch.column("shard").to_pylist(), batch.column("payload").to_pylist()):
-                rows = np.frombuffer(payload, record_type(sequence))
-                crc = [zlib.crc32(r["tokens"][: r["used"]].tobytes()) for r in rows]
-                yield pa.record_batch(
-                    [pa.array(rows["doc_id"]), pa.array(rows["part"]), pa.array(np.arange(len(rows), dtype=np.int64) + number * shard), pa.array(np.full(len(rows), number, np.int32)), pa.array(np.arange(len(rows), dtype=np.int64) * rows.itemsize), pa.array(rows["used"]), pa.array(crc, pa.int64())],
-                    ["doc_id", "part", "slot", "shard", "byte_offset", "n_tokens", "tokens_crc32"],
-                )
+                yield _described(np.frombuffer(payload, record_type(sequence)), number, 0, shard)
 
     return run
 
 
 def shard_contents(shards: DataFrame, sequence: int = SEQUENCE, shard: int = SHARD) -> DataFrame:
     """doc_id, part, slot, shard, byte_offset, n_tokens, tokens_crc32 of each record, read back from the shards' bytes."""
-    return shards.select("shard", "payload").mapInArrow(_read_back(sequence, shard), "doc_id long, part int, slot long, shard int, byte_offset long, n_tokens int, tokens_crc32 long")
+    return shards.select("shard", "payload").mapInArrow(_read_back(sequence, shard), CONTENTS)

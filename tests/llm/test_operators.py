@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from readloom.llm import bpe_chunks, chat_windows, license_scan, mixing, ngram_join, quality_rules, training_order, url_cascade, virtual_shards, winnowing
+from readloom.llm import bpe_chunks, chat_windows, license_scan, mixing, ngram_join, quality_rules, queries, training_order, url_cascade, virtual_shards, winnowing
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, node long, gram string, key string, size int"
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -173,6 +173,32 @@ def test_training_shards_round_trip(spark, tmp_path):
     assert training_order.training_shards(docs.where("doc_id > 99")).count() == 0
 
 
+def test_training_query_writes_and_reads_its_shards(spark, tmp_path, monkeypatch):
+    shared = tmp_path / "shared"
+    texts = [None, "", "abc", "é" * 4000, "x" * 1024, "long " * 900]
+    table(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    shared.mkdir()
+    plain = training_order._store
+    monkeypatch.setattr(training_order, "_store", lambda folder: plain(folder if str(tmp_path) in folder else str(shared)))
+    monkeypatch.setattr(queries, "fresh_folder", lambda spark: f"file://{shared}/{training_order.fresh_folder(spark).split('/')[-1]}")
+    rows = queries.op2_training_order(spark, str(tmp_path)).collect()
+    (folder,) = shared.iterdir()
+    manifest = json.loads((folder / "manifest.json").read_text())
+    files = sorted(folder.glob("shard-*.bin"))
+    assert manifest["total"] == len(rows) == sum(f.stat().st_size for f in files) // manifest["stride"] and len(manifest["crc32"]) == len(files)
+    back = {}
+    for r in rows:
+        record = training_order.read_slot(str(folder), r.slot)
+        assert (record["doc_id"], record["part"], record["used"]) == (r.doc_id, r.part, r.n_tokens)
+        back[r.doc_id, r.part] = bytes(t for t in record["tokens"][: r.n_tokens].tolist() if t < 256)
+    for i, t in enumerate(texts):
+        raw = (t or "").encode()
+        assert b"".join(back[i, p] for p in range(len(raw) // 1024 + 1)) == raw
+    files[0].write_bytes(files[0].read_bytes()[:-2] + b"\0\0")
+    with pytest.raises(Exception, match="not the file of the manifest"):
+        training_order.written_contents(spark, str(folder)).collect()
+
+
 def test_sharding(spark, tmp_path):
     rng = random.Random(2)
     docs = table(spark, [None, ""] + ["x" * rng.randint(0, 300) for _ in range(1500)])
