@@ -178,6 +178,23 @@ def _(spark, sf_dir) -> DataFrame:
     return D.used_header(a, fixture.references(spark, sf_dir), mate_of_mapped_only=True)[0].select("rank", "refid", "mate_refid")
 
 
+def _header_of_all(mate: str) -> str:
+    """The same over all rows."""
+    whole = _header(mate).replace(" AND rank % 2 = 0 AND refid <> 1", "").replace(" WHERE rank % 2 = 0 AND aln.refid <> 1", "")
+    assert "rank %" not in whole and "<> 1" not in whole
+    return whole
+
+
+@table_query("d7_used_header_of_all", _header_of_all("flag & 8 = 0"))
+def _(spark, sf_dir) -> DataFrame:
+    return D.used_header(fixture.alignments(spark, sf_dir), fixture.references(spark, sf_dir))[0].select("rank", "refid", "mate_refid")
+
+
+@table_query("d8_used_header_of_mapped_of_all", _header_of_all("flag & 4 = 0"))
+def _(spark, sf_dir) -> DataFrame:
+    return D.used_header(fixture.alignments(spark, sf_dir), fixture.references(spark, sf_dir), mate_of_mapped_only=True)[0].select("rank", "refid", "mate_refid")
+
+
 @query("d9_downsample")
 def _(a: DataFrame) -> DataFrame:
     return D.downsample(a, 0.3, 7, "SECONDARY").select("rank", "qname")
@@ -250,6 +267,12 @@ def _(a: DataFrame) -> DataFrame:
     return a.where(F.col("mapq") % 5 + F.col("mapq") % 3 == 4).select("rank", F.round(sequences.kmer_poisson(F.lit(23), counts, F.lit(2), {"A": 0.25, "C": 0.3, "G": 0.25, "T": 0.2}), 9).alias("p"))
 
 
+@query("j9_kmer_poisson_of_all", "SELECT rank, round(pow(m, 2) / 2 * exp(-m), 9) AS p FROM (SELECT rank, (24 - mapq % 5 - mapq % 3) * pow(0.25, mapq % 5) * pow(0.3, mapq % 3) AS m FROM aln) x")
+def _(a: DataFrame) -> DataFrame:
+    counts = {"A": F.col("mapq") % 5, "C": F.col("mapq") % 3, "G": F.lit(0), "T": F.lit(0)}
+    return a.select("rank", F.round(sequences.kmer_poisson(F.lit(23), counts, F.lit(2), {"A": 0.25, "C": 0.3, "G": 0.25, "T": 0.2}), 9).alias("p"))
+
+
 @query("j11_digests", "SELECT rank, md5(seq) AS md5, sha1(seq) AS sha1, sha256(seq) AS sha256 FROM aln")
 def _(a: DataFrame) -> DataFrame:
     return a.select("rank", F.md5("seq").alias("md5"), F.sha1("seq").alias("sha1"), F.sha2("seq", 256).alias("sha256"))

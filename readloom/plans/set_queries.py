@@ -380,6 +380,14 @@ def _(a: DataFrame) -> DataFrame:
     return asked.join(found, ["name", "pos", "len"]).select("rank", F.col("seq").alias("bases"))
 
 
+@query("a9_bases_of_all", f", {_REF} SELECT rank, substr(bases, pos + 1, 25) AS bases FROM aln JOIN r USING (refid)")
+def _(a: DataFrame) -> DataFrame:
+    asked = a.where("refid >= 0").select("rank", F.col("refid").cast("string").alias("name"), "pos", F.lit(25).alias("len"))
+    ref = _reference(a).select(F.col("refid").cast("string").alias("name"), "seq")
+    found = R.bases_of(asked.select("name", "pos", "len").distinct(), ref, 64)
+    return asked.join(found, ["name", "pos", "len"]).select("rank", F.col("seq").alias("bases"))
+
+
 @query("d18_best_chain")
 def _(a: DataFrame) -> DataFrame:
     return K.best_mappings(a, "chain").select("rank", "flag", "mate_refid", "mate_pos")

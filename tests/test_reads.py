@@ -299,6 +299,22 @@ def test_chains_break_at_the_gap(spark):
     assert [(r.offset, r.chain) for r in orders.chains(df, 5).orderBy("rank").collect()] == [(None, 1), (4, 1), (5, 2), (None, 1)]
 
 
+@pytest.mark.parametrize("name", ["a9_bases_of_all", "d7_used_header_of_all", "d8_used_header_of_mapped_of_all", "j9_kmer_poisson_of_all"])
+def test_queries_take_all_rows(spark, name):
+    test_queries_equal_their_sql(spark, name)
+    rows = fixture.alignments(spark, SF).where("refid >= 0") if name.startswith("a9") else fixture.alignments(spark, SF)
+    assert catalog.QUERIES[name](spark, SF).count() == rows.count()
+
+
+def test_header_leaves_out_unused_references(spark):
+    sq = spark.createDataFrame([(i, f"chr{i}", 1000) for i in range(5)], "refid int, name string, length int")
+    df = reads(spark, [{"refid": 2}, {"refid": 4, "flag": 1, "mate_refid": 2}, {"refid": -1, "flag": 5, "mate_refid": 0}])
+    for only, names_, ids in ((False, ["chr0", "chr2", "chr4"], [(1, -1), (2, 1), (-1, 0)]), (True, ["chr2", "chr4"], [(0, -1), (1, 0), (-1, -1)])):
+        rows, head = filters.used_header(df, sq, only)
+        assert [r.name for r in head.orderBy("refid").collect()] == names_
+        assert [(r.refid, r.mate_refid) for r in rows.orderBy("rank").collect()] == ids
+
+
 def test_entry_and_keys(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).limit(5).count() == 5
