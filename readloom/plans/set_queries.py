@@ -367,6 +367,12 @@ def _(a: DataFrame) -> DataFrame:
     return R.mismatch_tags(plain, _reference(a)).select("rank", aux.value(F.col("aux"), "NM").cast("long").alias("nm"))
 
 
+@query("c18_mismatch_tags_of_all")
+def _(a: DataFrame) -> DataFrame:
+    tags = R.mismatch_tags(a, _reference(a))
+    return tags.select("rank", aux.value(F.col("aux"), "MD").alias("md"), aux.value(F.col("aux"), "NM").cast("long").alias("nm"))
+
+
 @query("c19_checked_alignments")
 def _(a: DataFrame) -> DataFrame:
     return R.checked_alignments(a, _reference(a)).select("rank", cigar.to_text(F.col("cigar")).alias("cigar"), "seq")

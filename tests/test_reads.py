@@ -1,6 +1,7 @@
 """Read operators: hand-checked cases, round trips, and the SQL twins on the smallest tables."""
 
 import gzip
+import hashlib
 import itertools
 import os
 import random
@@ -150,6 +151,14 @@ def test_spans_over_several_pieces(spark):
     assert sorted(r["rank"] for r in reference.checked_alignments(reads(spark, rows), ref).select("rank").collect()) == sorted(want)
 
 
+def test_mismatch_tags_of_all_cigars(spark):
+    made = [hashlib.md5(str(n).encode()).hexdigest().translate(str.maketrans("0123456789abcdef", "ACGT" * 4)) * 35 for n in range(4)]
+    rows = text_of(fixture.alignments(spark, SF)).select("rank", "refid", "pos", "cigar", "seq", "flag").collect()
+    want = {r["rank"]: brute_reference(r.asDict(), made[r.refid])[1:] if r.refid >= 0 else (None, None) for r in rows}
+    got = {r["rank"]: (r.md, r.nm) for r in catalog.QUERIES["c18_mismatch_tags_of_all"](spark, SF).collect()}
+    assert got == want and len({r.cigar for r in rows}) == 6
+
+
 def test_depth_over_tiles_and_gaps(spark):
     df = reads(spark, [{"cigar": "4M2D4M"}, {"pos": 12, "cigar": "2S3M3N3M"}])
     for tile in (2, 64):
