@@ -406,7 +406,7 @@ def _(a: DataFrame) -> DataFrame:
 
 @query("f7_depth_peaks")
 def _(a: DataFrame) -> DataFrame:
-    return K.depth_peaks(A.depth(A.aligned_blocks(a)), 1.0, 4, 64)
+    return K.depth_peaks(A.depth(A.aligned_blocks(a)))
 
 
 @query("f10_checksum_products")
@@ -421,7 +421,7 @@ def _(a: DataFrame) -> DataFrame:
 
 @query("f11_near_collisions")
 def _(a: DataFrame) -> DataFrame:
-    return S.near_collisions(S.read_digests(a), most=3)
+    return S.near_collisions(S.read_digests(a))
 
 
 @query("f11_bit_bias")

@@ -324,6 +324,23 @@ def test_header_leaves_out_unused_references(spark):
         assert [(r.refid, r.mate_refid) for r in rows.orderBy("rank").collect()] == ids
 
 
+def test_near_collisions_up_to_seven_bits(spark, monkeypatch):
+    rng = random.Random(1)
+    values = [rng.getrandbits(32) for _ in range(40)]
+    values += [v ^ sum(1 << b for b in rng.sample(range(32), k)) for v in values for k in range(1, 9)]
+    monkeypatch.setattr(checksums, "read_digests", lambda df: spark.createDataFrame([(v,) for v in values], "b_seq long"))
+    got = {tuple(r) for r in catalog.QUERIES["f11_near_collisions"](spark, SF).select("a", "b", "distance").collect()}
+    want = {(a, b, (a ^ b).bit_count()) for a in values for b in values if a < b and (a ^ b).bit_count() <= 7}
+    assert got == want and {d for _, _, d in want} == set(range(1, 8))
+
+
+def test_depth_peaks_at_all_widths(spark, monkeypatch):
+    spots = [(0, 500, 2)] + [(0, p, 5) for p in range(5000, 6000)]  # too low at width 4, too wide at width 64
+    monkeypatch.setattr(aggregates, "depth", lambda blocks: spark.createDataFrame(spots, "refid int, pos int, depth int"))
+    assert sorted((r.start, r.height) for r in catalog.QUERIES["f7_depth_peaks"](spark, SF).collect()) == [(500, 2.0), (5000, 5.0)]
+    assert folds.depth_peaks(aggregates.depth(None), 1.0, 4, 64).count() == 0
+
+
 def test_entry_and_keys(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).limit(5).count() == 5
