@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from readloom.llm.bpe_chunks import bpe_encode
 from readloom.llm.mixing import mixed_documents
@@ -32,11 +33,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one of the smallest id. Documents without id stay."""
-    groups = ngram_jaccard_components(docs)
-    leave = checkpointed(groups.where("doc_id is not null and component_id <> doc_id").select("doc_id").distinct())
-    kept = docs.join(leave, "doc_id", "left_anti").select(docs.columns)
-    return kept
+    """One document of each group of near copies: the one of the smallest id; of equal ids any one, and one without id only where no other has one.
+
+    Groups are made by rows, so ids may be null or repeated. Documents without words stay.
+    """
+    # written once, so that a row keeps its number
+    rows = checkpointed(docs.withColumn("_row", F.monotonically_increasing_id()))
+    groups = ngram_jaccard_components(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
+    stay = groups.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id").agg(first.alias("first")).select("first._row")
+    return rows.join(checkpointed(stay), "_row", "left_semi").select(docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -37,3 +37,13 @@ def test_stages_on_a_small_corpus(spark, tmp_path):
     for r in rows:
         ids = lib.encode(texts[r.doc_id], add_special_tokens=False).ids
         assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+
+
+def test_one_row_of_each_group_stays(spark):
+    base = [" ".join(f"{k}{i}" for i in range(60)) for k in "abcd"]
+    near = base[0].replace("a59", "z")
+    texts = [base[0], near, base[1], base[0], base[2], base[2], base[3], base[3], None, ""]
+    ids = [5, 7, 7, None, None, None, 9, 9, None, None]
+    rows = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").repartition(3)
+    got = [tuple(r) for r in corpus_pipeline.near_duplicates(spark, rows, "").collect()]
+    assert sorted(map(str, got)) == sorted(map(str, [(5, base[0]), (7, base[1]), (None, base[2]), (9, base[3]), (None, None), (None, "")]))
