@@ -13,7 +13,7 @@ from readloom.llm.chat_windows import chat_windows, window_digests
 from readloom.llm.license_scan import license_scan
 from readloom.llm.ngram_join import ngram_jaccard_components
 from readloom.llm.runtime import read_table
-from readloom.llm.training_order import fresh_folder, training_shards, write_manifest, written_contents
+from readloom.llm.training_order import fresh_folder, write_training_order, written_contents
 from readloom.llm.url_cascade import ORACLE as URL_ORACLE
 from readloom.llm.url_cascade import url_verdicts
 from readloom.llm.virtual_shards import sharded
@@ -29,7 +29,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = fresh_folder(spark)
-    write_manifest(folder, training_shards(read_table(spark, sf_dir, "documents"), folder, with_payload=False))
+    write_training_order(read_table(spark, sf_dir, "documents"), folder)
     return written_contents(spark, folder)
 
 

@@ -1,9 +1,15 @@
 """Training-order materialisation: fixed-length token sequences in a keyed pseudo-random global order.
 
-Every sequence has an index (0 to N - 1, from counts by bucket of ids) and a slot: a keyed Feistel
-permutation of the index, walked along its cycle until it falls below N. Slots are dealt in ranges
-to shards of fixed-stride records, so record r of shard s is found by arithmetic alone, a reader
-goes through a shard in sequence, and training resumes at any slot.
+Texts are packed one after another, each with an end token, and cut into sequences of equal length,
+so that no record is padded but a task's last. Every sequence has an index (0 to N - 1, in the order
+of the table) and a slot: a keyed Feistel permutation of the index, walked along its cycle until it
+falls below N. Ranges of slots go to the partitions of one shuffle, which sort and write them as
+shards of fixed-stride records. So record r of shard s is found by arithmetic alone, a reader goes
+through a shard in sequence, and training resumes at any slot.
+
+A folder of shards holds, besides shard-*.bin: manifest.json (key, sizes, counts), manifest (records and
+CRC of each shard), parts (the first index of each part of the table) and documents (where each
+document lies). The last three are Parquet, as they grow with the table.
 """
 
 from __future__ import annotations
@@ -19,28 +25,31 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from readloom.llm.runtime import ship_code
+from readloom.llm.runtime import ship_code, text_batches, utf8_buffer
 from readloom.llm.shingles import mix
 
-#: Tokens of a sequence, sequences of a shard.
-SEQUENCE, SHARD = 1024, 2048
+#: Tokens of a sequence, sequences of a shard (17 MB of byte tokens).
+SEQUENCE, SHARD = 1024, 1 << 14
+#: A task sorts at most so many shards (2 GB of byte tokens, which Spark spills as it must).
+RANGE_SHARDS = 128
 KEY = 0x5EED
 ROUNDS = 6
-#: Buckets of ids, by which sequences are counted: the table of counts has so many rows at most.
-BUCKETS = 4096
-#: Byte tokens: the UTF-8 bytes, and one that ends a text.
-END = 256
-#: A record: doc_id, sequence in the document, tokens used, then the tokens (the rest END).
-HEADER = np.dtype([("doc_id", "<i8"), ("part", "<i4"), ("used", "<i4")])
-TOKEN = np.dtype("<u2")
+#: Byte tokens: the UTF-8 bytes, and 0xFF, which UTF-8 never uses, at the end of a text.
+END = 0xFF
 
 
-def record_type(sequence: int = SEQUENCE) -> np.dtype:
-    return np.dtype([*[(n, HEADER[n].str) for n in HEADER.names], ("tokens", TOKEN.str, (sequence,))])
+def token_type(end: int = END) -> np.dtype:
+    """The narrowest unsigned type for tokens up to end, the highest one."""
+    return np.dtype("<u1" if end < 1 << 8 else "<u2" if end < 1 << 16 else "<u4")
+
+
+def record_type(sequence: int = SEQUENCE, end: int = END) -> np.dtype:
+    """A record: index of the sequence, tokens used, then the tokens (the rest are end tokens)."""
+    return np.dtype([("index", "<i8"), ("used", "<i8"), ("tokens", token_type(end).str, (sequence,))])
 
 
 def _half_bits(n: int) -> int:
@@ -76,50 +85,71 @@ def index_of(slots: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
     return x.astype(np.int64)
 
 
-def _sequences(n: int, key: int, sequence: int, shard: int):
-    """Arrow function: the bytes of each sequence of each text, with its slot and shard."""
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrow function: part (the task's partition), doc_id, start (tokens before it in the part) and n of each document."""
+    part, start = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        n = batch.column("n").to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = start + np.cumsum(n)
+        yield pa.record_batch([pa.array(np.full(len(n), part, np.int32)), batch.column("doc_id"), pa.array(ends - n), pa.array(n)], ["part", "doc_id", "start", "n"])
+        start = int(ends[-1]) if len(n) else start
+
+
+def _token_streams(batch: pa.RecordBatch, end: int) -> Iterator[np.ndarray]:
+    """The tokens of a batch's documents, each with the end token behind it, in a few pieces."""
+    if pa.types.is_list(batch.schema.field("tokens").type):
+        col = batch.column("tokens")
+        values, offsets = col.flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *(0 if v is None else v for v in col.value_lengths().to_pylist())])
+        pieces = [(values, offsets)]
+    else:
+        pieces = (utf8_buffer(b.column("tokens")) for b in text_batches(batch, "tokens"))
+    for values, offsets in pieces:
+        n = len(offsets) - 1
+        if len(values) and (values.min() < 0 or values.max() >= end):
+            raise ValueError(f"tokens must lie below the end token, {end}")
+        out = np.full(len(values) + n, end, token_type(end))
+        inner = np.ones(len(out), bool)
+        inner[offsets[1:] + np.arange(n)] = False
+        out[inner] = values
+        yield out
+
+
+def _packed(starts, n: int, key: int, sequence: int, end: int):
+    """Arrow function: slot and record of each sequence. starts: (first index, tokens) by part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        index, want = starts.value.get(part, (0, 0))
+        kind = record_type(sequence, end)
+        seen, carry = 0, np.zeros(0, token_type(end))
+
+        def records(tokens: np.ndarray, used: int) -> Iterator[pa.RecordBatch]:
+            nonlocal index
+            for at in range(0, len(tokens), 4096):
+                rows = tokens[at : at + 4096]
+                out = np.empty(len(rows), kind)
+                out["index"], out["used"], out["tokens"] = np.arange(index, index + len(rows)), used, rows
+                index += len(rows)
+                offsets = pa.py_buffer(np.arange(len(rows) + 1, dtype=np.int32) * np.int32(kind.itemsize))
+                yield pa.record_batch([pa.array(slots_of(out["index"], n, key)), pa.Array.from_buffers(pa.binary(), len(rows), [None, offsets, pa.py_buffer(out.tobytes())])], ["slot", "record"])
+
         for batch in batches:
-            ids, firsts = batch.column("doc_id").to_pylist(), batch.column("first").to_pylist()
-            for i, text in enumerate(batch.column("text")):
-                raw = (text.as_py() or "").encode()
-                parts = len(raw) // sequence + 1
-                # a long text goes out in slices, so that memory stays bounded
-                for at in range(0, parts, 1024):
-                    place = np.arange(at, min(at + 1024, parts), dtype=np.int64)
-                    slots = slots_of(place + firsts[i], n, key)
-                    doc_id = np.full(len(place), -1 if ids[i] is None else ids[i], np.int64)
-                    cut = [raw[k * sequence : (k + 1) * sequence] for k in place.tolist()]
-                    yield pa.record_batch([pa.array(slots // shard, pa.int32()), pa.array(slots), pa.array(doc_id), pa.array(place, pa.int32()), pa.array(cut, pa.binary())], ["shard", "slot", "doc_id", "part", "bytes"])
+            for tokens in _token_streams(batch, end):
+                seen += len(tokens)
+                if seen > want:
+                    break
+                stream = np.concatenate([carry, tokens]) if len(carry) else tokens
+                whole = len(stream) // sequence * sequence
+                yield from records(stream[:whole].reshape(-1, sequence), sequence)
+                carry = stream[whole:].copy()
+        if seen != want:
+            raise ValueError(f"part {part} of the table has other rows than when its tokens were counted")
+        if len(carry):
+            yield from records(np.pad(carry, (0, sequence - len(carry)), constant_values=end)[None, :], len(carry))
 
     return run
 
 
-def training_sequences(docs: DataFrame, key: int = KEY, sequence: int = SEQUENCE, shard: int = SHARD) -> tuple[DataFrame, int]:
-    """(shard, slot, doc_id, part, bytes for each sequence of docs, number of sequences N). docs: doc_id, text; more columns are ignored.
-
-    A text gives its UTF-8 bytes as token ids and END, cut into sequences; null and empty texts give
-    one sequence with END alone. Null ids are written as -1. Equal rows get slots of their own. An
-    empty table has no sequences.
-    """
-    ship_code(docs.sparkSession)
-    text = F.coalesce("text", F.lit(""))
-    parts = (F.floor(F.octet_length(text) / sequence) + 1).cast("long")
-    bucket = F.pmod(F.xxhash64("doc_id", F.octet_length(text)), F.lit(BUCKETS)).cast("int")
-    rows = docs.select("doc_id", text.alias("text"), parts.alias("parts"), bucket.alias("bucket"))
-    counts = rows.groupBy("bucket").agg(F.sum("parts").alias("parts")).orderBy("bucket").collect()
-    starts, n = [], 0
-    for r in counts:
-        starts.append((r.bucket, n))
-        n += r.parts
-    table = docs.sparkSession.createDataFrame(starts, "bucket int, start long")
-    before = Window.partitionBy("bucket").orderBy("doc_id", "text").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("within", F.coalesce(F.sum("parts").over(before), F.lit(0))).join(F.broadcast(table), "bucket")
-    firsts = placed.select("doc_id", "text", (F.col("start") + F.col("within")).alias("first"))
-    return firsts.mapInArrow(_sequences(n, key, sequence, shard), "shard int, slot long, doc_id long, part int, bytes binary"), n
-
-
 def _store(folder: str) -> tuple[fs.FileSystem, str]:
     """The file system of a path or URI, and the path there."""
     folder = re.sub("^file:/+", "/", folder.rstrip("/"))
@@ -127,94 +157,134 @@ def _store(folder: str) -> tuple[fs.FileSystem, str]:
 
 
 def shard_name(number: int) -> str:
-    return f"shard-{number:06d}.bin"
-
-
-def _files(folder: str | None, sequence: int, shard: int, n: int, with_payload: bool):
-    """Arrow function: whole shards, from rows in the order of shard and slot."""
-    kind = record_type(sequence)
-
-    def put(number: int, rows: list[tuple[int, int, bytes]]) -> tuple:
-        want = min(shard, n - number * shard)
-        if len(rows) != want:
-            raise ValueError(f"shard {number} has {len(rows)} records, not {want}")
-        records = np.zeros(want, kind)
-        records["tokens"] = END
-        for record, (doc_id, part, some) in zip(records, rows):
-            record["doc_id"], record["part"] = doc_id, part
-            record["used"] = min(sequence, len(some) + 1)  # the last sequence has room for END
-            record["tokens"][: len(some)] = np.frombuffer(some, np.uint8)
-        payload = records.tobytes()
-        if folder:
-            store, top = _store(folder)
-            name = f"{top}/{shard_name(number)}"
-            with store.open_output_stream(part := f"{name}.{uuid.uuid4().hex}.part") as f:
-                f.write(payload)
-            store.move(part, name)  # whole or not at all, so a task that is run again does no harm
-        return number, want, kind.itemsize, zlib.crc32(payload), payload if with_payload else None
+    return f"shard-{number:08d}.bin"
+
+
+def _write_shards(folder: str, n: int, shard: int, stride: int):
+    """Arrow function: writes whole shards from records that come in the order of slots; shard, records, crc32 of each. Holds one batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["shard", "records", "stride", "crc32", "payload"]
-        types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-        now, records = None, []
-        out = lambda row: pa.record_batch([pa.array([v], t) for v, t in zip(row, types)], names)
+        store, top = _store(folder)
+        number, out, crc, done, name = -1, None, 0, 0, ""
         for batch in batches:
-            for number, *row in zip(*(batch.column(c).to_pylist() for c in ("shard", "doc_id", "part", "bytes"))):
-                if number != now:
-                    if records:
-                        yield out(put(now, records))
-                    now, records = number, []
-                records.append(tuple(row))
-        if records:
-            yield out(put(now, records))
+            slots, records = batch.column("slot").to_numpy(), batch.column("record")
+            offsets = np.frombuffer(records.buffers()[1], np.int32)[records.offset :]
+            data = records.buffers()[2]
+            at = 0
+            while at < len(slots):
+                if out is None:
+                    number, crc, done = int(slots[at]) // shard, 0, 0
+                    # whole or not at all, so a task that is run again does no harm
+                    name = f"{top}/{shard_name(number)}.{uuid.uuid4().hex}.part"
+                    out = store.open_output_stream(name)
+                first = number * shard + done
+                size = min(shard, n - number * shard)
+                take = min(len(slots) - at, size - done)
+                if not np.array_equal(slots[at : at + take], np.arange(first, first + take)):
+                    out.close()
+                    raise ValueError(f"the slots of shard {number} have a gap or a repeat")
+                some = data.slice(int(offsets[at]), take * stride)
+                out.write(some)
+                crc, done, at = zlib.crc32(some, crc), done + take, at + take
+                if done == size:
+                    out.close()
+                    store.move(name, f"{top}/{shard_name(number)}")
+                    yield pa.record_batch([pa.array([number]), pa.array([size]), pa.array([crc])], ["shard", "records", "crc32"])
+                    out = None
+        if out is not None:
+            out.close()
+            raise ValueError(f"shard {number} has {done} records only")
 
     return run
 
 
-def training_shards(docs: DataFrame, folder: str | None = None, key: int = KEY, sequence: int = SEQUENCE, shard: int = SHARD, with_payload: bool = True) -> DataFrame:
-    """shard, records, stride, crc32, payload: the shard files of docs. A shard's size is fixed, so a task's memory is too.
-
-    folder: where to write shard-000000.bin and so on (a path or URI that all executors share); None: nowhere.
-    Without with_payload the bytes go to the files only, and payload is null.
-    Rows as in training_sequences.
-    """
-    records, n = training_sequences(docs, key, sequence, shard)
-    dealt = records.repartition("shard").sortWithinPartitions("shard", "slot")
-    return dealt.mapInArrow(_files(folder, sequence, shard, n, with_payload), "shard int, records long, stride long, crc32 long, payload binary")
+def write_training_order(docs: DataFrame, folder: str, key: int = KEY, sequence: int = SEQUENCE, shard: int = SHARD, ids: str | None = None, end: int = END) -> dict:
+    """Writes docs (doc_id, text; more columns are ignored) to folder in training order and returns the manifest.
 
+    folder: a path or URI that all executors share. Tokens are the UTF-8 bytes of text, and END; or,
+    with ids (the name of a column array<int>), those ids and end, which must be above all of them.
+    Null and empty texts have an end token only; null ids stay null in the table of documents.
+    Repeated rows are documents of their own. An empty table gives a manifest without shards.
 
-def write_manifest(folder: str, shards: DataFrame, key: int = KEY, sequence: int = SEQUENCE, shard: int = SHARD) -> dict:
-    """Runs training_shards' plan, writes the files and manifest.json, and returns the manifest."""
-    # sorted here, as orderBy would run the plan a second time for its sample
-    rows = sorted(shards.select("shard", "records", "crc32").collect())
-    manifest = {"key": key, "sequence": sequence, "shard": shard, "stride": record_type(sequence).itemsize, "total": sum(r.records for r in rows), "crc32": [r.crc32 for r in rows]}
+    docs is read twice and must give the same partitions both times, as files and checkpoints do; a
+    part whose tokens differ from their count raises. The order is that of the table as it is read, so
+    the same files, split alike, give the same shards. All tables on the driver go by partitions.
+    """
+    spark = docs.sparkSession
+    ship_code(spark)
     store, top = _store(folder)
+    store.create_dir(top)
+    tokens = F.col(f"`{ids}`") if ids else F.coalesce("text", F.lit(""))
+    size = (F.coalesce(F.size(tokens), F.lit(0)) if ids else F.octet_length(tokens)).cast("long") + 1
+    if ids:
+        size = F.greatest(size, F.lit(1))
+    docs.select("doc_id", size.alias("n")).mapInArrow(_places, "part int, doc_id long, start long, n long").write.parquet(f"{folder}/documents")
+    totals = spark.read.parquet(f"{folder}/documents").groupBy("part").agg(F.max(F.col("start") + F.col("n")).alias("tokens")).collect()
+    starts, n = {}, 0
+    for r in sorted(totals):
+        starts[r.part] = (n, r.tokens)
+        n += -(-r.tokens // sequence)
+    spark.createDataFrame([(p, first, t) for p, (first, t) in starts.items()], "part int, first long, tokens long").coalesce(1).write.parquet(f"{folder}/parts")
+
+    known = spark.sparkContext.broadcast(starts)
+    packed = docs.select(tokens.alias("tokens")).mapInArrow(_packed(known, n, key, sequence, end), "slot long, record binary")
+    n_shards = -(-n // shard)
+    per_range = max(1, min(RANGE_SHARDS, n_shards // (4 * spark.sparkContext.defaultParallelism)))
+    ranges = max(1, -(-n_shards // per_range))
+    dealt = packed.repartitionById(ranges, F.floor(F.col("slot") / (shard * per_range)).cast("int")).sortWithinPartitions("slot")
+    stride = record_type(sequence, end).itemsize
+    dealt.mapInArrow(_write_shards(folder, n, shard, stride), "shard long, records long, crc32 long").write.parquet(f"{folder}/manifest")
+    manifest = {"key": key, "sequence": sequence, "shard": shard, "stride": stride, "end": end, "total": n}
     with store.open_output_stream(f"{top}/manifest.json") as f:
         f.write(json.dumps(manifest).encode())
     return manifest
 
 
-def read_slot(folder: str, slot: int) -> np.void:
-    """The record at a slot of written shards."""
-    with open(os.path.join(folder, "manifest.json")) as f:
-        manifest = json.load(f)
-    with open(os.path.join(folder, f"shard-{slot // manifest['shard']:06d}.bin"), "rb") as f:
-        f.seek(slot % manifest["shard"] * manifest["stride"])
-        return np.frombuffer(f.read(manifest["stride"]), record_type(manifest["sequence"]))[0]
+def read_manifest(folder: str) -> dict:
+    store, top = _store(folder)
+    with store.open_input_stream(f"{top}/manifest.json") as f:
+        return json.loads(f.read())
+
+
+def records_from(folder: str, slot: int = 0, batch: int = 256) -> Iterator[np.ndarray]:
+    """The records from a slot on, in batches, read in sequence: how training resumes."""
+    manifest = read_manifest(folder)
+    store, top = _store(folder)
+    kind = record_type(manifest["sequence"], manifest["end"])
+    while slot < manifest["total"]:
+        number, at = divmod(slot, manifest["shard"])
+        with store.open_input_file(f"{top}/{shard_name(number)}") as f:
+            f.seek(at * kind.itemsize)
+            while some := f.read(batch * kind.itemsize):
+                rows = np.frombuffer(some, kind)
+                slot += len(rows)
+                yield rows
 
 
 def fresh_folder(spark: SparkSession) -> str:
-    """A new folder, as a URI, under the session's checkpoint folder, which all executors share; under a temporary one where that is unset."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="readloom-shards-")
+    """A new folder, as a URI, under the session's checkpoint folder, which all executors share; under a temporary one where that is unset and the session is local."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="readloom-shards-")
     store, top = _store(shared)
     name = f"training-shards-{uuid.uuid4().hex}"
     store.create_dir(f"{top}/{name}")
     return f"{shared.rstrip('/')}/{name}"
 
 
-def _records_of(folder: str, sequence: int, shard: int, batch: int = 1 << 8):
-    """Arrow function: the records of the shards whose numbers come in, read from the files in sequence."""
-    kind = record_type(sequence)
+def _read_shards(folder: str, manifest: dict, batch: int = 1 << 10):
+    """Arrow function: what the shards whose numbers come in hold, read from the files in sequence."""
+    kind, shard = record_type(manifest["sequence"], manifest["end"]), manifest["shard"]
+
+    def described(rows: np.ndarray, number: int, first: int) -> pa.RecordBatch:
+        place = np.arange(first, first + len(rows), dtype=np.int64)
+        crc = [zlib.crc32(t[:u]) for t, u in zip(rows["tokens"], rows["used"].tolist())]
+        return pa.record_batch(
+            [pa.array(place + number * shard), pa.array(np.full(len(rows), number, np.int64)), pa.array(place * rows.itemsize), pa.array(rows["index"]), pa.array(rows["used"]), pa.array(crc, pa.int64())],
+            ["slot", "shard", "byte_offset", "index", "n_tokens", "tokens_crc32"],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, top = _store(folder)
@@ -225,7 +295,7 @@ def _records_of(folder: str, sequence: int, shard: int, batch: int = 1 << 8):
                     while some := f.read(batch * kind.itemsize):
                         found = zlib.crc32(some, found)
                         rows = np.frombuffer(some, kind)
-                        yield _described(rows, number, at, shard)
+                        yield described(rows, number, at)
                         at += len(rows)
                 if at != want or found != crc:
                     raise ValueError(f"{shard_name(number)} is not the file of the manifest")
@@ -234,39 +304,20 @@ def _records_of(folder: str, sequence: int, shard: int, batch: int = 1 << 8):
 
 
 def written_contents(spark: SparkSession, folder: str) -> DataFrame:
-    """As shard_contents, of the shards and manifest written to folder. Each file is read in sequence and held against the manifest's counts and CRCs."""
-    store, top = _store(folder)
-    with store.open_input_stream(f"{top}/manifest.json") as f:
-        manifest = json.loads(f.read())
-    total, shard = manifest["total"], manifest["shard"]
-    rows = [(i, min(shard, total - i * shard), crc) for i, crc in enumerate(manifest["crc32"])]
-    parts = max(1, min(len(rows), 4 * spark.sparkContext.defaultParallelism))
-    table = spark.createDataFrame(rows, "shard int, records long, crc32 long").repartition(parts)
-    return table.mapInArrow(_records_of(folder, manifest["sequence"], shard), CONTENTS)
-
-
-CONTENTS = "doc_id long, part int, slot long, shard int, byte_offset long, n_tokens int, tokens_crc32 long"
-
-
-def _described(rows: np.ndarray, number: int, first: int, shard: int) -> pa.RecordBatch:
-    """The columns CONTENTS of records of shard number, from record first on."""
-    place = np.arange(first, first + len(rows), dtype=np.int64)
-    crc = [zlib.crc32(r["tokens"][: r["used"]].tobytes()) for r in rows]
-    return pa.record_batch(
-        [pa.array(rows["doc_id"]), pa.array(rows["part"]), pa.array(place + number * shard), pa.array(np.full(len(rows), number, np.int32)), pa.array(place * rows.itemsize), pa.array(rows["used"]), pa.array(crc, pa.int64())],
-        ["doc_id", "part", "slot", "shard", "byte_offset", "n_tokens", "tokens_crc32"],
-    )
+    """slot, shard, byte_offset, index, n_tokens, tokens_crc32, doc_ids of each record of a folder.
 
-
-def _read_back(sequence: int, shard: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for number, payload in zip(batch.column("shard").to_pylist(), batch.column("payload").to_pylist()):
-                yield _described(np.frombuffer(payload, record_type(sequence)), number, 0, shard)
-
-    return run
-
-
-def shard_contents(shards: DataFrame, sequence: int = SEQUENCE, shard: int = SHARD) -> DataFrame:
-    """doc_id, part, slot, shard, byte_offset, n_tokens, tokens_crc32 of each record, read back from the shards' bytes."""
-    return shards.select("shard", "payload").mapInArrow(_read_back(sequence, shard), CONTENTS)
+    Each file is read in sequence and held against the manifest's counts and CRCs. doc_ids: the
+    documents that the record holds some of, in order (at most one for each token; ids may be null).
+    """
+    ship_code(spark)
+    manifest = read_manifest(folder)
+    table = spark.read.parquet(f"{folder}/manifest")
+    parts = max(1, min(-(-manifest["total"] // manifest["shard"]), 4 * spark.sparkContext.defaultParallelism))
+    schema = "slot long, shard long, byte_offset long, index long, n_tokens long, tokens_crc32 long"
+    records = table.repartition(parts).mapInArrow(_read_shards(folder, manifest), schema)
+    long = F.lit(manifest["sequence"])
+    docs = spark.read.parquet(f"{folder}/documents").join(spark.read.parquet(f"{folder}/parts").select("part", "first"), "part")
+    low, high = F.floor(F.col("start") / long), F.floor((F.col("start") + F.col("n") - 1) / long)
+    held = docs.select("doc_id", "start", F.explode(F.sequence(F.col("first") + low, F.col("first") + high)).alias("index"))
+    lists = held.groupBy("index").agg(F.transform(F.sort_array(F.collect_list(F.struct("start", "doc_id"))), lambda x: x["doc_id"]).alias("doc_ids"))
+    return records.join(lists, "index").select("slot", "shard", "byte_offset", "index", "n_tokens", "tokens_crc32", "doc_ids")

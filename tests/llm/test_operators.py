@@ -5,6 +5,7 @@ import json
 import math
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -153,50 +154,75 @@ def test_slots_are_a_permutation(n):
     assert n < 100 or (slots != training_order.slots_of(np.arange(n), n, key=1)).any()
 
 
-def test_training_shards_round_trip(spark, tmp_path):
-    texts = [None, "", "abc", "é" * 40, "x" * 16, "x" * 16, "long " * 300]
-    docs = table(spark, texts, [0, 1, 2, 3, 4, 4, None])
-    shards = training_order.training_shards(docs, str(tmp_path), sequence=16, shard=8)
-    manifest = training_order.write_manifest(str(tmp_path), shards, sequence=16, shard=8)
-    records = [training_order.read_slot(str(tmp_path), s) for s in range(manifest["total"])]
-    back = {}
-    for r in records:
-        back.setdefault((int(r["doc_id"]), int(r["part"])), []).append(bytes(r["tokens"][: r["used"]].astype(np.uint8)) if r["tokens"][: r["used"]].max(initial=0) < 256 else bytes(t for t in r["tokens"][: r["used"]].tolist() if t < 256))
-    for i, t in zip([0, 1, 2, 3, -1], [texts[k] for k in (0, 1, 2, 3, 6)]):
-        raw = (t or "").encode()
-        assert b"".join(back[i, p][0] for p in range(len(raw) // 16 + 1)) == raw
-    assert len(back[4, 0]) == 2
-    again = training_order.training_shards(docs, None, sequence=16, shard=8).select("shard", "crc32").orderBy("shard").collect()
-    assert [r.crc32 for r in again] == manifest["crc32"]
-    contents = training_order.shard_contents(training_order.training_shards(docs, None, sequence=16, shard=8), 16, 8)
-    assert sorted(r.slot for r in contents.collect()) == list(range(manifest["total"]))
-    assert training_order.training_shards(docs.where("doc_id > 99")).count() == 0
-
-
-def test_training_query_writes_and_reads_its_shards(spark, tmp_path, monkeypatch):
-    shared = tmp_path / "shared"
-    texts = [None, "", "abc", "é" * 4000, "x" * 1024, "long " * 900]
+def rebuilt(spark, folder):
+    """(doc_id, tokens) of all documents of a folder of shards, by brute force."""
+    manifest = training_order.read_manifest(folder)
+    records = np.concatenate([*training_order.records_from(folder, batch=3), np.zeros(0, training_order.record_type(manifest["sequence"], manifest["end"]))])
+    assert len(records) == manifest["total"]
+    assert (training_order.slots_of(records["index"], manifest["total"]) == np.arange(len(records))).all()
+    by = {int(r["index"]): r for r in records}
+    first = {r.part: r.first for r in spark.read.parquet(f"{folder}/parts").collect()}
+    out, places = [], {}
+    for d in spark.read.parquet(f"{folder}/documents").orderBy("part", "start").collect():
+        length = manifest["sequence"]
+        at = first[d.part] * length + d.start
+        tokens = [int(by[k // length]["tokens"][k % length]) for k in range(at, at + d.n)]
+        assert tokens[-1] == manifest["end"] and manifest["end"] not in tokens[:-1]
+        for k in range(at // length, (at + d.n - 1) // length + 1):
+            places.setdefault(k, []).append(d.doc_id)
+        out.append((d.doc_id, tokens[:-1]))
+    return out, by, places
+
+
+@pytest.mark.parametrize("as_ids", [False, True])
+def test_training_order_round_trip(spark, tmp_path, as_ids):
+    texts = [None, "", "abc", "\u00e9" * 40, "x" * 16, "x" * 16, "long " * 300, "y" * 15, "z" * 5000]
+    ids = [0, 1, 2, 3, 4, 4, None, -1, 7]
+    rows = [(i, t, None if t is None else list(t.encode()), "k", 3) for i, t in zip(ids, texts)]
+    path = str(tmp_path / "in")
+    spark.createDataFrame(rows, "doc_id long, text string, tokens array<int>, slot string, index int").repartition(3).write.parquet(path)
+    docs, folder = spark.read.parquet(path), str(tmp_path / "out")
+    how = {"ids": "tokens", "end": 50_000} if as_ids else {}
+    manifest = training_order.write_training_order(docs, folder, sequence=16, shard=8, **how)
+    out, by, places = rebuilt(spark, folder)
+    assert sorted(map(str, out)) == sorted(str((i, list((t or "").encode()))) for i, t in zip(ids, texts))
+    contents = {r.slot: r for r in training_order.written_contents(spark, folder).collect()}
+    assert sorted(contents) == list(range(manifest["total"]))
+    for slot, r in contents.items():
+        record = by[r["index"]]
+        assert training_order.slots_of(np.array([r["index"]]), manifest["total"])[0] == slot
+        assert (r.shard, r.byte_offset, r.n_tokens, list(r.doc_ids)) == (slot // 8, slot % 8 * manifest["stride"], record["used"], places[r["index"]])
+        assert r.tokens_crc32 == zlib.crc32(record["tokens"][: record["used"]].tobytes())
+    assert next(training_order.records_from(folder, 13))["index"][0] == contents[13]["index"]
+    again = str(tmp_path / "again")
+    training_order.write_training_order(docs, again, sequence=16, shard=8, **how)
+    assert [open(f"{folder}/{training_order.shard_name(k)}", "rb").read() == open(f"{again}/{training_order.shard_name(k)}", "rb").read() for k in range(manifest["total"] // 8)]
+    with open(f"{folder}/{training_order.shard_name(0)}", "r+b") as f:
+        f.seek(40)
+        f.write(b"\1\2\3")
+    with pytest.raises(Exception, match="not the file of the manifest"):
+        training_order.written_contents(spark, folder).collect()
+
+
+def test_training_order_of_long_texts_and_nothing(spark, tmp_path):
+    texts = ["ab" * 3_000_000, None, "c"]
+    table(spark, texts).write.parquet(str(tmp_path / "in"))
+    docs = spark.read.parquet(str(tmp_path / "in"))
+    manifest = training_order.write_training_order(docs, str(tmp_path / "out"), shard=512)
+    tokens = sum(int(r["used"].sum()) for r in training_order.records_from(str(tmp_path / "out")))
+    assert tokens == 6_000_000 + 1 + 3 and manifest["total"] == spark.read.parquet(str(tmp_path / "out/manifest")).agg(F.sum("records")).first()[0]
+    assert training_order.write_training_order(docs.where("doc_id > 99"), str(tmp_path / "none"))["total"] == 0
+    assert training_order.written_contents(spark, str(tmp_path / "none")).count() == 0 and list(training_order.records_from(str(tmp_path / "none"))) == []
+    with pytest.raises(Exception, match="below the end token"):
+        training_order.write_training_order(docs.selectExpr("doc_id", "array(300) AS ids"), str(tmp_path / "bad"), ids="ids")
+
+
+def test_training_query_reads_what_it_wrote(spark, tmp_path):
+    texts = [None, "", "abc", "\u00e9" * 4000, "x" * 1024, "long " * 900]
     table(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
-    shared.mkdir()
-    plain = training_order._store
-    monkeypatch.setattr(training_order, "_store", lambda folder: plain(folder if str(tmp_path) in folder else str(shared)))
-    monkeypatch.setattr(queries, "fresh_folder", lambda spark: f"file://{shared}/{training_order.fresh_folder(spark).split('/')[-1]}")
     rows = queries.op2_training_order(spark, str(tmp_path)).collect()
-    (folder,) = shared.iterdir()
-    manifest = json.loads((folder / "manifest.json").read_text())
-    files = sorted(folder.glob("shard-*.bin"))
-    assert manifest["total"] == len(rows) == sum(f.stat().st_size for f in files) // manifest["stride"] and len(manifest["crc32"]) == len(files)
-    back = {}
-    for r in rows:
-        record = training_order.read_slot(str(folder), r.slot)
-        assert (record["doc_id"], record["part"], record["used"]) == (r.doc_id, r.part, r.n_tokens)
-        back[r.doc_id, r.part] = bytes(t for t in record["tokens"][: r.n_tokens].tolist() if t < 256)
-    for i, t in enumerate(texts):
-        raw = (t or "").encode()
-        assert b"".join(back[i, p] for p in range(len(raw) // 1024 + 1)) == raw
-    files[0].write_bytes(files[0].read_bytes()[:-2] + b"\0\0")
-    with pytest.raises(Exception, match="not the file of the manifest"):
-        training_order.written_contents(spark, str(folder)).collect()
+    assert sum(r.n_tokens for r in rows) == sum(len((t or "").encode()) + 1 for t in texts)
+    assert {i for r in rows for i in r.doc_ids} == set(range(6)) and sorted(r.slot for r in rows) == list(range(len(rows)))
 
 
 def test_sharding(spark, tmp_path):
