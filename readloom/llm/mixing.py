@@ -33,9 +33,9 @@ def _source_key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("s"), source), F.lit("n"))
 
 
-def row_hash(doc_id: Column, seed: str) -> Column:
-    """LEVELS * LEVEL_BITS bits which depend on doc_id and seed only."""
-    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 15)
+def row_hash(doc_id: Column, text: Column, seed: str) -> Column:
+    """LEVELS * LEVEL_BITS bits which depend on doc_id, text and seed only, so rows without an id or of one id differ by their texts."""
+    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(text, F.lit(""))))), 1, 15)
     return F.shiftright(F.conv(digits, 16, 10).cast("long"), 60 - LEVELS * LEVEL_BITS)
 
 
@@ -99,7 +99,7 @@ def _small(table: DataFrame) -> DataFrame:
 
 def mix_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED) -> tuple[DataFrame, DataFrame]:
     """(sized rows of docs, thresholds by source)."""
-    sized = docs.select("doc_id", "source", _source_key(F.col("source")).alias("key"), word_count(F.col("text")).alias("size"), row_hash(F.col("doc_id"), seed).alias("hash"))
+    sized = docs.select("doc_id", "source", _source_key(F.col("source")).alias("key"), word_count(F.col("text")).alias("size"), row_hash(F.col("doc_id"), F.col("text"), seed).alias("hash"))
     sized = checkpointed(sized)
     return sized, checkpointed(mix_thresholds(sized, weights, most))
 
@@ -112,8 +112,8 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     """doc_id, size, source, source_size, target, copies, taken for each row of docs (doc_id, text, source; more are ignored).
 
     size: words of the text (null or empty: 0); taken: size * copies. Null sources are a source of
-    their own. Rows of equal doc_id (null ids too) share their hash and are taken alike; repeated
-    rows come back as often as they came in. Reruns agree, as the hash depends on doc_id and seed only.
+    their own. Rows of equal doc_id (or none) and text share their hash and are taken alike; they come
+    back as often as they came in. Reruns agree, as the hash depends on doc_id, text and seed only.
     """
     sized, thresholds = mix_plan(docs, weights, most, seed)
     return sized.join(_small(thresholds), "key").select("doc_id", "size", "source", "source_size", "target", _copies().alias("copies"), (F.col("size") * _copies()).alias("taken"))
@@ -123,7 +123,7 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     """The rows of docs, each as often as the mix takes it (not at all, or up to most times)."""
     _, thresholds = mix_plan(docs, weights, most, seed)
     names = docs.columns
-    marked = docs.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(names)], _source_key(F.col("source")).alias("key"), row_hash(F.col("doc_id"), seed).alias("hash"))
+    marked = docs.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(names)], _source_key(F.col("source")).alias("key"), row_hash(F.col("doc_id"), F.col("text"), seed).alias("hash"))
     taken = marked.join(_small(thresholds), "key").withColumn("copies", _copies()).where("copies > 0")
     copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))
     return taken.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(names)], copies.alias("_copy")).drop("_copy")
@@ -133,7 +133,7 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
 ORACLE = rf"""
 WITH sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '{WORDS}')), 0) AS BIGINT) AS size,
-    CAST('0x' || substr(md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) >> {60 - LEVELS * LEVEL_BITS} AS h
+    CAST('0x' || substr(md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))), 1, 15) AS BIGINT) >> {60 - LEVELS * LEVEL_BITS} AS h
   FROM documents),
 per AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
 placed AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, source) AS place FROM per),
