@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -20,8 +20,9 @@ from readloom.llm.runtime import checkpointed, ship_code, text_batches
 from readloom.llm.shingles import mix
 
 GRAM, SPAN = 20, 60
-#: Neighbours in the order of ids are found in blocks of so many ids, then among the blocks' ends.
-BLOCK_IDS, BLOCKS = 1024, 1024
+#: Neighbours in the order of ids are found in blocks of about so many rows, then among the blocks'
+#: ends within families, then among the families.
+BLOCK_ROWS, FAMILIES = 2048, 64
 
 _STEP = 0x9E3779B97F4A7C15 | 1
 PIECE = 1 << 20
@@ -116,29 +117,66 @@ def _fingerprints(gram: int, span: int):
     return run
 
 
+def _blocks(rows: DataFrame) -> tuple[Column, Column]:
+    """(family, block) of a row of rows (doc_id, h: 53 bits of the text's hash): numbers that rise in the order of descending ids, nulls last, then h.
+
+    Families are ranges of ids between quantiles of the table; within one, blocks are equal stretches
+    of ids. An id that several quantiles fall on, and rows without id, are cut into blocks by h.
+    """
+    shares = [k / FAMILIES for k in range(FAMILIES + 1)]
+    stats = rows.agg(F.count("*").alias("n"), F.count("doc_id").alias("ids"), F.percentile_approx("doc_id", shares, 10_000).alias("bounds")).first()
+    bounds = [] if stats.bounds is None else stats.bounds
+    edges = sorted(set(bounds))
+    stretch = max(1, -(-stats.ids // (FAMILIES * BLOCK_ROWS)))
+    loose = max(1, -(-(stats.n - stats.ids) // BLOCK_ROWS))
+    cuts = {e: stretch * bounds.count(e) for e in edges if bounds.count(e) > 1}
+    most = max([loose, *cuts.values()])
+
+    def leaf(k: int) -> Column:
+        """Ids in (edges[k - 1], edges[k]]."""
+        low, high = float(edges[k - 1]) if k else float(edges[0]), float(edges[k])
+        place = F.floor((F.col("doc_id").cast("double") - low) * (stretch / (high - low))).cast("long") if high > low else F.lit(0).cast("long")
+        back = F.lit(stretch - 1) - F.least(F.greatest(place, F.lit(0).cast("long")), F.lit(stretch - 1).cast("long"))
+        return F.struct(F.lit(len(edges) - 1 - k).cast("long").alias("family"), back.cast("long").alias("sub"))
+
+    def tree(low: int, high: int) -> Column:
+        if low == high:
+            return leaf(low)
+        middle = (low + high) // 2
+        return F.when(F.col("doc_id") <= edges[middle], tree(low, middle)).otherwise(tree(middle + 1, high))
+
+    none = F.struct(F.lit(len(edges)).cast("long").alias("family"), F.lit(0).cast("long").alias("sub"))
+    where = F.when(F.col("doc_id").isNull(), none).otherwise(tree(0, len(edges) - 1)) if edges else none
+    pieces = F.when(F.col("doc_id").isNull(), F.lit(loose))
+    for e, n in cuts.items():
+        pieces = pieces.when(F.col("doc_id") == e, F.lit(n))
+    piece = F.floor(F.col("h") * pieces.otherwise(F.lit(1)) / F.lit(float(1 << 53))).cast("long")
+    return where["family"], (where["family"] * stretch + where["sub"]) * most + piece
+
+
 def with_next_text(docs: DataFrame) -> DataFrame:
     """doc_id, text, next_text: the text of the next document by descending id, cyclically.
 
-    Ids are dealt into blocks, in which a window finds the next text; only a block's last row looks
-    into the next block, by its place among the blocks of its group, and a group's last one into the
-    next group. So no task holds more than a block's texts, and texts are shuffled once. Of equal
-    ids, the lower text comes first; null ids come last.
+    A window finds the next text within a block of rows; only a block's last row looks into the next
+    block, found among the blocks of its family, and a family's last one into the next family, of
+    which there are some dozens at any size. Texts are shuffled once. Of equal ids, the lower hash of
+    the text comes first; null ids come last. Repeats of one row are in one block.
     """
-    key = F.coalesce(F.floor(F.col("doc_id") / BLOCK_IDS), F.lit(-(1 << 62)))
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), key.alias("block"))
-    rank = F.struct(F.col("doc_id").isNull().alias("none"), (-F.col("doc_id")).alias("back"), "text")
-    firsts = rows.groupBy("block").agg(F.min(rank).alias("least"))
-    firsts = checkpointed(firsts.select("block", F.floor(F.col("block") / BLOCKS).alias("family"), F.col("least.text").alias("first_text")))
-    order = Window.partitionBy("block").orderBy(F.col("doc_id").desc_nulls_last(), "text")
-    rows = rows.withColumn("next_text", F.lead("text").over(order))
-    inner = Window.partitionBy("family").orderBy(F.col("block").desc())
-    near = firsts.select("block", "family", F.lead("block").over(inner).alias("then"), F.row_number().over(inner).alias("place"))
-    heads = near.where("place = 1").select("family", F.col("block").alias("head"))
-    outer = Window.partitionBy().orderBy(F.col("family").desc())
-    wrap = heads.withColumn("then_head", F.coalesce(F.lead("head").over(outer), F.first("head").over(outer))).select("family", "then_head")
-    chain = near.join(wrap, "family").select("block", F.coalesce("then", "then_head").alias("then"))
-    after = chain.join(firsts.select(F.col("block").alias("then"), "first_text"), "then").select("block", "first_text")
-    joined = rows.join(checkpointed(after), "block", "left")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumn("h", F.shiftrightunsigned(F.xxhash64("text"), 11))
+    family, block = _blocks(rows)
+    rows = rows.withColumns({"family": family, "block": block})
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.negate(F.coalesce("doc_id", F.lit(0)).cast("decimal(20,0)")).alias("back"), "h", "text")
+    firsts = checkpointed(rows.groupBy("family", "block").agg(F.min(rank).alias("least")).select("family", "block", F.col("least.text").alias("first_text")))
+    inner = Window.partitionBy("family").orderBy("block")
+    near = firsts.select("family", "block", F.lead("block").over(inner).alias("then"))
+    heads = [tuple(r) for r in firsts.groupBy("family").agg(F.min("block").alias("head")).orderBy("family").collect()]
+    after_family = [(f, heads[(i + 1) % len(heads)][1]) for i, (f, _) in enumerate(heads)]
+    wrap = docs.sparkSession.createDataFrame(after_family, "family long, then_head long")
+    chain = near.join(F.broadcast(wrap), "family").select("block", F.coalesce("then", "then_head").alias("then"))
+    after = checkpointed(chain.join(firsts.select(F.col("block").alias("then"), "first_text"), "then").select("block", "first_text"))
+    order = Window.partitionBy("block").orderBy(F.col("doc_id").desc_nulls_last(), "h", "text")
+    joined = rows.withColumn("next_text", F.lead("text").over(order)).join(after, "block", "left")
     return joined.select("doc_id", "text", F.coalesce("next_text", "first_text").alias("next_text"))
 
 
