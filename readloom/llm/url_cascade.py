@@ -5,7 +5,7 @@ Level 1 encodes the listed hosts; level 2 those of the rest that level 1 lets th
 level 3 the listed ones that level 2 lets through, and so on until none are. A host is listed if
 the first level that refuses it is an even one (or if none does and the last is odd). Over the
 universe this is exact, and the urls are judged without a join: the filters come in as scalar
-subqueries of one row.
+subqueries of one row, of bounded size.
 """
 
 from __future__ import annotations
@@ -23,7 +23,8 @@ RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org
 LISTED = ("casino-win.example.org", "cheap-pills.example.com", "spam-farm.example.org", "malware-drop.example.net", "phish-bank.example.com")
 HASHES = 5
 BITS_PER_KEY = 8
-#: At most 1 MB of filter for a level; more listed hosts are looked up by a join.
+#: A level's filter has at most so many bits (1 MB). Where there are more keys, they are cut into parts by
+#: a hash, each with a cascade of its own, so that what a task holds stays as it is.
 MAX_BITS = 1 << 23
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -76,43 +77,53 @@ def _passes(key: Column, words: Column, level: int, bits: int) -> Column:
 
 
 class Cascade:
-    """Levels of filters; contains() is exact for every key of the universe they were built over."""
+    """Levels of filters for each part of the keys; judged() is exact for every key of the universe they were built over."""
 
-    def __init__(self, universe: DataFrame, listed: DataFrame):
+    def __init__(self, universe: DataFrame, listed: DataFrame, max_bits: int | None = None):
         """universe: distinct keys; listed: keys, of which those in the universe count. Nulls are left out."""
-        universe = universe.where("key is not null")
-        marked = checkpointed(universe.join(listed.select("key").distinct().withColumn("on_list", F.lit(True)), "key", "left").select("key", F.coalesce("on_list", F.lit(False)).alias("on_list")))
-        self.levels: list[tuple[DataFrame, int]] = []
-        self.listed = marked.where("on_list").select("key")
-        inside, outside = self.listed, marked.where("not on_list").select("key")
-        self.fits = True
-        while n := inside.count():
-            bits = max(64, 1 << (n * BITS_PER_KEY - 1).bit_length())
-            if bits > MAX_BITS:
-                self.fits = False
-                break
-            level = len(self.levels) + 1
-            words = checkpointed(_filter_words(inside, level, bits))
-            self.levels.append((words, bits))
-            inside, outside = checkpointed(outside.where(_passes(F.col("key"), words.scalar(), level, bits))), inside
-
-    def contains(self, key: Column) -> Column:
-        """Whether a key of the universe is listed."""
-        verdict = F.lit(len(self.levels) % 2 == 1)
-        for level in range(len(self.levels), 0, -1):
-            words, bits = self.levels[level - 1]
+        most = max_bits or MAX_BITS
+        marked = universe.where("key is not null").join(listed.select("key").distinct().withColumn("on_list", F.lit(True)), "key", "left").select("key", F.coalesce("on_list", F.lit(False)).alias("on_list"))
+        marked = checkpointed(marked)
+        n = marked.agg(F.count("*").alias("all"), F.count(F.when(F.col("on_list"), 1)).alias("listed")).first()
+        # the second level holds about one in 46 of the keys that aren't listed
+        self.parts = max(1, -(-max(n.listed, n["all"] // 32) * BITS_PER_KEY // most))
+        self.levels: list[list[tuple[DataFrame, int]]] = []
+        for part in range(self.parts):
+            keys = marked.where(self.part(F.col("key")) == part) if self.parts > 1 else marked
+            inside, outside = keys.where("on_list").select("key"), keys.where("not on_list").select("key")
+            levels: list[tuple[DataFrame, int]] = []
+            while count := inside.count():
+                bits = min(most, max(64, 1 << (count * BITS_PER_KEY - 1).bit_length()))
+                words = checkpointed(_filter_words(inside, len(levels) + 1, bits))
+                levels.append((words, bits))
+                inside, outside = checkpointed(outside.where(_passes(F.col("key"), words.scalar(), len(levels), bits))), inside
+            self.levels.append(levels)
+
+    def part(self, key: Column) -> Column:
+        return F.pmod(F.xxhash64(key, F.lit(-1)), F.lit(self.parts))
+
+    def contains(self, key: Column, part: int = 0) -> Column:
+        """Whether a key of that part of the universe is listed."""
+        levels = self.levels[part]
+        verdict = F.lit(len(levels) % 2 == 1)
+        for level in range(len(levels), 0, -1):
+            words, bits = levels[level - 1]
             verdict = F.when(_passes(key, words.scalar(), level, bits), verdict).otherwise(F.lit(level % 2 == 0))
         return verdict
 
+    def judged(self, rows: DataFrame, key: str, name: str) -> DataFrame:
+        """rows with the boolean column name; one scan of rows for each part, no join."""
+        one = lambda part: (rows.where(self.part(F.col(key)) == part) if self.parts > 1 else rows).withColumn(name, self.contains(F.col(key), part))
+        return reduce(DataFrame.unionByName, map(one, range(self.parts)))
+
 
 def url_verdicts(pages: DataFrame, listed: DataFrame | None = None, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, listed, verdict for each row of pages (page_id, url; more columns are ignored).
 
     verdict: the longest fitting rule's, else 'block' if the host or a parent domain is listed, else
     'allow'. Null urls and urls without '://' have empty host and path, fit no rule and are allowed.
-    Repeated rows come back as often as they came in. listed: a table with column key, by default
-    LISTED. Where a filter would exceed MAX_BITS,
-    hosts are looked up by a join instead.
+    Repeated rows come back as often as they came in. An empty table gives an empty table. listed: a
+    table with column key, by default LISTED.
     """
     spark = pages.sparkSession
     if listed is None:
@@ -121,11 +132,7 @@ def url_verdicts(pages: DataFrame, listed: DataFrame | None = None, rules=RULES)
     parsed = pages.select("page_id", host.alias("host"), path.alias("path"))
     hosts = checkpointed(pages.select(host.alias("key")).distinct())
     bad = hosts.select("key", F.explode(domains_of(F.col("key"))).alias("domain")).join(listed.select(F.col("key").alias("domain")), "domain", "left_semi").select("key").distinct()
-    cascade = Cascade(hosts, bad)
-    if cascade.fits:
-        judged = parsed.withColumn("listed", cascade.contains(F.col("host")))
-    else:
-        judged = parsed.join(cascade.listed.select(F.col("key").alias("host"), F.lit(True).alias("listed")), "host", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
+    judged = Cascade(hosts, bad).judged(parsed, "host", "listed")
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
     return judged.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"), "listed")
 
