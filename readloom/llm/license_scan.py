@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,24 +17,42 @@ BASE_PHRASES = {
     "apache license version 2": "apache-2",
     "cc by nc": "cc-by-nc",
 }
-#: Notice phrases that add labels, as words.
+#: Notice phrases that add labels, as words.
 NOTICES = {
+    "permission is hereby granted free of charge": "mit",
     "gnu general public license": "gpl",
     "gnu lesser general public license": "lgpl",
     "gnu affero general public license": "agpl",
+    "gnu free documentation license": "gfdl",
     "mozilla public license": "mpl",
+    "eclipse public license": "epl",
+    "european union public licence": "eupl",
+    "common development and distribution license": "cddl",
+    "boost software license": "bsl",
+    "artistic license": "artistic",
+    "sil open font license": "ofl",
+    "open database license": "odbl",
+    "server side public license": "sspl",
     "redistribution and use in source and binary forms": "bsd",
     "creative commons attribution": "cc-by",
+    "creative commons attribution noncommercial": "cc-by-nc",
+    "creative commons attribution sharealike": "cc-by-sa",
+    "creative commons attribution noderivatives": "cc-by-nd",
+    "creative commons zero": "cc0",
+    "dedicated to the public domain": "public-domain",
     "released into the public domain": "public-domain",
     "all rights reserved": "reserved",
 }
-#: What stands before a licence expression in a text (lower case).
-TAGS = ("spdx-license-identifier:", "license-expression:")
-#: How free the reuse is that a label allows, 0 to 1; what an identifier starts with decides, the longest first.
+#: What stands before a licence expression in a text (lower case).
+TAGS = ("spdx-license-identifier:", "license-expression:", "packagelicensedeclared:", "packagelicenseconcluded:")
+#: Families of licence identifiers, and how free the reuse is that they allow, 0 to 1. The longest family that an identifier begins with counts.
 FREEDOM = {
-    "mit": 1.0, "apache": 1.0, "bsd": 1.0, "isc": 1.0, "unlicense": 1.0, "cc0": 1.0, "cc-by": 0.9, "public-domain": 1.0, "zlib": 1.0,
-    "cc-by-nc": 0.3, "cc-by-nd": 0.3, "cc-by-sa": 0.6, "mpl": 0.7, "lgpl": 0.6, "epl": 0.6, "gpl": 0.4, "agpl": 0.3, "reserved": 0.0,
+    "0bsd": 1.0, "afl": 0.9, "agpl": 0.3, "apache": 1.0, "artistic": 0.8, "blueoak": 1.0, "bsd": 1.0, "bsl": 1.0, "busl": 0.1, "cc-by": 0.9, "cc-by-nc": 0.3, "cc-by-nd": 0.3, "cc-by-sa": 0.6, "cc0": 1.0,
+    "cddl": 0.6, "cecill": 0.5, "ecl": 0.9, "elastic": 0.1, "epl": 0.6, "eupl": 0.5, "gfdl": 0.4, "gpl": 0.4, "isc": 1.0, "lgpl": 0.6, "licenseref": 0.2, "mit": 1.0, "mpl": 0.7, "ms-pl": 0.8, "ms-rl": 0.6, "ncsa": 1.0,
+    "odbl": 0.6, "ofl": 0.8, "openssl": 0.9, "osl": 0.5, "php": 0.9, "polyform": 0.1, "postgresql": 1.0, "psf": 1.0, "public-domain": 1.0, "python": 1.0, "reserved": 0.0, "ruby": 0.8, "sspl": 0.1, "unicode": 0.9, "unlicense": 1.0,
+    "upl": 1.0, "vim": 0.9, "w3c": 0.9, "wtfpl": 1.0, "x11": 1.0, "zlib": 1.0, "zpl": 0.9,
 }
+#: An identifier of no family.
 UNKNOWN = 0.2
 #: An exception ("with") frees half of what is left.
 EXCEPTION_GAIN = 0.5
@@ -42,10 +61,16 @@ _TOKEN = re.compile(r"[ \t]*(\(|\)|[a-z0-9][a-z0-9.+:-]*)")
 _RANK = {"or": 1, "and": 2, "with": 3}
 
 
+@lru_cache(1 << 16)
+def family(label: str) -> str | None:
+    """The family that an identifier belongs to: it begins with the family's name, and a mark or a digit follows, if anything."""
+    ends = {len(label), *(m.start() for m in re.finditer(r"[^a-z]", label))}
+    return max((k for k in FREEDOM if label.startswith(k) and (len(k) in ends)), key=len, default=None)
+
+
 def freedom(label: str) -> float:
     """How free reuse is under one licence."""
-    found = [k for k in FREEDOM if label.startswith(k)]
-    return FREEDOM[max(found, key=len)] if found else UNKNOWN
+    return FREEDOM.get(family(label), UNKNOWN)
 
 
 def parse_expression(text: str, start: int = 0, end: int | None = None) -> tuple[list[str], int]:
@@ -148,7 +173,7 @@ class Scanner:
             rpn, _used = parse_expression(lower, end + 1, stop)
             if rpn:
                 found.append(" ".join(rpn))
-                labels.update(t.replace(",", "") for i, t in enumerate(rpn) if t not in _RANK and not (i + 1 < len(rpn) and rpn[i + 1] == "with"))
+                labels.update(t for i, t in enumerate(rpn) if family(t) and not (i + 1 < len(rpn) and rpn[i + 1] == "with"))
                 values.append(evaluate(rpn))
         score = min(values) if values else 0.0
         text = lambda x: ",".join(sorted(x))
@@ -173,7 +198,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
 
     Words are [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+, A-Z lower-cased. n_base: places of BASE_PHRASES, which may
     overlap; first_word, last_word: their smallest and largest start (words from 0, else null);
-    base_labels; labels: also those of NOTICES and of the licence expressions after TAGS;
+    base_labels; labels: also those of NOTICES, and the identifiers of known families in the licence expressions after TAGS;
     expressions: these in reverse Polish form, each read up to its line's end; score: how free reuse is under the strictest of what was
     found (0 to 1; 0 without any). Labels are distinct, sorted and comma-joined, '' without any.
 
@@ -182,5 +207,3 @@ def license_scan(docs: DataFrame) -> DataFrame:
     """
     ship_code(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(_scan_batches, _SCHEMA)
-
-
