@@ -6,9 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
 from readloom.llm import mixing, quality_rules
-from readloom.llm.bpe_chunks import bpe_encode
+from readloom.llm.bpe_chunks import bpe_encode, vocabulary
 from readloom.llm.chat_windows import chat_windows, window_digests
 from readloom.llm.license_scan import license_scan
 from readloom.llm.ngram_join import ngram_jaccard_components
@@ -34,7 +33,7 @@ def op2_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_virtual_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharded(read_table(spark, sf_dir, "documents"))
+    return sharded(read_table(spark, sf_dir, "documents"), maps=f"{fresh_folder(spark)}/maps")
 
 
 def op4_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +55,7 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe_encode(read_table(spark, sf_dir, "documents"), corpus_pipeline.vocabulary(), ("n_tokens", "ids_sha256", "decoded_sha256"))
+    return bpe_encode(read_table(spark, sf_dir, "documents"), vocabulary(), ("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
 def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +78,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_bpe_chunks": op8_bpe_chunks,
         "op9_winnowing": op9_winnowing,
         "op10_url_cascade": op10_url_cascade,
-        "pipeline": corpus_pipeline.run,
     }
 
 
