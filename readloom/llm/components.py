@@ -33,7 +33,7 @@ def components(links: DataFrame) -> DataFrame:
     edges = checkpointed(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     seen = state(edges)
     while seen[0]:
-        edges = checkpointed(_star(_star(edges, True), False))
+        edges = checkpointed(_star(_star(edges, True), False), free=True)
         now = state(edges)
         if now == seen:
             break

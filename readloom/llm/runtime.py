@@ -23,20 +23,23 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
+def checkpointed(df: DataFrame, free: bool = False) -> DataFrame:
     """Write df once into the cluster's shared checkpoint folder and cut its lineage there.
 
-    The folder is the session's spark.checkpoint.dir. Only where that is unset (tests, a single
-    machine) a temporary folder stands in.
+    The folder is the session's spark.checkpoint.dir; only in a local session a temporary folder
+    stands in where that is unset. free: the plan so far has shuffled much, whose files Spark deletes
+    only when the driver has collected the plan as garbage, so this is done now.
     """
     sc = df.sparkSession.sparkContext
     if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="readloom-checkpoint-"))
     out = df.checkpoint(eager=True)
-    # Spark deletes the shuffle files of plans that the driver has collected as garbage
-    del df
-    gc.collect()
-    sc._jvm.System.gc()
+    if free:
+        del df
+        gc.collect()
+        sc._jvm.System.gc()
     return out
 
 
