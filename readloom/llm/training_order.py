@@ -320,4 +320,5 @@ def written_contents(spark: SparkSession, folder: str) -> DataFrame:
     low, high = F.floor(F.col("start") / long), F.floor((F.col("start") + F.col("n") - 1) / long)
     held = docs.select("doc_id", "start", F.explode(F.sequence(F.col("first") + low, F.col("first") + high)).alias("index"))
     lists = held.groupBy("index").agg(F.transform(F.sort_array(F.collect_list(F.struct("start", "doc_id"))), lambda x: x["doc_id"]).alias("doc_ids"))
-    return records.join(lists, "index").select("slot", "shard", "byte_offset", "index", "n_tokens", "tokens_crc32", "doc_ids")
+    # the planner takes records to be as small as the manifest, so it must be kept from broadcasting them
+    return records.hint("merge").join(lists, "index").select("slot", "shard", "byte_offset", "index", "n_tokens", "tokens_crc32", "doc_ids")
