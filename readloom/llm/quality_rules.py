@@ -11,6 +11,7 @@ of any stratum are rejected. Without enough labels nothing is certified and the
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -30,18 +31,27 @@ ALPHA, DELTA = 0.04, 0.05
 PRECISION_PERCENT = 90
 LANGUAGES = ("de", "en", "es", "fr")
 OTHER = "other"
-#: rule: (badness in SQL of both engines, candidate cutoffs).
+#: rule: ((count, factor, size), candidate cutoffs); the badness is count * factor // (size + 1).
 RULES = {
-    "symbols": ("n_symbols * 1000 // (word_chars + 1)", (10, 20, 40, 80, 160)),
-    "dup_lines": ("n_dup_lines * 1000 // (n_lines + 1)", (100, 200, 300, 400, 500)),
-    "repeats": ("n_repeat_words * 1000 // (n_words + 1)", (25, 50, 75, 100, 150)),
-    "long_words": ("word_chars * 10 // (n_words + 1)", (80, 90, 100, 120, 150)),
+    "symbols": (("n_symbols", 1000, "word_chars"), (10, 20, 40, 80, 160)),
+    "dup_lines": (("n_dup_lines", 1000, "n_lines"), (100, 200, 300, 400, 500)),
+    "repeats": (("n_repeat_words", 1000, "n_words"), (25, 50, 75, 100, 150)),
+    "long_words": (("word_chars", 10, "n_words"), (80, 90, 100, 120, 150)),
 }
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_repeat_words")
+LINE_COUNTS = ("n_dup_lines", "n_lines")
+#: Bits of the filter by which unlabelled rows are passed over (1 MB).
+LABEL_BITS = 1 << 23
 
 
-def _badness(rule: str) -> Column:
-    over, under = RULES[rule][0].split(" // ")
-    return F.expr(f"({over}) div {under}")
+def _columns() -> dict[str, Column]:
+    return {c: F.col(c) for c in COUNTS + LINE_COUNTS}
+
+
+def _badness(rule: str, of: dict[str, Column]) -> Column:
+    """The rule's badness from the counts (all below 2^53 / factor, so the division is exact enough for its floor)."""
+    count, factor, size = RULES[rule][0]
+    return F.floor(of[count] * factor / (of[size] + 1)).cast("long")
 
 
 def text_features(text: Column) -> list[Column]:
@@ -59,27 +69,35 @@ def text_features(text: Column) -> list[Column]:
 
 
 def repeated_words(words: Column) -> Column:
-    """How many of words (an array) are in a window of WINDOW words that occurs twice or more in it."""
+    """How many of words (an array) are in a window of WINDOW words that occurs twice or more in it.
+
+    Windows are compared by hashes first; those whose hash repeats are then compared as they are.
+    """
     last = F.size(words) - WINDOW
-    windows = F.when(
-        last >= 1,
-        F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(F.array_join(F.slice(words, i + 1, WINDOW), " ").alias("gram"), i.alias("at"))),
-    ).otherwise(F.array().cast("array<struct<gram:string,at:int>>"))
+    places = F.when(last >= 1, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
 
-    def covered(ranked: Column) -> Column:
+    def repeats(ranked: Column, field: str) -> Column:
+        """Of an array sorted by field, what shares it with a neighbour."""
         n = F.size(ranked)
-        gram = lambda i: F.get(ranked, i)["gram"]
-        twice = F.filter(ranked, lambda x, i: ((i > 0) & (gram(i - 1) == x["gram"])) | ((i < n - 1) & (gram(i + 1) == x["gram"])))
-        return let(F.sort_array(F.transform(twice, lambda x: x["at"])), lambda at: F.aggregate(
+        of = lambda i: F.get(ranked, i)[field]
+        return F.filter(ranked, lambda x, i: ((i > 0) & (of(i - 1) == x[field])) | ((i < n - 1) & (of(i + 1) == x[field])))
+
+    def covered(ranked: Column) -> Column:
+        return let(F.sort_array(F.transform(repeats(ranked, "gram"), lambda x: x["at"])), lambda at: F.aggregate(
             at, F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).alias("end")),
             lambda acc, p: F.struct((acc["n"] + p + WINDOW - F.greatest(p, acc["end"])).cast("long").alias("n"), (p + WINDOW).alias("end")),
             lambda acc: acc["n"],
         ))
 
-    def once_differ(w: Column) -> Column:
-        return F.when(F.size(F.array_distinct(F.transform(w, lambda x: x["gram"]))) == F.size(w), F.lit(0).cast("long")).otherwise(let(F.sort_array(w), covered))
+    def as_they_are(by_hash: Column) -> Column:
+        windows = F.transform(repeats(by_hash, "hash"), lambda x: F.struct(F.array_join(F.slice(words, x["at"] + 1, WINDOW), " ").alias("gram"), x["at"].alias("at")))
+        return let(F.sort_array(windows), covered)
+
+    def once_differ(hashes: Column) -> Column:
+        by_hash = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("hash"), i.alias("at"))))
+        return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0).cast("long")).otherwise(let(by_hash, as_they_are))
 
-    return let(windows, once_differ)
+    return let(F.transform(places, lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(WINDOW)])), once_differ)
 
 
 def stratum(lang: Column, languages: tuple[str, ...] = LANGUAGES) -> Column:
@@ -112,7 +130,7 @@ def certified_cutoffs(features: DataFrame, labels: DataFrame, alpha: float = ALP
     Rows without doc_id or quality don't count; several labels of one document count as its lowest.
     """
     votes = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    known = features.where("not base_failed").join(votes, "doc_id").select("stratum", _fold(F.col("doc_id")).alias("fold"), (F.col("quality") >= 1).alias("good"), *[_badness(r).alias(r) for r in RULES])
+    known = features.where("not base_failed").join(votes, "doc_id").select("stratum", _fold(F.col("doc_id")).alias("fold"), (F.col("quality") >= 1).alias("good"), *[_badness(r, _columns()).alias(r) for r in RULES])
     cells = [(r, c) for r, (_, cutoffs) in RULES.items() for c in cutoffs]
     tests = len(cells) * (len(languages) + 1)
     count = lambda cond: F.count(F.when(cond, 1))
@@ -131,14 +149,23 @@ def certified_cutoffs(features: DataFrame, labels: DataFrame, alpha: float = ALP
 def _plan(docs: DataFrame, languages: tuple[str, ...]) -> DataFrame:
     """doc_id, stratum, the counts and base_failed for each row of docs."""
     wide = docs.select("doc_id", stratum(F.col("lang"), languages).alias("stratum"), *text_features(F.col("text"))).select("*", "lines.*").drop("lines")
-    failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
-    return wide.withColumn("base_failed", failed)
+    return wide.withColumn("base_failed", _failed(_columns()))
+
+
+def _failed(f: dict[str, Column]) -> Column:
+    """The base rules, on counts."""
+    return (f["n_words"] < MIN_WORDS) | (f["n_repeat_words"] * 100 > f["n_words"] * MAX_REPEAT_PERCENT)
 
 
-def _rejected(cutoffs: DataFrame) -> Column:
-    """Whether a rule's certified cutoff in the row's stratum is reached; cutoffs come as one small map (rules * strata entries)."""
-    table = cutoffs.agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("/", "stratum", "rule"), "cutoff"))).alias("m")).scalar()
-    reached = [_badness(r) >= F.element_at(table, F.concat(F.col("stratum"), F.lit(f"/{r}"))) for r in RULES]
+def _cutoff_map(cutoffs: DataFrame) -> Column:
+    """The cutoffs as a constant: at most one for each rule and stratum."""
+    rows = cutoffs.collect()
+    return F.map_from_arrays(F.array(*[F.lit(f"{r.stratum}/{r.rule}") for r in rows]).cast("array<string>"), F.array(*[F.lit(r.cutoff) for r in rows]).cast("array<int>"))
+
+
+def _reached(f: dict[str, Column], of_stratum: Column, table: Column) -> Column:
+    """Whether a rule's certified cutoff in the row's stratum is reached."""
+    reached = [_badness(r, f) >= F.element_at(table, F.concat(of_stratum, F.lit(f"/{r}"))) for r in RULES]
     return F.coalesce(reduce(lambda a, b: a | b, [F.coalesce(x, F.lit(False)) for x in reached]), F.lit(False))
 
 
@@ -152,23 +179,41 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, d
     """
     features = checkpointed(_plan(docs, languages))
     cutoffs = checkpointed(certified_cutoffs(features, labels, alpha, delta, languages))
-    return features.withColumn("kept", ~F.col("base_failed") & ~_rejected(cutoffs))
+    return features.withColumn("kept", ~F.col("base_failed") & ~_reached(_columns(), F.col("stratum"), _cutoff_map(cutoffs)))
+
+
+def _maybe_labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs whose id may have a label: a filter of fixed size, which no labelled row fails, so texts aren't shuffled to be joined."""
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(LABEL_BITS))
+    words = labels.where("doc_id is not null and quality is not null").groupBy(F.floor(place / 64).cast("int").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int"))).alias("mask"))
+    blank = docs.sparkSession.range(LABEL_BITS // 64).select(F.col("id").cast("int").alias("word"), F.lit(0).cast("long").alias("mask"))
+    dense = words.unionByName(blank).groupBy("word").agg(F.bit_or("mask").alias("mask"))
+    table = dense.agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "mask"))), lambda x: x["mask"]).alias("words")).scalar()
+    return docs.where(F.getbit(F.get(table, F.floor(place / 64).cast("int")), F.pmod(place, F.lit(64)).cast("int")) == 1)
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, languages: tuple[str, ...] = LANGUAGES) -> DataFrame:
-    """The rows of docs that the rules keep, with all their columns."""
+    """The rows of docs that the rules keep, with all their columns; rows are judged as in quality_verdicts.
+
+    Cutoffs need the counts of labelled rows only; those of all rows are worked out once.
+    """
     names = docs.columns
-    held = docs.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(names)], F.col("doc_id").alias("doc_id"), F.col("text").alias("text"), F.col("lang").alias("lang"))
-    features = checkpointed(_plan(docs, languages))
+    features = checkpointed(_plan(_maybe_labelled(docs.select("doc_id", "text", "lang"), labels), languages))
     cutoffs = checkpointed(certified_cutoffs(features, labels, alpha, delta, languages))
-    judged = held.select("*", stratum(F.col("lang"), languages).alias("stratum"), *text_features(F.col("text"))).select("*", "lines.*")
-    failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
-    return judged.where(~failed & ~_rejected(cutoffs)).select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(names)])
+    held = docs.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(names)], F.col("text").alias("text"), stratum(F.col("lang"), languages).alias("stratum"))
+    table = _cutoff_map(cutoffs)
+
+    def kept(f: Column) -> Column:
+        counts = {c: f[c] for c in COUNTS} | {c: f["lines"][c] for c in LINE_COUNTS}
+        return ~_failed(counts) & ~_reached(counts, F.col("stratum"), table)
+
+    # one expression, so that the counts aren't worked out again for each rule
+    return held.where(let(F.struct(*text_features(F.col("text"))), kept)).select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(names)])
 
 
 def _oracle() -> str:
     cells = ", ".join(f"('{r}', {c}, {i})" for i, r in enumerate(RULES) for c in RULES[r][1])
-    value = "CASE c.rule " + " ".join(f"WHEN '{r}' THEN {b}" for r, (b, _) in RULES.items()) + " END"
+    value = "CASE c.rule " + " ".join(f"WHEN '{r}' THEN {count} * {factor} // ({size} + 1)" for r, ((count, factor, size), _) in RULES.items()) + " END"
     tests = sum(len(c) for _, c in RULES.values()) * (len(LANGUAGES) + 1)
     p = ALPHA / len(RULES)
     words = WORDS.replace("\\x20", " ")
