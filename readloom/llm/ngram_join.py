@@ -24,7 +24,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from readloom.llm.components import components
 from readloom.llm.runtime import bitmap_has, checkpointed, key_bitmap, ship_code, text_batches, utf8_buffer
@@ -48,24 +47,29 @@ def _least_overlap(n, threshold: int):
     return -((-n * threshold) // 100)
 
 
-def _signature(grams: np.ndarray) -> int:
-    """A 64-bit digest of a sorted set; 0 stands for the empty set."""
+def _signature(grams: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit digests of a sorted set; (0, 0) stands for the empty set, and no other has a 0."""
     if not len(grams):
-        return 0
+        return 0, 0
     x = grams.view(np.uint64)
-    parts = np.array([np.bitwise_xor.reduce(x * np.uint64(0x9E3779B97F4A7C15)), np.add.reduce(mix(x)), len(x)], np.uint64)
-    return int(mix(mix(mix(parts[:1]) + parts[1:2]) + parts[2:]).view(np.int64)[0]) or 1
+    mixed = mix(x)
+    parts = np.array([[np.bitwise_xor.reduce(x * np.uint64(0x9E3779B97F4A7C15)), np.bitwise_xor.reduce(mixed * np.uint64(0xA24BAED4963EE407))], [np.add.reduce(mixed), np.add.reduce(mix(x ^ np.uint64(0x2545F4914F6CDD1D)))]], np.uint64)
+    one, two = mix(mix(mix(parts[0]) + parts[1]) + np.uint64(len(x))).view(np.int64).tolist()
+    return one or 1, two or 1
 
 
 #: Sets that a task remembers, so that copies which meet in it are sent on once.
 SEEN = 1 << 16
 
 
-def _batches_of_sets(batches: Iterator[pa.RecordBatch], width: int):
+def _batches_of_sets(batches: Iterator[pa.RecordBatch], width: int, shared: frozenset[int] = frozenset()):
+    """(batch, sets, nodes, second digests): a set's node is its first digest, or the second where different sets share the first."""
     for whole in batches:
         for batch in text_batches(whole, "text"):
             sets = shingle_sets(*utf8_buffer(batch.column("text")), width)
-            yield batch, sets, np.array([_signature(s) for s in sets], np.int64)
+            digests = np.array([_signature(s) for s in sets], np.int64).reshape(-1, 2)
+            nodes = np.where(np.isin(digests[:, 0], list(shared)), digests[:, 1], digests[:, 0]) if shared else digests[:, 0]
+            yield batch, sets, nodes, digests[:, 1]
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -74,24 +78,25 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def _nodes(width: int):
-    """Arrow function: size and digest of each text's set."""
+    """Arrow function: size and digests of each text's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, sets, nodes in _batches_of_sets(batches, width):
-            yield pa.record_batch([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes)], ["doc_id", "n", "node"])
+        for batch, sets, nodes, other in _batches_of_sets(batches, width):
+            yield pa.record_batch([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes), pa.array(other)], ["doc_id", "n", "node", "other"])
 
     return run
 
 
-def _grams(width: int, threshold: int, bitmap=None):
+def _grams(width: int, threshold: int, shared: frozenset[int], bitmap=None, common=None):
     """Arrow function: (node, grams) once for each set that the task meets.
 
-    Without bitmap the lowest part of each set; with it, the whole sets of nodes that may be in it.
+    The lowest part of each set, with common only its grams that may be in that bitmap; with bitmap,
+    the whole sets of nodes that may be in it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for _, sets, nodes in _batches_of_sets(batches, width):
+        for _, sets, nodes, _ in _batches_of_sets(batches, width, shared):
             wanted = nodes != 0 if bitmap is None else (nodes != 0) & bitmap_has(bitmap.value, nodes)
             rows = []
             for i in np.flatnonzero(wanted).tolist():
@@ -102,11 +107,18 @@ def _grams(width: int, threshold: int, bitmap=None):
                     rows.append(i)
             n = {i: len(sets[i]) for i in rows}
             parts = [sets[i] if bitmap is not None else sets[i][: n[i] - _least_overlap(n[i], threshold) + n[i] // SPARE + 1] for i in rows]
+            if common is not None:
+                parts = [part[bitmap_has(common.value, part)] for part in parts]
             yield pa.record_batch([pa.array(nodes[rows] if rows else np.zeros(0, np.int64)), _lists(parts)], ["node", "grams"])
 
     return run
 
 
+def _fragment(gram: Column, fragments: int) -> Column:
+    """The range of the global order (that of signed 64-bit hashes) which holds a gram, from 0."""
+    return F.shiftright(F.shiftrightunsigned(gram.bitwiseXOR(F.lit(-(1 << 63))), 48) * fragments, 16)
+
+
 def overlaps(pairs: DataFrame, sets: DataFrame, fragments: int = FRAGMENTS) -> DataFrame:
     """(a, b, shared): sizes of the intersections of the given pairs, counted fragment by fragment.
 
@@ -115,7 +127,7 @@ def overlaps(pairs: DataFrame, sets: DataFrame, fragments: int = FRAGMENTS) -> D
     """
     piece = F.transform(
         F.sequence(F.lit(0), F.lit(fragments - 1)),
-        lambda f: F.struct(f.alias("fragment"), F.filter("grams", lambda g: F.pmod(F.shiftrightunsigned(g, 48), F.lit(fragments)) == f).alias("grams")),
+        lambda f: F.struct(f.alias("fragment"), F.filter("grams", lambda g: _fragment(g, fragments) == f).alias("grams")),
     )
     cut = sets.select("node", F.inline(piece)).where(F.size("grams") > 0)
     left = pairs.join(cut.select(F.col("node").alias("a"), "fragment", F.col("grams").alias("grams_a")), "a")
@@ -145,7 +157,7 @@ def ngram_jaccard_components(docs: DataFrame, threshold: int = THRESHOLD, width:
 
     A text's set: distinct shingles of width words ([^\\x20\\x09-\\x0D]+, A-Z lower-cased); fewer words are one
     shingle. Two texts link when 100 * intersection >= threshold * union. component_id: the smallest
-    doc_id that links reach. Shingles, and sets as wholes, are compared by 64-bit hashes.
+    doc_id that links reach. Shingles are compared by 64-bit hashes, sets as wholes by 128 bits.
 
     Null and empty texts have no shingles and link with nothing (component_id is the own doc_id).
     Rows without doc_id take part; a component's id is the smallest that is not null, or null.
@@ -154,22 +166,30 @@ def ngram_jaccard_components(docs: DataFrame, threshold: int = THRESHOLD, width:
     spark = docs.sparkSession
     ship_code(spark)
     texts = docs.select("text")
-    rows = checkpointed(docs.select("doc_id", "text").mapInArrow(_nodes(width), "doc_id long, n long, node long"))
+    rows = checkpointed(docs.select("doc_id", "text").mapInArrow(_nodes(width), "doc_id long, n long, node long, other long"))
+    # different sets of one first digest: a handful in 10^10 texts
+    clash = rows.groupBy("node").agg(F.min("other").alias("lo"), F.max("other").alias("hi")).where("lo <> hi").select("node")
+    shared = frozenset(r.node for r in clash.collect())
+    rows = rows.select("doc_id", "n", F.when(F.col("node").isin(*shared), F.col("other")).otherwise(F.col("node")).alias("node") if shared else "node")
     classes = checkpointed(rows.where("node <> 0").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n")))
 
     # Classes whose set has enough n-grams, in its lowest part, that another class has too.
-    heads = texts.mapInArrow(_grams(width, threshold), "node long, grams array<bigint>").select("node", F.explode("grams").alias("gram"))
-    common = _shared_grams(heads).groupBy("node").agg(F.count("*").alias("common"))
-    alive = checkpointed(common.join(classes, "node").where(F.col("common") > F.floor(F.col("n") / SPARE)).select("node", "n"))
+    heads = lambda common=None: texts.mapInArrow(_grams(width, threshold, shared, common=common), "node long, grams array<bigint>").select("node", F.explode("grams").alias("gram"))
+    twice = heads().groupBy("gram").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("gram")
+    twice = checkpointed(twice, free=True)
+    held = heads(spark.sparkContext.broadcast(key_bitmap(twice, "gram"))).join(twice, "gram", "left_semi").distinct()
+    common = held.groupBy("node").agg(F.count("*").alias("common"))
+    alive = checkpointed(common.join(classes, "node").where(F.col("common") > F.floor(F.col("n") / SPARE)).select("node", "n"), free=True)
 
     # Their whole sets; then those with at least threshold hundredths of it in common with others.
     bitmap = spark.sparkContext.broadcast(key_bitmap(alive, "node"))
-    full = texts.mapInArrow(_grams(width, threshold, bitmap), "node long, grams array<bigint>").join(alive, "node")
-    full = checkpointed(full.dropDuplicates(["node"]).select("node", "grams"))
-    held = _shared_grams(full.select("node", F.explode("grams").alias("gram")))
-    ranked = held.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("holders", "gram"))).alias("ranked"))
+    full = texts.mapInArrow(_grams(width, threshold, shared, bitmap), "node long, grams array<bigint>").join(alive, "node")
+    full = checkpointed(full.dropDuplicates(["node"]).select("node", "grams"), free=True)
+    each = full.select("node", F.explode("grams").alias("gram"))
+    counts = checkpointed(each.groupBy("gram").agg(F.count("*").alias("holders")).where("holders > 1"), free=True)
+    ranked = each.join(counts, "gram").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("holders", "gram"))).alias("ranked"))
     ranked = ranked.join(alive, "node").where(F.size("ranked") * 100 >= F.col("n") * threshold)
-    near = checkpointed(ranked.select("node", "n", F.transform("ranked", lambda x: x.gram).alias("grams")))
+    near = checkpointed(ranked.select("node", "n", F.transform("ranked", lambda x: x.gram).alias("grams")), free=True)
 
     sizes = near.select("node", "n")
     prefix = F.slice("grams", F.lit(1), F.greatest(F.lit(0), F.size("grams") - F.ceil(F.col("n") * threshold / 100) + 1).cast("int"))
@@ -182,15 +202,6 @@ def ngram_jaccard_components(docs: DataFrame, threshold: int = THRESHOLD, width:
     return rows.join(named, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _shared_grams(held: DataFrame) -> DataFrame:
-    """node, gram, holders: the distinct pairs of held whose gram more than one node holds. One shuffle, by gram."""
-    same = Window.partitionBy("gram")
-    in_order = same.orderBy("node")
-    new = ~F.col("node").eqNullSafe(F.lag("node").over(in_order))
-    marked = held.withColumn("new", new).withColumn("holders", F.sum(F.col("new").cast("int")).over(same))
-    return marked.where("new and holders > 1").select("node", "gram", "holders")
-
-
 def _merged_lists(lists: DataFrame, sets: DataFrame, sizes: DataFrame, threshold: int) -> DataFrame:
     """(node, component) of the nodes that have links, by comparisons among the nodes that share a prefix n-gram."""
     labels = links = tried = None
@@ -199,10 +210,11 @@ def _merged_lists(lists: DataFrame, sets: DataFrame, sizes: DataFrame, threshold
         now = lists.withColumn("component", F.col("node")) if labels is None else lists.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
         # n-grams under which more than one component is left
         open_grams = now.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("gram")
-        now = checkpointed(now.join(open_grams, "gram"))
+        # written first, so that the join's large keys can be split
+        now = checkpointed(now.join(checkpointed(open_grams), "gram"))
         pairs = _pivot_pairs(now, turn, threshold) if turn < PIVOT_ROUNDS else _open_pairs(now, sets, threshold)
         pairs = checkpointed(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        found = checkpointed(_linked(pairs, sets, sizes, threshold))
+        found = checkpointed(_linked(pairs, sets, sizes, threshold), free=True)
         # without a new link the components stay, and only the full comparison can tell more
         fresh = not found.isEmpty()
         turn = PIVOT_ROUNDS if turn < PIVOT_ROUNDS and not fresh else turn + 1
@@ -228,7 +240,7 @@ def _pivot_pairs(now: DataFrame, turn: int, threshold: int) -> DataFrame:
         top = per.groupBy("gram").agg(F.max_by(F.struct("component", "best"), rank).alias("top"))
     pivot = top.select("gram", F.col("top.component").alias("other"), (-F.col("top.best.back")).alias("pivot"), F.col("top.best.n").alias("n_b"), F.col("top.best.c").alias("c_b"))
     rows = now.select("gram", "component", "node", F.col("n").alias("n_a"), F.col("c").alias("c_a"))
-    pairs = rows.join(pivot, "gram").where((F.col("component") != F.col("other")) & _may_link(threshold))
+    pairs = rows.join(checkpointed(pivot), "gram").where((F.col("component") != F.col("other")) & _may_link(threshold))
     return pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
 
 
