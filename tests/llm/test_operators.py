@@ -306,7 +306,7 @@ def test_license_scan(spark):
 
 
 def test_license_scan_reads_long_expressions(spark):
-    names = [f"lib{i}-license-1.{i}" for i in range(80)]
+    names = [f"licenseref-lib{i}-1.{i}" for i in range(80)]
     texts = [
         "SPDX-License-Identifier: " + " OR ".join(names) + "\nAND not-this", "SPDX-License-Identifier: MIT OR " + " OR ".join(["mit"] * 300) + " and gpl-3.0",
         "License-Expression: (" + " and ".join(["mit"] * 300) + ") and gpl-2.0\r\nSPDX-License-Identifier: isc", "SPDX-License-Identifier: " + " OR ".join(["mit"] * 50000),
@@ -434,15 +434,220 @@ def test_cascade_is_exact_over_its_universe(spark):
     universe = spark.range(30_000).select(F.concat(F.lit("h"), F.col("id").cast("string")).alias("key"))
     listed = universe.where(F.xxhash64("key") % 7 == 0).unionByName(spark.range(99).select(F.concat(F.lit("other"), F.col("id").cast("string")).alias("key")))
     cascade = url_cascade.Cascade(universe, listed)
-    assert len(cascade.levels) >= 2
+    assert cascade.parts == 1 and len(cascade.levels[0]) >= 2
     marked = universe.select("key", cascade.contains(F.col("key")).alias("hit"))
     assert marked.where("hit").exceptAll(listed.select("key", F.lit(True))).count() == 0
     assert marked.where("hit").count() == universe.join(listed, "key", "left_semi").count()
 
 
-def test_cascade_falls_back_to_a_join(spark, monkeypatch):
-    pages = spark.createDataFrame([(i, f"http://h{i % 50}.bad{i % 3}.net/x") for i in range(200)], "page_id long, url string")
-    listed = spark.createDataFrame([("bad1.net",)], "key string")
-    want = sorted(map(str, url_cascade.url_verdicts(pages, listed).collect()))
-    monkeypatch.setattr(url_cascade, "MAX_BITS", 1)
-    assert sorted(map(str, url_cascade.url_verdicts(pages, listed).collect())) == want
+def test_cascade_in_parts_past_its_bits(spark):
+    universe = spark.range(3000).select(F.concat(F.lit("h"), F.col("id").cast("string")).alias("key"))
+    listed = universe.where(F.xxhash64("key") % 3 == 0)
+    cascade = url_cascade.Cascade(universe, listed, max_bits=4096)
+    assert cascade.parts == 2 and all(bits <= 4096 for levels in cascade.levels for _, bits in levels)
+    hit = cascade.judged(universe, "key", "hit")
+    assert hit.count() == 3000 and hit.where("hit").select("key").exceptAll(listed).count() == 0
+    assert hit.where("hit").count() == listed.count()
+    # far too few bits: more levels, still exact
+    tight = url_cascade.Cascade(universe.where("length(key) < 4"), listed, max_bits=64)
+    assert tight.judged(universe.where("length(key) < 4"), "key", "hit").where("hit").count() == listed.where("length(key) < 4").count()
+
+
+def test_url_verdicts_of_nothing(spark):
+    assert url_cascade.url_verdicts(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
+def test_fragments_are_ranges_of_the_order(spark):
+    grams = sorted([-(1 << 63), -(1 << 62), -1, 0, 1, 1 << 62, (1 << 63) - 1])
+    got = [r[0] for r in spark.createDataFrame([(g,) for g in grams], "g long").coalesce(1).select(ngram_join._fragment(F.col("g"), 8)).collect()]
+    assert got == sorted(got) and got[0] == 0 and got[-1] == 7 and got[2:4] == [3, 4]
+
+
+def test_sets_of_one_first_digest_stay_apart():
+    import pyarrow as pa
+
+    batch = pa.record_batch([pa.array([1, 2]), pa.array(["a b c d e f", "g h"])], ["doc_id", "text"])
+    (_, _, nodes, other), (_, _, apart, _) = next(ngram_join._batches_of_sets(iter([batch]), 5)), next(ngram_join._batches_of_sets(iter([batch]), 5, frozenset()))
+    assert nodes.tolist() == apart.tolist() and len({*nodes.tolist(), *other.tolist()}) == 4
+    (_, _, second, _) = next(ngram_join._batches_of_sets(iter([batch]), 5, frozenset([int(nodes[0])])))
+    assert second.tolist() == [other[0], nodes[1]]
+
+
+@pytest.mark.parametrize("kind", ["ids", "hashed", "none", "mixed"])
+def test_next_text_by_families_and_blocks(spark, kind, monkeypatch):
+    monkeypatch.setattr(winnowing, "BLOCK_ROWS", 3)
+    monkeypatch.setattr(winnowing, "FAMILIES", 5)
+    rng = random.Random(11)
+    n = 150
+    ids = {
+        "ids": list(range(n)), "hashed": [rng.randrange(-(1 << 63), 1 << 63) for _ in range(n)], "none": [None] * n,
+        "mixed": [7 if i % 3 == 0 else None if i % 3 == 1 else rng.randrange(50) for i in range(n)],
+    }[kind]
+    texts = [f"t{rng.randrange(60)}" if i % 10 else None for i in range(n)]
+    df = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").repartition(4)
+    got = winnowing.with_next_text(df).collect()
+    assert sorted((str(r.doc_id), r.text) for r in got) == sorted((str(i), t or "") for i, t in zip(ids, texts))
+    hashes = {r.text: r.h for r in spark.createDataFrame([(t,) for t in {t or "" for t in texts}], "text string").select("text", F.shiftrightunsigned(F.xxhash64("text"), 11).alias("h")).collect()}
+    order = sorted(((i is None, -(i or 0), hashes[t or ""], t or "", i) for i, t in zip(ids, texts)), key=lambda x: x[:4])
+    want = [(str(x[4]), x[3], order[(k + 1) % n][3]) for k, x in enumerate(order)]
+    assert sorted((str(r.doc_id), r.text, r.next_text) for r in got) == sorted(want)
+
+
+def test_long_texts_cross_the_working_pieces(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    long = " ".join(word() for _ in range(700_000))  # 4.9 MB
+    texts = [long, long.replace(long[:40], "other start"), "x" * 3_000_000, "under the mit license " + long, None]
+    docs = table(spark, texts).cache()
+    parts = {r.doc_id: r for r in ngram_join.ngram_jaccard_components(docs).collect()}
+    w = long.split()
+    assert parts[0].n_shingles == len({tuple(w[i : i + 5]) for i in range(len(w) - 4)}) and parts[0].component_id == parts[1].component_id == parts[3].component_id == 0
+    assert (parts[2].n_shingles, parts[2].component_id, parts[4].n_shingles) == (1, 2, 0)
+    scan = {r.doc_id: r for r in license_scan.license_scan(docs).collect()}
+    assert (scan[3].n_words, scan[3].base_labels, scan[0].n_words) == (700_004, "mit", 700_000)
+    few = docs.where("doc_id in (2, 4)")
+    print_of = {r.doc_id: r for r in winnowing.winnowing_fingerprints(few).collect()}
+    assert print_of[2].n_chars == 3_000_000 and print_of[2].edited_sha256 == sha("x" * 1_500_000)
+
+
+def test_sharding_without_ids_and_by_stored_maps(spark, tmp_path):
+    rng = random.Random(13)
+    texts = ["".join(rng.choice("abc") for _ in range(rng.randint(0, 400))) for _ in range(3000)]
+    docs = table(spark, texts, [None if i % 2 else 5 for i in range(3000)])
+    maps = str(tmp_path / "maps")
+    rows = virtual_shards.sharded(docs, maps=maps).collect()
+    want = sorted((str(5 if i % 2 == 0 else None), len(t) + 1, zlib.crc32(t.encode())) for i, t in enumerate(texts))
+    assert sorted((str(r.doc_id), r["size"], r.text_crc32) for r in rows) == want
+    fill = {}
+    for r in rows:
+        fill[r.shard] = fill.get(r.shard, 0) + r["size"]
+    assert len(fill) == 16 and max(fill.values()) <= 1.01 * min(fill.values())
+    assert {r.map_version for r in rows} == {2} and virtual_shards.SlotMap.load(spark, maps, 1) == virtual_shards.SlotMap.dealt(16)
+    # the same records and the stored map: nothing moves, and no version is added
+    again = virtual_shards.sharded(docs, maps=maps).collect()
+    assert sorted(map(str, again)) == sorted(map(str, rows))
+    # one more shard: slots move only into it, but for the edit that evens sizes out afterwards
+    more = virtual_shards.sharded(docs, 17, maps=maps)
+    assert more.agg(F.count_distinct("shard")).first()[0] == 17 and more.first().map_version >= 3
+    old, grown = virtual_shards.SlotMap.load(spark, maps, 2), virtual_shards.SlotMap.load(spark, maps, 3)
+    assert all(b == 16 for a, b in zip(old.shards, grown.shards) if a != b)
+
+
+def test_mixing_without_ids(spark):
+    rng = random.Random(14)
+    texts = ["w " * rng.randint(1, 40) + str(i) for i in range(4000)]
+    docs = table(spark, texts, [None if i % 2 else 5 for i in range(4000)]).withColumnsRenamed({"gram": "threshold", "size": "epochs", "node": "hash"})
+    by = {}
+    for r in mixing.mix_sources(docs).collect():
+        taken, _ = by.get(r.source, (0, 0))
+        by[r.source] = (taken + r.taken, r.target)
+    assert all(abs(taken - target) <= 50 for taken, target in by.values())
+
+
+def brute_expression(tokens):
+    """A licence expression's value by recursive descent."""
+    def atom():
+        t = tokens.pop(0)
+        if t == "(":
+            x = either()
+            assert tokens.pop(0) == ")"
+            return x
+        x = license_scan.freedom(t)
+        while tokens and tokens[0] == "with":
+            tokens.pop(0)
+            tokens.pop(0)
+            x += (1 - x) * license_scan.EXCEPTION_GAIN
+        return x
+
+    def both():
+        x = atom()
+        while tokens and tokens[0] == "and":
+            tokens.pop(0)
+            x = min(x, atom())
+        return x
+
+    def either():
+        x = both()
+        while tokens and tokens[0] == "or":
+            tokens.pop(0)
+            x = max(x, both())
+        return x
+
+    return either()
+
+
+def test_license_scan_against_brute_force(spark):
+    rng = random.Random(15)
+    names = ["mit", "apache-2.0", "gpl-3.0-or-later", "cc-by-nc-4.0", "hello", "mitre", "licenseref-own", "bsd-3-clause"]
+    phrases = {**license_scan.BASE_PHRASES, **license_scan.NOTICES}
+    texts, want = [None, ""], [(0, 0, None, None, "", "", 0.0)] * 2
+
+    def expression(depth=0):
+        if depth > 3 or rng.random() < 0.4:
+            return [rng.choice(names), *(["with", "classpath-exception-2.0"] if rng.random() < 0.2 else [])]
+        inner = [*expression(depth + 1), rng.choice(["and", "or"]), *expression(depth + 1)]
+        return ["(", *inner, ")"] if rng.random() < 0.4 else inner
+
+    for _ in range(300):
+        parts, values, labels = [], [], set()
+        for _ in range(rng.randint(0, 12)):
+            k = rng.random()
+            if k < 0.3:
+                parts.append(rng.choice(list(phrases)).upper().replace(" ", rng.choice([" ", ", ", "\n"])))
+            elif k < 0.5:
+                tokens = expression()
+                labels |= {t for i, t in enumerate(tokens) if license_scan.family(t) and (i == 0 or tokens[i - 1] != "with")}
+                parts.append("\n" + rng.choice(["SPDX-License-Identifier:", "License-Expression:"]) + " " + " ".join(tokens).upper() + "\n")
+                values.append(brute_expression(list(tokens)))
+            else:
+                parts.append(rng.choice(["\u00c4rger", "the", "under", "mit license", "x9", "..."]))
+        text = " ".join(parts)
+        words = re.findall("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(LOWER))
+        starts, base = [], set()
+        for phrase, label in phrases.items():
+            p = phrase.split()
+            found = [i for i in range(len(words) - len(p) + 1) if words[i : i + len(p)] == p]
+            if found:
+                labels.add(label)
+                values.append(license_scan.freedom(label))
+            if found and phrase in license_scan.BASE_PHRASES:
+                starts += found
+                base.add(label)
+        texts.append(text)
+        want.append((len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), min(values, default=0.0)))
+    rows = license_scan.license_scan(table(spark, texts)).orderBy("doc_id").collect()
+    for r, w in zip(rows, want):
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels) == w[:6] and r.score == pytest.approx(w[6])
+    assert license_scan.license_scan(table(spark, ["x"]).where("doc_id < 0")).count() == 0
+
+
+def test_empty_tables(spark):
+    import public_tokenizers
+
+    none = table(spark, ["x"]).where("doc_id < 0")
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    assert quality_rules.quality_verdicts(none, labels).count() == 0 and quality_rules.good_documents(none, labels).count() == 0
+    assert bpe_chunks.bpe_encode(none, public_tokenizers.path("word_bpe_49k.json")).count() == 0
+    assert mixing.mixed_documents(none).count() == 0
+
+
+def test_good_documents_are_those_that_are_kept(spark):
+    rng = random.Random(16)
+    clean, junk = "some clean words that differ number {} and more of it so on", "| junk | {} | words | with | marks | all | over | it |"
+    docs = table(spark, [(junk if rng.random() < 0.3 else clean).format(i) for i in range(9000)] + [None, "a b c d e f g h i j a b c d e"])
+    labels = spark.createDataFrame([(r.doc_id, int("junk" not in r.text), 0) for r in docs.where("doc_id < 8000").collect()], "doc_id long, quality int, toxic int")
+    kept = {r.doc_id for r in quality_rules.quality_verdicts(docs, labels).where("kept").collect()}
+    assert {r.doc_id for r in quality_rules.good_documents(docs, labels).collect()} == kept and 5000 < len(kept) < 8000
+
+
+def test_repeated_words_against_brute_force(spark):
+    rng = random.Random(17)
+    texts = [" ".join(rng.choice("ab" if k % 3 else "abcdefgh") for _ in range(rng.randint(0, 60))) for k in range(200)]
+
+    def brute(text):
+        w = text.split()
+        windows = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+        return len({i + k for i, x in enumerate(windows) if windows.count(x) > 1 for k in range(5)})
+
+    rows = quality_rules.quality_verdicts(table(spark, texts), spark.createDataFrame([], "doc_id long, quality int")).collect()
+    assert all(r.n_repeat_words == brute(texts[r.doc_id]) for r in rows)

@@ -5,13 +5,15 @@ import hashlib
 import public_tokenizers
 from tokenizers import Tokenizer
 
+import __spark_entry__ as entry
 import corpus_pipeline
 from readloom.llm import queries as llm_queries
 from tests.llm.test_operators import brute_components, near_copies, table
 
 
 def test_every_operator_has_a_query():
-    names = llm_queries.queries()
+    names = entry.queries()
+    assert set(llm_queries.queries()) < set(names)
     assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10 and "pipeline" in names
     assert set(llm_queries.oracle_sql()) <= set(names)
 
@@ -36,7 +38,7 @@ def test_stages_on_a_small_corpus(spark, tmp_path):
     assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in mixed.collect())
     for r in rows:
         ids = lib.encode(texts[r.doc_id], add_special_tokens=False).ids
-        assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert r.n_tokens == len(ids) and list(r.ids) == ids and r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
 
 
 def test_one_row_of_each_group_stays(spark):
@@ -47,3 +49,25 @@ def test_one_row_of_each_group_stays(spark):
     rows = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").repartition(3)
     got = [tuple(r) for r in corpus_pipeline.near_duplicates(spark, rows, "").collect()]
     assert sorted(map(str, got)) == sorted(map(str, [(5, base[0]), (7, base[1]), (None, base[2]), (9, base[3]), (None, None), (None, "")]))
+
+
+def test_stages_of_an_empty_table(spark, tmp_path):
+    docs = table(spark, ["x"]).where("doc_id < 0")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.count() == 0
+
+
+def test_token_ids_go_to_training_shards(spark, tmp_path):
+    from readloom.llm import training_order
+
+    docs = table(spark, ["one two three", None, "four"], [1, None, 1])
+    rows = corpus_pipeline.encode(spark, docs, "")
+    path = str(tmp_path / "ids")
+    rows.write.parquet(path)
+    folder = str(tmp_path / "shards")
+    manifest = training_order.write_training_order(spark.read.parquet(path), folder, sequence=4, shard=2, ids="ids", end=49408)
+    tokens = sorted(t for batch in training_order.records_from(folder) for r in batch for t in r["tokens"][: r["used"]].tolist())
+    want = sorted([t for r in rows.collect() for t in r.ids] + [49408] * 3)
+    assert tokens == want and manifest["stride"] == 16 + 2 * 4
