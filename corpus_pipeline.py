@@ -6,36 +6,30 @@ the last return the columns of documents.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.llm.bpe_chunks import bpe_encode
+from readloom.llm.bpe_chunks import bpe_encode, vocabulary
 from readloom.llm.mixing import mixed_documents
 from readloom.llm.ngram_join import ngram_jaccard_components
 from readloom.llm.quality_rules import good_documents
 from readloom.llm.runtime import checkpointed, read_table
 
 
-def vocabulary() -> str:
-    """The tokenizer's file: READLOOM_VOCABULARY, or that of the installed collection."""
-    if named := os.environ.get("READLOOM_VOCABULARY"):
-        return named
-    import public_tokenizers
-
-    return public_tokenizers.path("word_bpe_49k.json")
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep, with all their columns.
+
+    Null and empty texts fail the base rules and go; rows without doc_id or lang are judged like
+    others; repeated rows share their fate. An empty table gives an empty table.
+    """
     return good_documents(docs, read_table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one of the smallest id; of equal ids any one, and one without id only where no other has one.
 
-    Groups are made by rows, so ids may be null or repeated. Documents without words stay.
+    Groups are made by rows, so ids may be null or repeated. Documents without words stay. An empty
+    table gives an empty table.
     """
     # written once, so that a row keeps its number
     rows = checkpointed(docs.withColumn("_row", F.monotonically_increasing_id()))
@@ -46,13 +40,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of sources takes it."""
+    """Each document as often as the mix of sources takes it: not at all, or up to three times.
+
+    A null source is a source of its own; rows of equal id (or none) and text are taken alike; texts
+    without words weigh nothing. An empty table gives an empty table.
+    """
     return mixed_documents(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, with the digests of ids and decoded text."""
-    return bpe_encode(docs, vocabulary(), ("n_tokens", "ids_sha256", "decoded_sha256"))
+    """doc_id, token ids, their number, and the digests of ids and decoded text, for each row.
+
+    Null and empty texts have no tokens; doc_id may be null. write_training_order takes these rows as
+    they are (ids="ids"). An empty table gives an empty table.
+    """
+    return bpe_encode(docs, vocabulary(), ("n_tokens", "ids", "ids_sha256", "decoded_sha256"))
 
 
 STAGES = [("quality rules", quality), ("near duplicates", near_duplicates), ("mixing", mix), ("bpe", encode)]
