@@ -27,40 +27,42 @@ def ends(df: DataFrame, library: Column | None = None, tag: str | None = None) -
     )
 
 
-def _pairs(e: DataFrame) -> DataFrame:
-    """Templates with exactly one mapped read 1 and read 2, ends in the order of coordinates."""
-    n = flags.read_number()
-    end = F.struct("refid", "five", "strand", "rank", "score", "mark")
-    rows = e.where(n > 0).groupBy("qname").agg(F.count(F.when(n == 1, 1)).alias("n1"), F.count(F.when(n == 2, 1)).alias("n2"), F.min(F.when(n == 1, end)).alias("a"), F.min(F.when(n == 2, end)).alias("b"), F.min("lib").alias("lib"))
-    rows = rows.where("n1 = 1 and n2 = 1")
-    marks = F.concat("a.mark", F.lit("\0"), "b.mark", F.lit("\0"))
-    return rows.select("qname", "lib", marks.alias("mark"), F.least("a", "b").alias("l"), F.greatest("a", "b").alias("r"), (F.col("a.score") + F.col("b.score")).alias("score"))
-
-
 def duplicate_ranks(df: DataFrame, library: Column | None = None, tag: str | None = None, nucleotide_tag: str | None = None) -> DataFrame:
-    """rank, lib, kind (pair or fragment), kept (qname that stays) of each duplicate row.
+    """rank, qname, lib, kind (pair or fragment), kept (qname that stays) of each duplicate row.
 
     tag: reads of different tags are never duplicates of each other; nucleotide_tag: the same with
     everything but A, C, G, T left out of the tag.
+
+    Narrow rows go through three shuffles: by name (each end of a template with exactly one mapped
+    read 1 and read 2 learns both ends), by the pair's ends, and by the fragment's end. The flags
+    come out of the same rows.
     """
     if tag and nucleotide_tag:
         raise ValueError("give either tag or nucleotide_tag")
     e = ends(df, library, tag or nucleotide_tag)
     if nucleotide_tag:
         e = e.withColumn("mark", F.regexp_replace(F.upper("mark"), "[^ACGT]", ""))
-    p = _pairs(e)
-    key = ["lib", "mark", *[F.col(f"{s}.{c}") for s in "lr" for c in ("refid", "five", "strand")]]
-    order = [F.col("score").desc(), F.least("l.rank", "r.rank")]
-    w = Window.partitionBy(*key).orderBy(*order)
-    lost = p.withColumns({"place": F.row_number().over(w), "kept": F.first("qname").over(w)}).where("place > 1")
-    of_pairs = lost.select(F.explode(F.array("l.rank", "r.rank")).alias("rank"), "lib", F.lit("pair").alias("kind"), "kept")
-
-    paired = p.select(F.explode(F.array("l.rank", "r.rank")).alias("rank"), F.lit(True).alias("in_pair"))
-    f = e.join(paired, "rank", "left").withColumn("in_pair", F.coalesce("in_pair", F.lit(False)))
+    n = flags.read_number()
+    by_name = Window.partitionBy("qname")
+    place = F.struct("refid", "five", "strand")
+    end = F.struct("refid", "five", "strand", "rank")
+    one, two = F.min(F.when(n == 1, F.struct(F.lit(0).alias("o"), end.alias("e"), "mark"))).over(by_name), F.min(F.when(n == 2, F.struct(F.lit(0).alias("o"), end.alias("e"), "mark"))).over(by_name)
+    counts = {"_n1": F.count(F.when(n == 1, 1)).over(by_name), "_n2": F.count(F.when(n == 2, 1)).over(by_name), "_one": one, "_two": two, "_both": F.sum(F.when(n > 0, F.col("score"))).over(by_name), "_lib": F.min(F.when(n > 0, F.col("lib"))).over(by_name)}
+    t = e.withColumns(counts).withColumn("in_pair", (n > 0) & (F.col("_n1") == 1) & (F.col("_n2") == 1))
+    spot = lambda c: F.struct(f"{c}.e.refid", f"{c}.e.five", f"{c}.e.strand")
+    # rows that are no pair's have a key of their own
+    key = F.when(F.col("in_pair"), F.struct(F.col("_lib").alias("lib"), F.concat("_one.mark", F.lit("\0"), "_two.mark").alias("mark"), F.least(spot("_one"), spot("_two")).alias("l"), F.greatest(spot("_one"), spot("_two")).alias("r"), F.lit(-1).cast("long").alias("own"))).otherwise(
+        F.struct(F.lit("").alias("lib"), F.lit("").alias("mark"), place.alias("l"), place.alias("r"), F.col("rank").alias("own"))
+    )
+    t = t.withColumns({"_key": key, "_first": F.least("_one.e.rank", "_two.e.rank")}).select("rank", "qname", "lib", "_lib", "mark", "refid", "five", "strand", "score", "in_pair", "_key", "_first", "_both")
+    by_pair = Window.partitionBy("_key").orderBy(F.col("_both").desc(), "_first")
+    t = t.withColumns({"_pair_place": F.dense_rank().over(by_pair), "_pair_kept": F.first("qname").over(by_pair)})
     # one end of a pair beats all fragments there; of the fragments else the best
-    fw = Window.partitionBy("lib", "mark", "refid", "five", "strand").orderBy(F.col("in_pair").desc(), F.col("score").desc(), "rank")
-    single = f.withColumns({"place": F.row_number().over(fw), "kept": F.first("qname").over(fw)}).where("place > 1 and not in_pair")
-    return of_pairs.unionByName(single.select("rank", "lib", F.lit("fragment").alias("kind"), "kept"))
+    by_end = Window.partitionBy("lib", "mark", "refid", "five", "strand").orderBy(F.col("in_pair").desc(), F.col("score").desc(), "rank")
+    t = t.withColumns({"_place": F.row_number().over(by_end), "_kept": F.first("qname").over(by_end)})
+    lost = t.where(F.when(F.col("in_pair"), F.col("_pair_place") > 1).otherwise(F.col("_place") > 1))
+    pick = lambda a, b: F.when(F.col("in_pair"), a).otherwise(b)
+    return lost.select("rank", "qname", pick(F.col("_lib"), F.col("lib")).alias("lib"), pick(F.lit("pair"), F.lit("fragment")).alias("kind"), pick(F.col("_pair_kept"), F.col("_kept")).alias("kept"))
 
 
 def mark_duplicates(df: DataFrame, remove: bool = False, **how) -> DataFrame:
@@ -90,7 +92,13 @@ def optical_duplicates(df: DataFrame, pixels: int = OPTICAL_PIXELS, **how) -> Da
     Names end in tile:x:y. Each duplicate is compared with the kept read only, so groups of any size take linear work.
     """
     place = lambda c: F.struct(F.regexp_extract(c, r"(.*):\d+:\d+$", 1).alias("tile"), F.regexp_extract(c, r":(\d+):\d+$", 1).try_cast("long").alias("x"), F.regexp_extract(c, r":(\d+)$", 1).try_cast("long").alias("y"))
-    lost = duplicate_ranks(df, **how).join(df.select("rank", "qname"), "rank")
+    lost = duplicate_ranks(df, **how)
     lost = lost.withColumns({"_a": place(F.col("qname")), "_b": place(F.col("kept"))})
     near = (F.col("_a.tile") == F.col("_b.tile")) & (F.abs(F.col("_a.x") - F.col("_b.x")) <= pixels) & (F.abs(F.col("_a.y") - F.col("_b.y")) <= pixels)
     return lost.where(near).select("rank", "kept")
+
+
+def tag_optical(df: DataFrame, tag: str = "od", pixels: int = OPTICAL_PIXELS, **how) -> DataFrame:
+    """Tag od, the name of the read that stays, on optical duplicates."""
+    found = optical_duplicates(df, pixels, **how).select("rank", F.col("kept").alias("_od"))
+    return df.join(found, "rank", "left").withColumn("aux", aux.put(F.col("aux"), aux.check_tag(tag), "Z", F.col("_od"))).select(df.columns)

@@ -13,8 +13,8 @@ CLASSES = ("F", "F2", "O", "O2", "S")
 
 
 def by_mapping(df: DataFrame, least: int = 0, most: int = 3, length: int = 0) -> DataFrame:
-    """least <= self mapped + mate mapped + proper pair <= most, and length bases or more."""
-    score = flags.mapped().cast("int") + (flags.has(m.PAIRED) & flags.lacks(m.MATE_UNMAPPED)).cast("int") + flags.has(m.PROPER).cast("int")
+    """least <= self mapped + mate mapped + proper pair <= most, and length bases or more. The mate's bit counts as it is, for single reads too."""
+    score = flags.mapped().cast("int") + flags.lacks(m.MATE_UNMAPPED).cast("int") + flags.has(m.PROPER).cast("int")
     return df.where(score.between(least, most) & (F.length("seq") >= length))
 
 
@@ -82,7 +82,7 @@ def used_header(df: DataFrame, sq: DataFrame, mate_of_mapped_only: bool = False)
 def downsample(df: DataFrame, share: float, seed: int = 0, exclude: str = "") -> DataFrame:
     """Whole templates, of which about share are kept: a hash of name and seed decides, so reruns agree."""
     limit = int(share * (2**32 - 1) + 0.5)
-    h = F.shiftrightunsigned(F.xxhash64("qname", F.lit(seed)), 32)
+    h = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), "qname")), 1, 8), 16, 10).cast("long")
     return without_flags(df, exclude).where(h <= limit)
 
 

@@ -7,12 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from readloom import model as m
-from readloom.functions import aux, cigar, flags
+from readloom.functions import aux, cigar, flags, sequences
 
 
 def mapping_spans(df: DataFrame) -> DataFrame:
@@ -132,75 +132,111 @@ def depth_peaks(depths: DataFrame, least: float = 1.0, narrowest: int = 1, wides
     return spread.groupBy("refid", "tile").applyInPandas(walk, "refid int, start long, end long, height double")
 
 
-def list_adapters(df: DataFrame, adapters: DataFrame, least_score: int = 16, least_share: float = 0.75, seed: int = 12, seed_errors: int = 2) -> DataFrame:
-    """Tags as (bases from the adapter's start on), aa (its name), af (matching share) and ar (aligned length) of the best adapter of a list (name, seq).
+def _by_length(*columns: pd.Series):
+    """(places, byte matrix of each column) for the rows of equal lengths; nulls are empty."""
+    texts = [c.fillna("").to_numpy() for c in columns]
+    groups: dict[tuple[int, ...], list[int]] = {}
+    for i, row in enumerate(zip(*texts)):
+        groups.setdefault(tuple(map(len, row)), []).append(i)
+    for lengths, places in groups.items():
+        yield np.array(places), [np.frombuffer("".join(t[places]).encode("ascii", "replace"), np.uint8).reshape(len(places), n) for t, n in zip(texts, lengths)]
 
-    An adapter may start anywhere in the read; its first bases, up to seed, may have seed_errors
-    mismatches; score: matches less mismatches. The list is a fixed table of some dozens.
+
+def _machine_bases() -> Column:
+    """The read as the machine wrote it."""
+    return F.when(flags.has(m.REVERSE), sequences.reverse_complement(F.col("seq"))).otherwise(F.col("seq"))
+
+
+def list_adapters(df: DataFrame, adapters: DataFrame, least_score: int = 16, least_share: float = 0.75, least_part: float = 0.8, seed: int = 12, seed_errors: int = 2, genome: int = 3_000_000_000, shares: dict[str, float] | None = None) -> DataFrame:
+    """Tags as (bases from the match's start on), aa (the adapter's name), af (share of matching bases) and ar (probability that no such word stands in a random genome) of rows in which an adapter of a list (name, seq) is found.
+
+    Reads are taken as the machine wrote them, adapters from either strand. An adapter may start
+    anywhere; its first bases, up to seed, may have seed_errors mismatches. score: matches less
+    mismatches; matches must be least_share of the adapter and least_part of the bases compared. The
+    earliest match decides, then the better one. The list is a fixed table of some dozens.
     """
-    known = [(r["name"], r.seq) for r in adapters.orderBy("name").collect()]
+    turn = str.maketrans("ACGT", "TGCA")
+    known = [(r["name"], s) for r in adapters.orderBy("name").collect() for s in (r.seq.upper(), r.seq.upper()[::-1].translate(turn))]
 
     def match(seq: pd.Series) -> pd.DataFrame:
-        names, starts, shares, lengths = [], [], [], []
-        for s in seq:
-            best = (least_score - 1, None, 0, 0.0, 0)
-            for name, a in known:
-                for i in range(0, len(s) - min(seed, len(a), len(s)) + 1):
-                    n = min(len(a), len(s) - i)
-                    same = [x == y for x, y in zip(s[i : i + n], a)]
-                    if sum(not x for x in same[:seed]) > seed_errors:
-                        continue
-                    hits = sum(same)
-                    if 2 * hits - n > best[0] and hits >= least_share * n:
-                        best = (2 * hits - n, name, len(s) - i, hits / n, n)
-            names.append(best[1])
-            starts.append(best[2])
-            shares.append(best[3])
-            lengths.append(best[4])
-        return pd.DataFrame({"name": names, "cut": starts, "share": shares, "length": lengths})
-
-    udf = F.pandas_udf(match, "name string, cut int, share double, length int")
-    rows = df.withColumn("_a", udf(F.col("seq")))
+        out = {"name": np.full(len(seq), None, object), "cut": np.zeros(len(seq), np.int32), "share": np.zeros(len(seq)), "word": np.full(len(seq), "", object)}
+        for places, (reads,) in _by_length(seq):
+            n_reads, length = reads.shape
+            start, score = np.full(n_reads, length), np.zeros(n_reads, np.int64)
+            for name, adapter in known:
+                a = np.frombuffer(adapter.encode(), np.uint8)
+                for i in range(length):
+                    n = min(len(a), length - i)
+                    if n < least_score or n < least_share * len(a):
+                        break
+                    same = reads[:, i : i + n] == a[:n]
+                    hits = same.sum(axis=1)
+                    now = 2 * hits - n
+                    fits = ((~same[:, :seed]).sum(axis=1) <= seed_errors) & (now >= least_score) & (hits >= least_share * len(a)) & (hits >= least_part * n)
+                    better = np.flatnonzero(fits & ((i < start) | ((i == start) & (now > score))))
+                    start[better], score[better] = i, now[better]
+                    at = places[better]
+                    out["name"][at], out["cut"][at], out["share"][at], out["word"][at] = name, length - i, hits[better] / n, adapter[:n]
+        return pd.DataFrame(out)
+
+    found = F.pandas_udf(match, "name string, cut int, share double, word string")(_machine_bases())
+    rows = df.withColumn("_a", found)
+    counts = {b: F.regexp_count(F.col("_a.word"), F.lit(b)) for b in "ACGT"}
+    chance = sequences.kmer_poisson(F.lit(genome), counts, F.lit(0), shares or dict.fromkeys("ACGT", 0.25))
     some = F.col("_a.name").isNotNull()
     tags = F.col("aux")
-    for tag, kind, val in (("as", "i", F.col("_a.cut")), ("aa", "Z", F.col("_a.name")), ("af", "f", F.round(F.col("_a.share"), 6)), ("ar", "i", F.col("_a.length"))):
+    for tag, kind, val in (("as", "i", F.col("_a.cut")), ("aa", "Z", F.col("_a.name")), ("af", "f", F.round(F.col("_a.share"), 6)), ("ar", "f", F.round(chance, 6))):
         tags = aux.put(tags, tag, kind, F.when(some, val))
     return rows.withColumn("aux", tags).drop("_a")
 
 
 def overlap_adapters(pairs: DataFrame, seed: int = 12, percent: int = 10, least: int = 32, adapter: int = 12) -> DataFrame:
-    """qname, overlap, cut1, cut2 of pairs (qname, seq1, seq2) whose insert is shorter than the reads.
+    """qname, overlap, cut1, cut2 of pairs (qname, seq1, seq2: as the machine wrote them) whose insert is shorter than the reads.
 
-    The start of read 1 is sought in the reverse complement of read 2; if the overlap has at most
-    percent hundredths of mismatches, what lies beyond the insert is adapter: its first bases, up to
-    adapter, must be alike on both reads, again but for percent hundredths.
+    The last bases of the reverse complement of read 2 are sought in read 1, from its end on; if the
+    whole overlap has at most percent hundredths of mismatches, what lies beyond the insert is
+    adapter: its first bases, up to adapter, must be alike on both reads, again but for percent hundredths.
     """
 
     def find(one: pd.Series, two: pd.Series) -> pd.DataFrame:
-        turn = str.maketrans("ACGT", "TGCA")
-        out = []
-        for a, b in zip(one, two):
-            r, hit = b[::-1].translate(turn), None
-            for shift in range(1, max(1, len(r) - least + 1)):
-                n = min(len(r) - shift, len(a))
-                if sum(x != y for x, y in zip(a[:seed], r[shift : shift + seed])) * 100 > seed * percent:
+        turn = np.arange(256, dtype=np.uint8)
+        turn[np.frombuffer(b"ACGT", np.uint8)] = np.frombuffer(b"TGCA", np.uint8)
+        out = np.full((len(one), 3), -1, np.int32)
+        for places, (a, b) in _by_length(one, two):
+            r = turn[b[:, ::-1]]
+            left = np.ones(len(places), bool)
+            for n in range(min(a.shape[1], b.shape[1] - 1), least - 1, -1):
+                wrong = a[:, :n] != r[:, b.shape[1] - n :]
+                s = min(seed, n)
+                x, y = a[:, n : n + adapter], b[:, n : n + adapter]
+                k = min(x.shape[1], y.shape[1])
+                if k == 0:
                     continue
-                if sum(x != y for x, y in zip(a[:n], r[shift : shift + n])) * 100 > n * percent:
-                    continue
-                x, y = a[n : n + adapter], b[n : n + adapter]
-                k = min(len(x), len(y))
-                if k and sum(p != q for p, q in zip(x, y)) * 100 <= k * percent:
-                    hit = (n, len(a) - n, len(b) - n)
-                    break
-            out.append(hit or (None, None, None))
-        return pd.DataFrame(out, columns=["overlap", "cut1", "cut2"]).astype("Int32")
+                ok = left & (wrong[:, n - s :].sum(axis=1) * 100 <= s * percent) & (wrong.sum(axis=1) * 100 <= n * percent) & ((x[:, :k] != y[:, :k]).sum(axis=1) * 100 <= k * percent)
+                out[places[ok]] = n, a.shape[1] - n, b.shape[1] - n
+                left &= ~ok
+        return pd.DataFrame(out, columns=["overlap", "cut1", "cut2"])
 
     udf = F.pandas_udf(find, "overlap int, cut1 int, cut2 int")
-    return pairs.select("qname", udf("seq1", "seq2").alias("x")).select("qname", "x.*").where("overlap is not null")
+    return pairs.select("qname", udf("seq1", "seq2").alias("x")).select("qname", "x.*").where("overlap >= 0")
+
+
+def tag_overlap_adapters(df: DataFrame, **how) -> DataFrame:
+    """Tags ah (1) and a3 (bases of adapter at the 3' end) on both mates of pairs in which overlap_adapters finds some."""
+    number = flags.read_number()
+    bases = df.where(flags.primary() & (number > 0)).select("qname", number.alias("_n"), "rank", _machine_bases().alias("_seq"))
+    first = lambda n: F.min_by(F.when(F.col("_n") == n, F.col("_seq")), F.when(F.col("_n") == n, F.col("rank")))
+    pairs = bases.groupBy("qname").agg(first(1).alias("seq1"), first(2).alias("seq2")).where("seq1 is not null and seq2 is not null")
+    found = overlap_adapters(pairs, **how).select("qname", F.col("cut1").alias("_1"), F.col("cut2").alias("_2"))
+    cut = F.when(flags.primary() & (number == 1), F.col("_1")).when(flags.primary() & (number == 2), F.col("_2"))
+    rows = df.join(found, "qname", "left").withColumn("_cut", cut)
+    tags = aux.put(aux.put(F.col("aux"), "ah", "i", F.when(F.col("_cut").isNotNull(), F.lit(1))), "a3", "i", F.col("_cut"))
+    return rows.withColumn("aux", tags).select(df.columns)
 
 
-def overlap_histogram(found: DataFrame) -> DataFrame:
-    return found.groupBy("overlap").agg(F.count("*").alias("n"))
+def overlap_histogram(found: DataFrame, pairs: int) -> DataFrame:
+    """overlap, n, percent (of all pairs) of what overlap_adapters finds."""
+    return found.groupBy("overlap").agg(F.count("*").alias("n")).withColumn("percent", F.col("n") * 100 / F.lit(float(pairs)))
 
 
 def covered_bases(df: DataFrame) -> DataFrame:

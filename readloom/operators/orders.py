@@ -16,7 +16,8 @@ def sort_keys(order: str = "coordinate", tag: str | None = None) -> list[Column]
     """Sort columns of an order; rank comes last, so the sort is stable.
 
     coordinate; queryname (natural order, read 1 first); queryname_HI (then tag HI); hash (of the
-    name, then the name); tag (natural order of the tag, then coordinate).
+    name, then the name); tag (natural order of the tag, then coordinate); template (rows of a name:
+    paired, primary, not supplementary and read 1 first).
     """
     where = names.coordinate_key(F.col("refid"), F.col("pos"))
     by_name = [names.natural_key(F.col("qname")), flags.has(m.READ2)]
@@ -30,6 +31,8 @@ def sort_keys(order: str = "coordinate", tag: str | None = None) -> list[Column]
         keys = [F.xxhash64("qname"), *by_name]
     elif order == "tag":
         keys = [names.natural_key(F.coalesce(aux.value(F.col("aux"), aux.check_tag(tag or "")), F.lit(""))), *where]
+    elif order == "template":  # paired, primary, not supplementary, read 1 first, within a name
+        keys = [F.col("qname"), ~flags.has(m.PAIRED), flags.has(m.SECONDARY), flags.has(m.SUPPLEMENTARY), ~flags.has(m.READ1)]
     else:
         raise ValueError(f"unknown order {order}")
     return [*keys, F.col("rank")]
@@ -111,14 +114,23 @@ def sparse_index(df: DataFrame, every: int = 1024) -> DataFrame:
     return df.where(F.pmod("rank", F.lit(every)) == 0).select("rank", "refid", "pos")
 
 
-def chains(df: DataFrame, gap: int = 20_000) -> DataFrame:
-    """rank, refid, offset, chain: the distance of mapped rows, in coordinate order, from the end of the row before on the reference; a chain starts without one or at gap or more."""
+def chains(df: DataFrame, gap: int = 20_000, tile: int = 1 << 16) -> DataFrame:
+    """rank, refid, pos, end, offset, chain: the distance of mapped rows, in coordinate order, from the end of the row before on the reference; a chain starts without one or at gap or more.
+
+    Rows are walked in tiles of the reference; only the tiles' last ends and numbers of chains are
+    walked by reference, so a task holds a tile's rows.
+    """
     end = F.col("pos") + cigar.reference_length(F.col("cigar")) - 1
-    rows = df.where(flags.mapped() & (F.col("refid") >= 0)).select("rank", "refid", "pos", end.alias("end"))
-    w = Window.partitionBy("refid").orderBy("pos", "rank")
-    rows = rows.withColumn("offset", F.col("pos") - F.lag("end").over(w))
-    fresh = (F.col("offset").isNull() | (F.col("offset") >= gap)).cast("int")
-    return rows.withColumn("chain", F.sum(fresh).over(w)).select("rank", "refid", "pos", "end", "offset", "chain")
+    rows = df.where(flags.mapped() & (F.col("refid") >= 0)).select("rank", "refid", "pos", end.alias("end"), F.floor(F.col("pos") / tile).alias("tile"))
+    ends = rows.groupBy("refid", "tile").agg(F.max_by("end", F.struct("pos", "rank")).alias("last"))
+    by_ref = Window.partitionBy("refid").orderBy("tile")
+    before = ends.select("refid", "tile", F.lag("last").over(by_ref).alias("before"))
+    w = Window.partitionBy("refid", "tile").orderBy("pos", "rank")
+    rows = rows.join(before, ["refid", "tile"]).withColumn("offset", F.col("pos") - F.coalesce(F.lag("end").over(w), "before"))
+    rows = rows.withColumn("fresh", (F.col("offset").isNull() | (F.col("offset") >= gap)).cast("int"))
+    counts = rows.groupBy("refid", "tile").agg(F.sum("fresh").alias("n"))
+    earlier = counts.select("refid", "tile", F.coalesce(F.sum("n").over(by_ref.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("earlier"))
+    return rows.join(earlier, ["refid", "tile"]).withColumn("chain", F.col("earlier") + F.sum("fresh").over(w)).select("rank", "refid", "pos", "end", "offset", "chain")
 
 
 def longest_chain(chained: DataFrame) -> DataFrame:

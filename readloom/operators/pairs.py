@@ -41,37 +41,71 @@ def ranks_in_names(df: DataFrame) -> DataFrame:
     return df.where(flags.primary()).withColumns({"_name": F.concat_ws("_", first.cast("string"), second.cast("string"), "qname"), "aux": aux.drop(F.col("aux"), ["ZR"])}).drop("qname").withColumnRenamed("_name", "qname").select(df.columns)
 
 
-def fix_mate_coordinates(df: DataFrame) -> DataFrame:
-    """Pairs with exactly one mapped end: both ends take its coordinate, as their own and as their mate's."""
+def fix_mate_coordinates(df: DataFrame, keep_others: bool = False) -> DataFrame:
+    """Pairs with exactly one mapped end: both ends take its coordinate, as their own and as their mate's.
+
+    Secondary and supplementary rows go; with keep_others (as for input sorted by name) they pass unchanged.
+    """
     w = Window.partitionBy("qname")
-    number = flags.read_number()
+    number = F.when(flags.primary(), flags.read_number()).otherwise(0)
     ends = F.count(F.when(number > 0, 1)).over(w)
     here = F.when((number > 0) & flags.mapped(), F.struct("refid", "pos"))
     n, at = F.count(here).over(w), F.min(here).over(w)
-    rows = df.where(flags.primary()).withColumns({"_fix": (ends == 2) & (number > 0) & (n == 1), "_at": at})
+    rows = (df if keep_others else df.where(flags.primary())).withColumns({"_fix": (ends == 2) & (number > 0) & (n == 1), "_at": at})
     put = lambda c, f: F.when(F.col("_fix"), F.col(f"_at.{f}")).otherwise(F.col(c))
     return rows.withColumns({"refid": put("refid", "refid"), "pos": put("pos", "pos"), "mate_refid": put("mate_refid", "refid"), "mate_pos": put("mate_pos", "pos")}).select(df.columns)
 
 
-def fix_mates(df: DataFrame) -> DataFrame:
-    """Mate fields of pairs from the mate itself: refid, pos, strand, mapping, tlen; other rows pass.
+def with_mates(df: DataFrame, fields: dict[str, Column]) -> DataFrame:
+    """Adds _mate, a struct of fields of each primary row's mate (the first by rank of the other number), else null. One shuffle, by name."""
+    w = Window.partitionBy("qname")
+    number = flags.read_number()
+    main = flags.primary() & (number > 0)
+    side = F.struct("rank", *[c.alias(n) for n, c in fields.items()])
+    of = lambda n: F.min_by(F.when(main & (number == n), side), F.when(main & (number == n), F.col("rank"))).over(w)
+    return df.withColumn("_mate", F.when(main & (number == 1), of(2)).when(main & (number == 2), of(1)))
+
+
+def fix_mates(df: DataFrame, support: bool = False, tag: str | None = None, nucleotides: bool = False) -> DataFrame:
+    """Mate fields of pairs from the mate itself: refid, pos, strand, mapping, tlen, and its quality as tag MQ; other rows pass.
 
     tlen is the distance between the 5' ends of two ends on one reference, negative for the right one.
+
+    support: also the tags by which duplicates can be marked read by read: ms (the mate's score), mc
+    (its unclipped 5' coordinate, from 1) and MC (its cigar); where a tag is named, mt holds the mate's
+    value of it (with nucleotides: only its letters A, C, G and T). A number in MC, as old tools
+    wrote it, goes.
     """
-    number = flags.read_number()
-    side = df.where(flags.primary() & (number > 0)).select("qname", (F.lit(3) - number).alias("_n"), "rank", "refid", "pos", "flag", cigar.unclipped_five_prime(F.col("cigar"), F.col("pos"), F.col("flag")).alias("five"))
-    mates = side.groupBy("qname", "_n").agg(F.min_by(F.struct("refid", "pos", "flag", "five"), "rank").alias("_mate"))
-    rows = df.withColumn("_n", F.when(flags.primary() & (number > 0), number)).join(mates, ["qname", "_n"], "left")
+    five = cigar.unclipped_five_prime(F.col("cigar"), F.col("pos"), F.col("flag"))
+    fields = {"refid": F.col("refid"), "pos": F.col("pos"), "flag": F.col("flag"), "mapq": F.col("mapq"), "five": five}
+    if support:
+        own = aux.value(F.col("aux"), aux.check_tag(tag)) if tag else F.lit(None).cast("string")
+        own = F.regexp_replace(F.upper(own), "[^ACGT]", "") if nucleotides else own
+        fields |= {"score": sequences.quality_sum(F.col("qual")), "cigar": cigar.to_text(F.col("cigar")), "mark": own}
+    rows = with_mates(df, fields)
     has = F.col("_mate").isNotNull()
     mate_flag = F.when(flags.has(m.UNMAPPED, F.col("_mate.flag")), m.MATE_UNMAPPED).otherwise(0).bitwiseOR(F.when(flags.has(m.REVERSE, F.col("_mate.flag")), m.MATE_REVERSE).otherwise(0))
     flag = F.col("flag").bitwiseAND(~(m.MATE_UNMAPPED | m.MATE_REVERSE)).bitwiseOR(mate_flag)
-    five = cigar.unclipped_five_prime(F.col("cigar"), F.col("pos"), F.col("flag"))
-    together = flags.mapped() & flags.lacks(m.UNMAPPED, F.col("_mate.flag")) & (F.col("refid") == F.col("_mate.refid"))
+    mate_mapped = flags.lacks(m.UNMAPPED, F.col("_mate.flag"))
+    together = flags.mapped() & mate_mapped & (F.col("refid") == F.col("_mate.refid"))
     gap = F.col("_mate.five") - five
     span = F.when(together, gap + F.when(gap > 0, 1).when(gap < 0, -1).otherwise(0)).otherwise(0)
     put = lambda new, c: F.when(has, new).otherwise(F.col(c)).alias(c)
+    tags = aux.put(F.col("aux"), "MQ", "i", F.when(has, F.col("_mate.mapq")))
+    if support:
+        old = F.filter(tags, lambda t: ~((t["tag"] == "MC") & (t["type"] == "i")))
+        tags = F.when(has, old).otherwise(tags)
+        for name, kind, value in (("ms", "i", F.col("_mate.score")), ("mc", "i", F.when(mate_mapped, F.col("_mate.five") + 1)), ("MC", "Z", F.when(mate_mapped, F.col("_mate.cigar"))), ("mt", "Z", F.col("_mate.mark"))):
+            tags = aux.put(tags, name, kind, F.when(has, value))
     new = {"flag": flag, "mate_refid": F.col("_mate.refid"), "mate_pos": F.col("_mate.pos"), "tlen": span.cast("int")}
-    return rows.select(*[put(new[c], c) if c in new else F.col(c) for c in df.columns])
+    return rows.select(*[put(new[c], c) if c in new else tags.alias("aux") if c == "aux" else F.col(c) for c in df.columns])
+
+
+def add_mate_cigars(df: DataFrame) -> DataFrame:
+    """Tag MC, the mate's cigar, on primary rows whose mate is mapped."""
+    rows = with_mates(df, {"flag": F.col("flag"), "cigar": cigar.to_text(F.col("cigar"))})
+    value = F.when(F.col("_mate").isNotNull() & flags.lacks(m.UNMAPPED, F.col("_mate.flag")), F.col("_mate.cigar"))
+    return rows.withColumn("aux", aux.put(F.col("aux"), "MC", "Z", value)).select(df.columns)
 
 
 def routed(df: DataFrame) -> DataFrame:

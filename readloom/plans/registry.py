@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,3 +36,13 @@ def table_query(name: str, sql: str | None = None, raw: bool = False):
         return f
 
     return add
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path for files that a query writes and reads: under the shared checkpoint folder, in a local session without one under a temporary one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="readloom-scratch-")
+    return f"{shared.rstrip('/')}/scratch-{uuid.uuid4().hex}"

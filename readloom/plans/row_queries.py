@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from readloom.functions import aux, cigar, names, sequences
+from readloom.functions import aux, cigar, flags, names, sequences
 from readloom.operators import filters as D
 from readloom.operators import transforms as C
 from readloom.plans import fixture
@@ -115,7 +115,7 @@ def _(a: DataFrame) -> DataFrame:
     return C.tag_reference_interval(a).select("rank", tags_text())
 
 
-@query("c16_random_tag")
+@query("c16_random_tag", "SELECT rank, aux || '|XX:A:' || CASE WHEN md5('0:' || CAST(rank AS VARCHAR)) < '8' THEN 'A' ELSE 'C' END AS aux FROM aln")
 def _(a: DataFrame) -> DataFrame:
     return C.random_tag(a).select("rank", tags_text())
 
@@ -126,7 +126,7 @@ def _(a: DataFrame) -> DataFrame:
     return C.replace_read_groups(a, table).select("rank", tags_text())
 
 
-@query("d1_by_mapping", "SELECT rank FROM aln WHERE (CASE WHEN flag & 4 = 0 THEN 1 ELSE 0 END) + (CASE WHEN flag & 1 <> 0 AND flag & 8 = 0 THEN 1 ELSE 0 END) + (CASE WHEN flag & 2 <> 0 THEN 1 ELSE 0 END) BETWEEN 1 AND 2")
+@query("d1_by_mapping", "SELECT rank FROM aln WHERE (CASE WHEN flag & 4 = 0 THEN 1 ELSE 0 END) + (CASE WHEN flag & 8 = 0 THEN 1 ELSE 0 END) + (CASE WHEN flag & 2 <> 0 THEN 1 ELSE 0 END) BETWEEN 1 AND 2")
 def _(a: DataFrame) -> DataFrame:
     return D.by_mapping(a, 1, 2, 30).select("rank")
 
@@ -158,8 +158,8 @@ def _(a: DataFrame) -> DataFrame:
     return D.by_read_groups(a, ("rg0", "rg2")).select("rank")
 
 
-_USED = "u AS (SELECT refid, row_number() OVER (ORDER BY refid) - 1 AS n FROM sq WHERE refid IN (SELECT refid FROM aln WHERE flag & 4 = 0 AND rank % 2 = 0 AND refid <> 1) OR refid IN (SELECT mate_refid FROM aln WHERE flag & 1 <> 0 AND {mate} AND rank % 2 = 0 AND refid <> 1))"
-_HEAD = "SELECT rank, CAST(CASE WHEN flag & 4 = 0 THEN coalesce(a.n, -1) ELSE -1 END AS INT) AS refid, CAST(CASE WHEN flag & 1 <> 0 AND {mate} THEN coalesce(b.n, -1) ELSE -1 END AS INT) AS mate_refid FROM aln LEFT JOIN u a ON aln.refid = a.refid LEFT JOIN u b ON aln.mate_refid = b.refid WHERE rank % 2 = 0 AND aln.refid <> 1"
+_USED = "u AS (SELECT refid, row_number() OVER (ORDER BY refid) - 1 AS n FROM sq WHERE refid IN (SELECT refid FROM aln WHERE flag & 4 = 0) OR refid IN (SELECT mate_refid FROM aln WHERE flag & 1 <> 0 AND {mate}))"
+_HEAD = "SELECT rank, CAST(CASE WHEN flag & 4 = 0 THEN coalesce(a.n, -1) ELSE -1 END AS INT) AS refid, CAST(CASE WHEN flag & 1 <> 0 AND {mate} THEN coalesce(b.n, -1) ELSE -1 END AS INT) AS mate_refid FROM aln LEFT JOIN u a ON aln.refid = a.refid LEFT JOIN u b ON aln.mate_refid = b.refid"
 
 
 def _header(mate: str) -> str:
@@ -168,39 +168,23 @@ def _header(mate: str) -> str:
 
 @table_query("d7_used_header", _header("flag & 8 = 0"))
 def _(spark, sf_dir) -> DataFrame:
-    a = fixture.alignments(spark, sf_dir).where("rank % 2 = 0 and refid <> 1")
-    return D.used_header(a, fixture.references(spark, sf_dir))[0].select("rank", "refid", "mate_refid")
+    return D.used_header(fixture.alignments(spark, sf_dir), fixture.references(spark, sf_dir))[0].select("rank", "refid", "mate_refid")
 
 
 @table_query("d8_used_header_of_mapped", _header("flag & 4 = 0"))
 def _(spark, sf_dir) -> DataFrame:
-    a = fixture.alignments(spark, sf_dir).where("rank % 2 = 0 and refid <> 1")
-    return D.used_header(a, fixture.references(spark, sf_dir), mate_of_mapped_only=True)[0].select("rank", "refid", "mate_refid")
-
-
-def _header_of_all(mate: str) -> str:
-    """The same over all rows."""
-    whole = _header(mate).replace(" AND rank % 2 = 0 AND refid <> 1", "").replace(" WHERE rank % 2 = 0 AND aln.refid <> 1", "")
-    assert "rank %" not in whole and "<> 1" not in whole
-    return whole
-
-
-@table_query("d7_used_header_of_all", _header_of_all("flag & 8 = 0"))
-def _(spark, sf_dir) -> DataFrame:
-    return D.used_header(fixture.alignments(spark, sf_dir), fixture.references(spark, sf_dir))[0].select("rank", "refid", "mate_refid")
+    return D.used_header(fixture.alignments(spark, sf_dir), fixture.references(spark, sf_dir), mate_of_mapped_only=True)[0].select("rank", "refid", "mate_refid")
 
 
-@table_query("d8_used_header_of_mapped_of_all", _header_of_all("flag & 4 = 0"))
-def _(spark, sf_dir) -> DataFrame:
-    return D.used_header(fixture.alignments(spark, sf_dir), fixture.references(spark, sf_dir), mate_of_mapped_only=True)[0].select("rank", "refid", "mate_refid")
+_SAMPLED = f"CAST('0x' || substr(md5('7:' || qname), 1, 8) AS BIGINT) <= {int(0.3 * (2**32 - 1) + 0.5)}"
 
 
-@query("d9_downsample")
+@query("d9_downsample", f"SELECT rank, qname FROM aln WHERE flag & 256 = 0 AND {_SAMPLED}")
 def _(a: DataFrame) -> DataFrame:
     return D.downsample(a, 0.3, 7, "SECONDARY").select("rank", "qname")
 
 
-@query("d10_downsample_all")
+@query("d10_downsample_all", f"SELECT rank, qname FROM aln WHERE {_SAMPLED}")
 def _(a: DataFrame) -> DataFrame:
     return D.downsample(a, 0.3, 7).select("rank", "qname")
 
@@ -261,16 +245,15 @@ def _(a: DataFrame) -> DataFrame:
     return a.select("rank", names.rank_in_name(F.concat_ws("_", F.col("rank").cast("string"), "qname")).alias("found"))
 
 
-@query("j9_kmer_poisson", "SELECT rank, round(pow(m, 2) / 2 * exp(-m), 9) AS p FROM (SELECT rank, 20 * pow(0.25, mapq % 5) * pow(0.3, mapq % 3) AS m, mapq FROM (SELECT rank, mapq FROM aln) y) x WHERE mapq % 5 + mapq % 3 = 4")
+@query("j9_kmer_poisson", "SELECT rank, round(pow(m, 2) / 2 * exp(-m), 9) AS p FROM (SELECT rank, (24 - mapq % 5 - mapq % 3) * pow(0.25, mapq % 5) * pow(0.3, mapq % 3) AS m FROM aln) x")
 def _(a: DataFrame) -> DataFrame:
     counts = {"A": F.col("mapq") % 5, "C": F.col("mapq") % 3, "G": F.lit(0), "T": F.lit(0)}
-    return a.where(F.col("mapq") % 5 + F.col("mapq") % 3 == 4).select("rank", F.round(sequences.kmer_poisson(F.lit(23), counts, F.lit(2), {"A": 0.25, "C": 0.3, "G": 0.25, "T": 0.2}), 9).alias("p"))
+    return a.select("rank", F.round(sequences.kmer_poisson(F.lit(23), counts, F.lit(2), {"A": 0.25, "C": 0.3, "G": 0.25, "T": 0.2}), 9).alias("p"))
 
 
-@query("j9_kmer_poisson_of_all", "SELECT rank, round(pow(m, 2) / 2 * exp(-m), 9) AS p FROM (SELECT rank, (24 - mapq % 5 - mapq % 3) * pow(0.25, mapq % 5) * pow(0.3, mapq % 3) AS m FROM aln) x")
+@query("j19_simple_pair", "SELECT rank FROM aln WHERE flag & 12 = 0 AND refid = mate_refid AND (flag & 16 <> 0) <> (flag & 32 <> 0) AND CASE WHEN flag & 32 <> 0 THEN pos < mate_pos ELSE mate_pos < pos END")
 def _(a: DataFrame) -> DataFrame:
-    counts = {"A": F.col("mapq") % 5, "C": F.col("mapq") % 3, "G": F.lit(0), "T": F.lit(0)}
-    return a.select("rank", F.round(sequences.kmer_poisson(F.lit(23), counts, F.lit(2), {"A": 0.25, "C": 0.3, "G": 0.25, "T": 0.2}), 9).alias("p"))
+    return a.where(flags.simple_pair()).select("rank")
 
 
 @query("j11_digests", "SELECT rank, md5(seq) AS md5, sha1(seq) AS sha1, sha256(seq) AS sha256 FROM aln")

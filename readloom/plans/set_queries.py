@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readloom.functions import aux, cigar, names
+from readloom.functions import aux, cigar, flags, names
 from readloom.operators import aggregates as A
 from readloom.operators import checksums as S
 from readloom.operators import duplicates as G
@@ -16,7 +16,7 @@ from readloom.operators import orders as O
 from readloom.operators import pairs as P
 from readloom.operators import reference as R
 from readloom.plans import fixture
-from readloom.plans.registry import query, table_query
+from readloom.plans.registry import query, scratch, table_query
 from readloom.plans.row_queries import _REFLEN, tags_text
 from readloom.sources import fastq as Q
 from readloom.sources import sam
@@ -54,6 +54,37 @@ def _(a: DataFrame) -> DataFrame:
     return P.fix_mates(a).select("rank", "flag", "mate_refid", "mate_pos", "tlen")
 
 
+@query("e5_fix_mate_coordinates_by_name", f", {_MAIN}, w AS (SELECT *, count(*) FILTER (num > 0) OVER (PARTITION BY qname) AS n, count(*) FILTER (num > 0 AND flag & 4 = 0) OVER (PARTITION BY qname) AS nm, max(CASE WHEN num > 0 AND flag & 4 = 0 THEN refid END) OVER (PARTITION BY qname) AS r, max(CASE WHEN num > 0 AND flag & 4 = 0 THEN pos END) OVER (PARTITION BY qname) AS p FROM main) SELECT rank, CASE WHEN f THEN r ELSE refid END AS refid, CASE WHEN f THEN p ELSE pos END AS pos, CASE WHEN f THEN r ELSE mate_refid END AS mate_refid, CASE WHEN f THEN p ELSE mate_pos END AS mate_pos FROM (SELECT *, n = 2 AND nm = 1 AND num > 0 AS f FROM w) x UNION ALL SELECT rank, refid, pos, mate_refid, mate_pos FROM aln WHERE flag & 2304 <> 0")
+def _(a: DataFrame) -> DataFrame:
+    return P.fix_mate_coordinates(a, keep_others=True).select("rank", "refid", "pos", "mate_refid", "mate_pos")
+
+
+#: Score of a read from its qualities, and each primary row with its mate.
+_SCORE = "list_sum(list_transform(string_split(qual, ''), lambda c: CASE WHEN c <> '' AND ascii(c) - 33 >= 15 THEN ascii(c) - 33 ELSE 0 END))"
+_MATES = f"mm AS (SELECT a.*, m.rank AS mr, m.flag AS m_flag, m.mapq AS m_mapq, m.five AS m_five, m.score AS m_score, m.cigar AS m_cigar, m.ab AS m_ab FROM (SELECT *, CASE WHEN flag & 2304 = 0 THEN {_NUM} ELSE 0 END AS num FROM aln) a LEFT JOIN (SELECT qname, 3 - num AS num, rank, flag, mapq, cigar, substr(aux, 6, 3) AS ab, {_FIVE} AS five, CAST({_SCORE} AS BIGINT) AS score FROM (SELECT * EXCLUDE (k) FROM m1 UNION ALL SELECT * EXCLUDE (k) FROM m2) y) m ON a.qname = m.qname AND a.num = m.num)"
+
+
+@query("e6_mate_qualities", f", {_MAIN}, {_PAIRS}, {_MATES} SELECT rank, CAST(m_mapq AS VARCHAR) AS mq FROM mm")
+def _(a: DataFrame) -> DataFrame:
+    return P.fix_mates(a).select("rank", aux.value(F.col("aux"), "MQ", "i").alias("mq"))
+
+
+@query("h2_mate_support_tags", f", {_MAIN}, {_PAIRS}, {_MATES} SELECT rank, CAST(m_score AS VARCHAR) AS ms, CASE WHEN m_flag & 4 = 0 THEN CAST(m_five + 1 AS VARCHAR) END AS mc, CASE WHEN mr IS NULL THEN (CASE WHEN aux LIKE '%|MC:Z:%' THEN '32M' END) WHEN m_flag & 4 = 0 THEN m_cigar WHEN aux LIKE '%|MC:Z:%' THEN '32M' END AS mate_cigar, m_ab AS mt FROM mm")
+def _(a: DataFrame) -> DataFrame:
+    t = F.col("aux")
+    return P.fix_mates(a, support=True, tag="RG").select("rank", aux.value(t, "ms").alias("ms"), aux.value(t, "mc").alias("mc"), aux.value(t, "MC", "Z").alias("mate_cigar"), F.lower(aux.value(t, "mt")).alias("mt"))
+
+
+@query("e12_mate_cigars", f", {_MAIN}, {_PAIRS}, {_MATES} SELECT rank, CASE WHEN m_flag & 4 = 0 THEN m_cigar WHEN aux LIKE '%|MC:Z:%' THEN '32M' END AS mc FROM mm")
+def _(a: DataFrame) -> DataFrame:
+    return P.add_mate_cigars(a).select("rank", aux.value(F.col("aux"), "MC", "Z").alias("mc"))
+
+
+@query("j20_matching_pairs", f", {_MAIN}, {_PAIRS} SELECT qname FROM m1 JOIN m2 USING (qname)")
+def _(a: DataFrame) -> DataFrame:
+    return P.mated(P.fix_mates(a)).where(flags.matching_pair()).select("qname")
+
+
 @query("d11_by_class", f", {_MAIN} SELECT rank, {_CLASS} AS class FROM main WHERE {_CLASS} IN ('F', 'O2')")
 def _(a: DataFrame) -> DataFrame:
     return D.by_class(P.classified(a), ("F", "O2")).select("rank", "class")
@@ -197,8 +228,6 @@ def _(a: DataFrame) -> DataFrame:
     return A.class_counts(P.classified(a))
 
 
-# Duplicates: the score is worked out per read from its qualities on both sides.
-_SCORE = "list_sum(list_transform(string_split(qual, ''), lambda c: CASE WHEN c <> '' AND ascii(c) - 33 >= 15 THEN ascii(c) - 33 ELSE 0 END))"
 _DUPS = f"""e AS (SELECT rank, qname, substr(aux, 6, 3) AS lib, refid, {_FIVE} AS five, CASE WHEN flag & 16 <> 0 THEN 1 ELSE 0 END AS strand, CAST({_SCORE} AS BIGINT) AS score, {_NUM} AS num FROM aln WHERE flag & 2820 = 0 AND refid >= 0),
 t AS (SELECT qname FROM e GROUP BY qname HAVING count(*) FILTER (num = 1) = 1 AND count(*) FILTER (num = 2) = 1),
 pe AS (SELECT e.* FROM e JOIN t USING (qname) WHERE num > 0),
@@ -222,10 +251,28 @@ def _(a: DataFrame) -> DataFrame:
     return G.mark_duplicates(a, remove=True).select("rank", "flag")
 
 
-@query("g3_optical_duplicates")
+def _with_places(a: DataFrame) -> DataFrame:
+    """Names that end in tile, x and y."""
+    number = F.substring("qname", 2, 20).cast("long")
+    return a.withColumn("qname", F.concat_ws(":", F.lit("t"), number % 3, number * 7 % 500, number))
+
+
+_OPTICAL = _DUPS + """,
+kp AS (SELECT k1, k2, place, first_value(qname) OVER (PARTITION BY lib, r1, f1, s1, r2, f2, s2 ORDER BY score DESC, least(k1, k2)) AS kept FROM po),
+kf AS (SELECT rank, place, in_pair, first_value(qname) OVER (PARTITION BY lib, refid, five, strand ORDER BY CASE WHEN in_pair THEN 0 ELSE 1 END, score DESC, rank) AS kept FROM fo),
+kd AS (SELECT k1 AS rank, kept FROM kp WHERE place > 1 UNION ALL SELECT k2, kept FROM kp WHERE place > 1 UNION ALL SELECT rank, kept FROM kf WHERE place > 1 AND NOT in_pair),
+od AS (SELECT d.rank, CAST(substr(d.kept, 2) AS BIGINT) AS k, CAST(substr(a.qname, 2) AS BIGINT) AS n FROM kd d JOIN aln a USING (rank)),
+of AS (SELECT rank, 't:' || CAST(k % 3 AS VARCHAR) || ':' || CAST(k * 7 % 500 AS VARCHAR) || ':' || CAST(k AS VARCHAR) AS od FROM od WHERE k % 3 = n % 3 AND abs(k * 7 % 500 - n * 7 % 500) <= 100 AND abs(k - n) <= 100)"""
+
+
+@query("g3_optical_duplicates", f", {_OPTICAL} SELECT rank, od AS kept FROM of")
+def _(a: DataFrame) -> DataFrame:
+    return G.optical_duplicates(_with_places(a))
+
+
+@query("g3_optical_tags", f", {_OPTICAL} SELECT rank, od FROM aln LEFT JOIN of USING (rank)")
 def _(a: DataFrame) -> DataFrame:
-    named = a.withColumn("qname", F.concat_ws(":", F.lit("t"), F.substring("qname", 2, 20).cast("long") % 3, F.substring("qname", 2, 20).cast("long") * 7 % 500, F.substring("qname", 2, 20)))
-    return G.optical_duplicates(named)
+    return G.tag_optical(_with_places(a)).select("rank", aux.value(F.col("aux"), "od").alias("od"))
 
 
 @query("f14_library_metrics", f", {_DUPS} {_METRICS}")
@@ -240,13 +287,13 @@ _COORD = "CASE WHEN refid < 0 THEN 4294967296 ELSE refid END, CASE WHEN pos < 0
 def _(a: DataFrame) -> DataFrame:
     marked = G.mark_duplicates(a)
     key = names.coordinate_key(F.col("refid"), F.col("pos"))
-    return O.numbered(marked, O.sort_keys(), key[0] * (1 << 27) + F.floor(key[1] / 64), "place").select("rank", "flag", "place")
+    return O.numbered(marked, O.sort_keys(), F.struct(key[0].alias("r"), F.floor(key[1] / 64).alias("p")), "place").select("rank", "flag", "place")
 
 
 @query("h1_sort_coordinate", f"SELECT rank, row_number() OVER (ORDER BY {_COORD}, rank) - 1 AS place FROM aln")
 def _(a: DataFrame) -> DataFrame:
     key = names.coordinate_key(F.col("refid"), F.col("pos"))
-    return O.numbered(a, O.sort_keys(), key[0] * (1 << 27) + F.floor(key[1] / 64), "place").select("rank", "place")
+    return O.numbered(a, O.sort_keys(), F.struct(key[0].alias("r"), F.floor(key[1] / 64).alias("p")), "place").select("rank", "place")
 
 
 @query("h1_sort_queryname", "SELECT rank, row_number() OVER (ORDER BY CAST(substr(qname, 2) AS BIGINT), CASE WHEN flag & 128 <> 0 THEN 1 ELSE 0 END, rank) - 1 AS place FROM aln")
@@ -258,7 +305,18 @@ def _(a: DataFrame) -> DataFrame:
 def _(a: DataFrame) -> DataFrame:
     key = names.coordinate_key(F.col("refid"), F.col("pos"))
     group = F.substring(aux.value(F.col("aux"), "RG"), 3, 5).cast("long")
-    return O.numbered(a, O.sort_keys("tag", "RG"), group * (1 << 40) + key[0] * 128 + F.floor(F.least(key[1], F.lit(8191)) / 64), "place").select("rank", "place")
+    return O.numbered(a, O.sort_keys("tag", "RG"), F.struct(group.alias("g"), key[0].alias("r"), F.floor(key[1] / 64).alias("p")), "place").select("rank", "place")
+
+
+@query("h1_sort_queryname_HI", "SELECT rank, row_number() OVER (ORDER BY CAST(substr(qname, 2) AS BIGINT), CASE WHEN flag & 128 <> 0 THEN 1 ELSE 0 END, rank % 3, rank) - 1 AS place FROM aln")
+def _(a: DataFrame) -> DataFrame:
+    hits = a.withColumn("aux", aux.put(F.col("aux"), "HI", "i", F.col("rank") % 3))
+    return O.numbered(hits, O.sort_keys("queryname_HI"), F.floor(F.substring("qname", 2, 20).cast("long") / 512), "place").select("rank", "place")
+
+
+@query("h6_template_order", "SELECT rank, row_number() OVER (ORDER BY qname, CASE WHEN flag & 1 <> 0 THEN 0 ELSE 1 END, CASE WHEN flag & 256 <> 0 THEN 1 ELSE 0 END, CASE WHEN flag & 2048 <> 0 THEN 1 ELSE 0 END, CASE WHEN flag & 64 <> 0 THEN 0 ELSE 1 END, rank) - 1 AS place FROM aln")
+def _(a: DataFrame) -> DataFrame:
+    return O.numbered(a, O.sort_keys("template"), F.substring("qname", 1, 4), "place").select("rank", "place")
 
 
 @query("h4_rank_gaps", "SELECT 2 * rank AS rank, CAST(4 AS BIGINT) AS delta FROM aln WHERE rank % 10 = 1 AND rank > 1")
@@ -275,7 +333,7 @@ def _(spark, sf_dir) -> DataFrame:
     one = (a.where("rank % 2 = 0").withColumns({"refid": swap("refid"), "mate_refid": swap("mate_refid")}), sq.withColumn("refid", swap("refid")))
     rows, head = O.merge([one, (a.where("rank % 2 = 1"), sq)])
     key = names.coordinate_key(F.col("refid"), F.col("pos"))
-    placed = O.numbered(rows, [*key, F.col("file"), F.col("rank")], key[0] * (1 << 27) + F.floor(key[1] / 64), "place")
+    placed = O.numbered(rows, [*key, F.col("file"), F.col("rank")], F.struct(key[0].alias("r"), F.floor(key[1] / 64).alias("p")), "place")
     return placed.join(head.select("refid", "name"), "refid", "left").select("name", "pos", "rank", "place")
 
 
@@ -321,31 +379,17 @@ def _(spark, sf_dir) -> DataFrame:
     return O.range_scan(fixture.alignments(spark, sf_dir), fixture.references(spark, sf_dir), "chr1:100-200 chr2:900").select("rank")
 
 
-_CHAIN = f"s AS (SELECT rank, refid, pos, pos + {_REFLEN} - 1 AS \"end\" FROM aln WHERE flag & 4 = 0 AND rank % 50 = 0), o AS (SELECT *, pos - lag(\"end\") OVER (PARTITION BY refid ORDER BY pos, rank) AS \"offset\" FROM s), ch AS (SELECT *, sum(CASE WHEN \"offset\" IS NULL OR \"offset\" >= 5 THEN 1 ELSE 0 END) OVER (PARTITION BY refid ORDER BY pos, rank) AS chain FROM o)"
+_CHAIN = f"s AS (SELECT rank, refid, pos, pos + {_REFLEN} - 1 AS \"end\" FROM aln WHERE flag & 4 = 0), o AS (SELECT *, pos - lag(\"end\") OVER (PARTITION BY refid ORDER BY pos, rank) AS \"offset\" FROM s), ch AS (SELECT *, sum(CASE WHEN \"offset\" IS NULL OR \"offset\" >= 5 THEN 1 ELSE 0 END) OVER (PARTITION BY refid ORDER BY pos, rank) AS chain FROM o)"
 
 
 @query("g8_chains", f", {_CHAIN} SELECT rank, refid, CAST(\"offset\" AS VARCHAR) AS gap, CAST(chain AS BIGINT) AS chain FROM ch")
 def _(a: DataFrame) -> DataFrame:
-    return O.chains(a.where("rank % 50 = 0"), 5).select("rank", "refid", F.col("offset").cast("string").alias("gap"), "chain")
+    return O.chains(a, 5, 128).select("rank", "refid", F.col("offset").cast("string").alias("gap"), "chain")
 
 
 @query("g8_longest_chain", f", {_CHAIN} SELECT refid, CAST(chain AS BIGINT) AS chain, CAST(sum(\"end\" - pos + 1) AS BIGINT) AS length, count(*) AS members FROM ch GROUP BY refid, chain ORDER BY length DESC, refid, chain LIMIT 1")
 def _(a: DataFrame) -> DataFrame:
-    return O.longest_chain(O.chains(a.where("rank % 50 = 0"), 5))
-
-
-#: The same over all mapped rows.
-_CHAIN_OF_ALL = _CHAIN.replace(" AND rank % 50 = 0", "")
-
-
-@query("g8_chains_of_all", f", {_CHAIN_OF_ALL} SELECT rank, refid, CAST(\"offset\" AS VARCHAR) AS gap, CAST(chain AS BIGINT) AS chain FROM ch")
-def _(a: DataFrame) -> DataFrame:
-    return O.chains(a, 5).select("rank", "refid", F.col("offset").cast("string").alias("gap"), "chain")
-
-
-@query("g8_longest_chain_of_all", f", {_CHAIN_OF_ALL} SELECT refid, CAST(chain AS BIGINT) AS chain, CAST(sum(\"end\" - pos + 1) AS BIGINT) AS length, count(*) AS members FROM ch GROUP BY refid, chain ORDER BY length DESC, refid, chain LIMIT 1")
-def _(a: DataFrame) -> DataFrame:
-    return O.longest_chain(O.chains(a, 5))
+    return O.longest_chain(O.chains(a, 5, 128))
 
 
 def _reference(a: DataFrame) -> DataFrame:
@@ -361,13 +405,7 @@ def _(a: DataFrame) -> DataFrame:
     return R.exact_cigars(a, _reference(a)).select("rank", cigar.to_text(F.col("cigar")).alias("cigar"))
 
 
-@query("c18_mismatch_tags", f", {_REF} SELECT rank, CASE WHEN flag & 4 = 0 THEN (SELECT count(*) FROM (SELECT unnest(range(1, 33)) AS i) z WHERE substr(seq, i, 1) <> substr(bases, pos + i, 1)) END AS nm FROM aln JOIN r USING (refid) WHERE cigar = '32M'")
-def _(a: DataFrame) -> DataFrame:
-    plain = a.where((F.col("refid") >= 0) & (cigar.to_text(F.col("cigar")) == "32M"))
-    return R.mismatch_tags(plain, _reference(a)).select("rank", aux.value(F.col("aux"), "NM").cast("long").alias("nm"))
-
-
-@query("c18_mismatch_tags_of_all")
+@query("c18_mismatch_tags")
 def _(a: DataFrame) -> DataFrame:
     tags = R.mismatch_tags(a, _reference(a))
     return tags.select("rank", aux.value(F.col("aux"), "MD").alias("md"), aux.value(F.col("aux"), "NM").cast("long").alias("nm"))
@@ -378,20 +416,27 @@ def _(a: DataFrame) -> DataFrame:
     return R.checked_alignments(a, _reference(a)).select("rank", cigar.to_text(F.col("cigar")).alias("cigar"), "seq")
 
 
-@query("a9_bases_of", f", {_REF} SELECT rank, substr(bases, pos + 1, 25) AS bases FROM aln JOIN r USING (refid) WHERE rank % 3 = 0")
+@query("a9_bases_of", f", {_REF} SELECT rank, substr(bases, pos + 1, 25) AS bases FROM aln JOIN r USING (refid)")
 def _(a: DataFrame) -> DataFrame:
-    asked = a.where("refid >= 0 and rank % 3 = 0").select("rank", F.col("refid").cast("string").alias("name"), "pos", F.lit(25).alias("len"))
+    asked = a.where("refid >= 0").select("rank", F.col("refid").cast("string").alias("name"), "pos", F.lit(25).alias("len"))
     ref = _reference(a).select(F.col("refid").cast("string").alias("name"), "seq")
     found = R.bases_of(asked.select("name", "pos", "len").distinct(), ref, 64)
     return asked.join(found, ["name", "pos", "len"]).select("rank", F.col("seq").alias("bases"))
 
 
-@query("a9_bases_of_all", f", {_REF} SELECT rank, substr(bases, pos + 1, 25) AS bases FROM aln JOIN r USING (refid)")
+#: An adapter that a third of the reads run into, at a place that goes by rank.
+_ADAPTER = "AGATCGGAAGAGCACACGTC"
+
+
+@query("c22_list_adapters", f"SELECT rank, CASE WHEN rank % 3 = 0 THEN CAST(32 - rank % 13 AS VARCHAR) END AS cut, CASE WHEN rank % 3 = 0 THEN 'p' END AS name, CASE WHEN rank % 3 = 0 THEN CAST(1.0 AS VARCHAR) END AS share FROM aln")
 def _(a: DataFrame) -> DataFrame:
-    asked = a.where("refid >= 0").select("rank", F.col("refid").cast("string").alias("name"), "pos", F.lit(25).alias("len"))
-    ref = _reference(a).select(F.col("refid").cast("string").alias("name"), "seq")
-    found = R.bases_of(asked.select("name", "pos", "len").distinct(), ref, 64)
-    return asked.join(found, ["name", "pos", "len"]).select("rank", F.col("seq").alias("bases"))
+    at = (F.col("rank") % 13).cast("int")
+    read = F.when(F.col("rank") % 3 == 0, F.substring(F.concat(F.substring("seq", F.lit(1), at), F.lit(_ADAPTER), F.repeat(F.lit("T"), F.lit(20))), 1, 32)).otherwise(F.repeat(F.lit("C"), F.lit(32)))
+    rows = a.withColumn("seq", F.when(F.col("flag").bitwiseAND(16) != 0, F.translate(F.reverse(read), "ACGT", "TGCA")).otherwise(read))
+    adapters = a.sparkSession.createDataFrame([("p", _ADAPTER), ("q", "GGTTGGTTGGTTAACCGGTTGG")], "name string, seq string")
+    t = F.col("aux")
+    found = K.list_adapters(rows.withColumn("aux", aux.drop(t, ["as"])), adapters)
+    return found.select("rank", aux.value(t, "as").alias("cut"), aux.value(t, "aa").alias("name"), aux.value(t, "af").alias("share"))
 
 
 @query("d18_best_chain")
@@ -441,6 +486,15 @@ def _(a: DataFrame) -> DataFrame:
     return Q.to_alignments(records).select("rank", "qname", "flag", "seq")
 
 
+@table_query("a6_read_fastq", f", {_MAIN} SELECT qname || CASE num WHEN 0 THEN '' WHEN 1 THEN '/1' ELSE '/2' END AS name, CASE WHEN flag & 16 <> 0 THEN translate(reverse(seq), 'ACGT', 'TGCA') ELSE seq END AS seq, '@' || CASE WHEN flag & 16 <> 0 THEN reverse(qual) ELSE qual END AS qual FROM main")
+def _(spark, sf_dir) -> DataFrame:
+    """Writes all reads as FASTQ, with a quality line that begins with '@', and reads the files."""
+    path = scratch(spark)
+    record = F.regexp_replace("record", "\n([^\n]*)$", "\n@$1")
+    Q.from_alignments(fixture.alignments(spark, sf_dir)).select(record.alias("value")).write.text(path)
+    return Q.read_fastq(spark, path).select("name", "seq", "qual")
+
+
 @query("b5_to_fastq", f", {_MAIN} SELECT rank, {_CLASS} AS class, substr(aux, 6, 3) AS rg, '@' || qname || CASE num WHEN 0 THEN '' WHEN 1 THEN '/1' ELSE '/2' END || chr(10) || CASE WHEN flag & 16 <> 0 THEN translate(reverse(seq), 'ACGT', 'TGCA') ELSE seq END || chr(10) || '+' || chr(10) || CASE WHEN flag & 16 <> 0 THEN reverse(qual) ELSE qual END AS record FROM main")
 def _(a: DataFrame) -> DataFrame:
     return Q.from_alignments(a).select("rank", "class", "rg", "record")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,22 +16,54 @@ from readloom.operators.pairs import classified
 
 
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """place, name (the whole name line), seq, qual of records of four lines; plain or gz.
+    """place, name (the whole name line), seq, qual of records of four lines; plain or gz, one file or many.
 
-    The file is split at line ends followed by '@' in a name line's place: Spark cuts the text at
-    "\\n@", and pieces that are the tail of a record whose quality line begins with '@' are joined
-    to the piece before them.
+    A line's number in its file is the count of lines in the splits before its own, and its place in
+    it; so records are told by numbers and never by what a line looks like. Those that lie wholly in
+    a split are put together as they stream by, and only the few that a split's border cuts are
+    shuffled. place: number of the file, in the order of paths, and of the record in it. Empty lines
+    at the end of a file don't count; a record that lacks lines raises.
     """
-    parts = spark.read.option("lineSep", "\n@").text(path).select(F.monotonically_increasing_id().alias("place"), "value")
-    lines = F.split(F.regexp_replace("value", "\n$", ""), "\n")
-    cut = parts.withColumn("l", lines)
-    # a record has name, bases, +, qualities; without its qualities the next piece holds them
-    w = Window.partitionBy(F.shiftright("place", 33)).orderBy("place")
-    cut = cut.withColumns({"after": F.lead("value").over(w), "bare": F.size("l") == 3})
-    cut = cut.withColumn("orphan", F.lag("bare").over(w))
-    whole = cut.where(F.coalesce(~F.col("orphan"), F.lit(True)))
-    qual = F.when(F.col("bare"), F.concat(F.lit("@"), F.regexp_replace("after", "\n.*", ""))).otherwise(F.get("l", F.lit(3)))
-    return whole.select("place", F.regexp_replace(F.get("l", F.lit(0)), "^@", "").alias("name"), F.get("l", F.lit(1)).alias("seq"), qual.alias("qual"))
+    meta = F.col("_metadata")
+    lines = spark.read.text(path).select(meta["file_path"].alias("file"), meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("id"), "value")
+    splits = lines.groupBy("file", "block").agg(F.min("id").alias("first"), F.max(F.when(F.col("value") != "", F.col("id"))).alias("last"), F.count("*").alias("n")).collect()
+    # one row a split
+    numbers = {f: i for i, f in enumerate(sorted({r.file for r in splits}))}
+    table, before, full = [], {}, {}
+    for r in sorted(splits, key=lambda r: (r.file, r.block)):
+        start = before.get(r.file, 0)
+        table.append((r.file, r.block, numbers[r.file], r.first, start, start + r.n))
+        before[r.file] = start + r.n
+        if r.last is not None:
+            full[r.file] = start + r.last - r.first + 1
+    if short := [f for f, n in full.items() if n % 4 and n + 1 < before[f] // 4 * 4 or n % 4 in (1, 2)]:
+        raise ValueError(f"the last record of {short[0]} lacks lines")
+    known = spark.createDataFrame([(*row, -(-full.get(row[0], 0) // 4) * 4) for row in table], "file string, block long, number int, first long, start long, end long, stop long")
+    n = F.col("start") + F.col("id") - F.col("first")
+    placed = lines.join(F.broadcast(known), ["file", "block"]).withColumn("n", n).where(F.col("n") < F.col("stop"))
+    low, high = F.ceil(F.col("start") / 4) * 4, F.floor(F.col("end") / 4) * 4
+    inner = (F.col("n") >= low) & (F.col("n") < high)
+    place = F.shiftleft(F.col("number").cast("long"), 40) + F.floor(F.col("n") / 4)
+    whole = placed.where(inner).select(place.alias("place"), "value").mapInArrow(_four_lines, "place long, name string, seq string, qual string")
+    line = lambda k: F.max(F.when(F.col("n") % 4 == k, F.col("value")))
+    cut = placed.where(~inner).groupBy(place.alias("place")).agg(line(0).alias("name"), line(1).alias("seq"), F.coalesce(line(3), F.lit("")).alias("qual"))
+    rows = whole.unionByName(cut)
+    name = F.when(F.col("name").startswith("@"), F.col("name").substr(F.lit(2), F.length("name"))).otherwise(F.raise_error(F.concat(F.lit("not a name line: "), F.col("name"))))
+    return rows.select("place", name.alias("name"), "seq", "qual")
+
+
+def _four_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole records, four rows (place, value) each, one after another."""
+    carry = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch] if carry is None else [carry, batch]).combine_chunks()
+        k = rows.num_rows // 4 * 4
+        at = lambda line: pa.array(range(line, k, 4))  # noqa: E731, B023
+        place, value = rows.column("place").chunk(0), rows.column("value").chunk(0)
+        if k:
+            yield pa.record_batch([place.take(at(0)), *(value.take(at(line)) for line in (0, 1, 3))], ["place", "name", "seq", "qual"])
+        rest = rows.slice(k).combine_chunks().to_batches()
+        carry = rest[0] if rest else None
 
 
 def to_alignments(records: DataFrame, scheme: str = "generic", group: str | None = None, offset: int = 33, highest: int = 41, mate: int | None = None) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import os
+
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,3 +101,24 @@ def rename_table(spark: SparkSession, path: str) -> DataFrame:
     f = F.split("value", "\t")
     return spark.read.text(path).where(F.size(f) >= 2).select(f[0].alias("old"), f[1].alias("new"))
 
+
+def reset_header(lines: DataFrame, text: str | None = None) -> DataFrame:
+    """Lines (value) with the header of reads whose mapping is taken back: without @SQ lines, or text in the place of all header lines."""
+    head = F.col("value").startswith("@")
+    if text is None:
+        return lines.where(~F.col("value").startswith("@SQ\t"))
+    new = lines.sparkSession.createDataFrame([(x,) for x in text.splitlines()], "value string")
+    return new.unionByName(lines.where(~head).select("value"))
+
+
+def digest(folder: str, algorithm: str = "md5") -> str:
+    """Hexadecimal digest of the bytes of a written folder (or one file), its parts in the order of their names. Read in pieces on the driver, as such a digest takes its bytes in one run."""
+    store, top = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), os.path.abspath(folder))
+    info = store.get_file_info(top)
+    parts = [top] if info.is_file else sorted(f.path for f in store.get_file_info(fs.FileSelector(top)) if f.is_file and not f.base_name.startswith(("_", ".")))
+    h = hashlib.new(algorithm)
+    for part in parts:
+        with store.open_input_stream(part) as f:
+            while some := f.read(1 << 20):
+                h.update(some)
+    return h.hexdigest()
