@@ -142,48 +142,57 @@ def pileup(df: DataFrame) -> DataFrame:
     in columns -k to -1.
     """
     rows = df.where(flags.mapped() & flags.lacks(m.QCFAIL) & (F.col("refid") >= 0))
-    kind = "array<struct<pos:int,column:int,read:int>>"
-    init = F.struct(F.col("pos").alias("at"), F.lit(1).alias("read"), F.array().cast(kind).alias("cells"))
-    cell = lambda pos, column, read: F.struct(pos.cast("int").alias("pos"), column.cast("int").alias("column"), read.cast("int").alias("read"))
+    kind = "array<struct<op:string,len:int,at:int,read:int>>"
+    init = F.struct(F.col("pos").alias("at"), F.lit(1).alias("read"), F.array().cast(kind).alias("blocks"))
 
     def step(acc: Column, c: Column) -> Column:
-        steps = F.sequence(F.lit(0), c["len"] - 1)
-        cells = (
-            F.when(c["op"].isin("M", "=", "X"), F.transform(steps, lambda i: cell(acc["at"] + i, F.lit(0), acc["read"] + i)))
-            .when(c["op"] == "D", F.transform(steps, lambda i: cell(acc["at"] + i, F.lit(0), F.lit(None))))
-            .when(c["op"] == "I", F.transform(steps, lambda i: cell(acc["at"], i - c["len"], acc["read"] + i)))
-            .otherwise(F.array().cast(kind))
-        )
+        block = F.array(F.struct(c["op"].alias("op"), c["len"].alias("len"), acc["at"].alias("at"), acc["read"].alias("read")))
         return F.struct(
             (acc["at"] + F.when(c["op"].isin(*cigar.REFERENCE_OPS), c["len"]).otherwise(0)).alias("at"),
             (acc["read"] + F.when(c["op"].isin(*cigar.QUERY_OPS), c["len"]).otherwise(0)).alias("read"),
-            F.concat(acc["cells"], cells).alias("cells"),
+            F.when(c["op"].isin("M", "=", "X", "D", "I") & (c["len"] > 0), F.concat(acc["blocks"], block)).otherwise(acc["blocks"]).alias("blocks"),
         )
 
-    cells = rows.select("refid", "seq", "qual", F.inline(F.aggregate("cigar", init, step, lambda acc: acc["cells"])))
-    base = F.when(F.col("read").isNull(), "*").otherwise(F.upper(F.col("seq").substr(F.col("read"), F.lit(1))))
-    quality = F.when(F.col("read").isNull(), F.lit(None)).otherwise(F.ascii(F.col("qual").substr(F.col("read"), F.lit(1))) - 33)
-    return cells.select("refid", "pos", "column", base.alias("base"), quality.alias("quality"))
+    # a row for each operation, then for each of its bases: plain generators, which are compiled
+    blocks = rows.select("refid", "seq", "qual", F.inline(F.aggregate("cigar", init, step, lambda acc: acc["blocks"])))
+    cells = blocks.select("*", F.explode(F.sequence(F.lit(0), F.col("len") - 1)).alias("i"))
+    inserted, gone = F.col("op") == "I", F.col("op") == "D"
+    read = F.col("read") + F.col("i")
+    base = F.when(gone, "*").otherwise(F.upper(F.col("seq").substr(read, F.lit(1))))
+    quality = F.when(gone, F.lit(None)).otherwise(F.ascii(F.col("qual").substr(read, F.lit(1))) - 33)
+    pos, column = F.col("at") + F.when(inserted, 0).otherwise(F.col("i")), F.when(inserted, F.col("i") - F.col("len")).otherwise(0)
+    return cells.select("refid", pos.alias("pos"), column.alias("column"), base.alias("base"), quality.alias("quality"))
 
 
 def consensus(cells: DataFrame, weights: dict[str, int] | None = None) -> DataFrame:
     """refid, pos, column, bases (sorted), depth, consensus: the symbol of most weight, N on a tie. Reads without an inserted base count as '*' in insert columns.
 
-    Symbols are summed first, so a deep position is a handful of counts.
+    Symbols are summed first, so a deep position is a handful of counts; then one row a position
+    holds the counts of all its columns, and the rest is worked out inside of it.
     """
-    weights = weights or {}
     counts = cells.groupBy("refid", "pos", "column", "base").agg(F.count("*").alias("n"))
-    here = counts.where("column = 0").groupBy("refid", "pos").agg(F.sum("n").alias("cover"))
-    held = counts.where("column < 0").groupBy("refid", "pos", "column").agg(F.sum("n").alias("held"))
-    missing = held.join(here, ["refid", "pos"]).where("cover > held").select("refid", "pos", "column", F.lit("*").alias("base"), (F.col("cover") - F.col("held")).alias("n"))
-    symbols = counts.unionByName(missing).groupBy("refid", "pos", "column", "base").agg(F.sum("n").alias("n"))
-    w = F.coalesce(*[F.when(F.col("base") == b, F.lit(x)) for b, x in weights.items()], F.lit(1)) if weights else F.lit(1)
-    cols = symbols.groupBy("refid", "pos", "column").agg(
-        F.sort_array(F.collect_list(F.struct("base", "n"))).alias("by"), F.sum("n").alias("depth"), F.max(F.struct((F.col("n") * w).alias("weight"), "base")).alias("top"), F.collect_list(F.col("n") * w).alias("weights")
-    )
-    tie = F.size(F.filter("weights", lambda x: x == F.col("top.weight"))) > 1
+    here = counts.groupBy("refid", "pos").agg(F.collect_list(F.struct("column", "base", "n")).alias("all"), F.sum(F.when(F.col("column") == 0, F.col("n"))).alias("cover"))
+    column = F.explode(F.array_distinct(F.transform("all", lambda x: x["column"])))
+    cols = here.select("refid", "pos", "cover", column.alias("column"), "all")
+    held = F.sort_array(F.transform(F.filter("all", lambda x: x["column"] == F.col("column")), lambda x: F.struct(x["base"].alias("base"), x["n"].alias("n"))))
+    cols = cols.select("refid", "pos", "column", "cover", held.alias("held"))
+    lacking = F.coalesce("cover", F.lit(0)) - F.aggregate("held", F.lit(0).cast("long"), lambda acc, x: acc + x["n"])
+    # '*' sorts before letters
+    star = F.array(F.struct(F.lit("*").alias("base"), lacking.alias("n")))
+    cols = cols.select("refid", "pos", "column", F.when((F.col("column") < 0) & (lacking > 0), F.concat(star, "held")).otherwise(F.col("held")).alias("by"))
+
+    def weight(x: Column) -> Column:
+        w = F.lit(1)
+        for b, k in (weights or {}).items():
+            w = F.when(x["base"] == b, F.lit(k)).otherwise(w)
+        return x["n"] * w
+
+    top = F.array_max(F.transform("by", lambda x: F.struct(weight(x).alias("weight"), x["base"].alias("base"))))
+    cols = cols.withColumn("top", top)
+    tie = F.size(F.filter("by", lambda x: weight(x) == F.col("top.weight"))) > 1
     bases = F.array_join(F.transform("by", lambda x: F.repeat(x["base"], x["n"].cast("int"))), "")
-    return cols.select("refid", "pos", "column", bases.alias("bases"), "depth", F.when(tie, "N").otherwise(F.col("top.base")).alias("consensus"))
+    depth_ = F.aggregate("by", F.lit(0).cast("long"), lambda acc, x: acc + x["n"])
+    return cols.select("refid", "pos", "column", bases.alias("bases"), depth_.alias("depth"), F.when(tie, "N").otherwise(F.col("top.base")).alias("consensus"))
 
 
 def phred_consensus(cells: DataFrame) -> DataFrame:
