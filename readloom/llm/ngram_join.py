@@ -19,6 +19,7 @@ What keeps it far from all pairs:
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +27,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from readloom.llm.components import components
-from readloom.llm.runtime import bitmap_has, checkpointed, key_bitmap, ship_code, text_batches, utf8_buffer
+from readloom.llm.runtime import bitmap_has, key_bitmap, ship_code, text_batches, utf8_buffer
+from readloom.llm.runtime import checkpointed as written
 from readloom.llm.shingles import mix, shingle_sets
 
+#: Every step frees the shuffle files of the steps before it, so that the disk holds one step's at a time.
+checkpointed = partial(written, free=True)
+
 #: Similarity in hundredths at which two texts link.
 THRESHOLD = 80
 #: Words in an n-gram.
@@ -176,20 +181,20 @@ def ngram_jaccard_components(docs: DataFrame, threshold: int = THRESHOLD, width:
     # Classes whose set has enough n-grams, in its lowest part, that another class has too.
     heads = lambda common=None: texts.mapInArrow(_grams(width, threshold, shared, common=common), "node long, grams array<bigint>").select("node", F.explode("grams").alias("gram"))
     twice = heads().groupBy("gram").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("gram")
-    twice = checkpointed(twice, free=True)
+    twice = checkpointed(twice)
     held = heads(spark.sparkContext.broadcast(key_bitmap(twice, "gram"))).join(twice, "gram", "left_semi").distinct()
     common = held.groupBy("node").agg(F.count("*").alias("common"))
-    alive = checkpointed(common.join(classes, "node").where(F.col("common") > F.floor(F.col("n") / SPARE)).select("node", "n"), free=True)
+    alive = checkpointed(common.join(classes, "node").where(F.col("common") > F.floor(F.col("n") / SPARE)).select("node", "n"))
 
     # Their whole sets; then those with at least threshold hundredths of it in common with others.
     bitmap = spark.sparkContext.broadcast(key_bitmap(alive, "node"))
     full = texts.mapInArrow(_grams(width, threshold, shared, bitmap), "node long, grams array<bigint>").join(alive, "node")
-    full = checkpointed(full.dropDuplicates(["node"]).select("node", "grams"), free=True)
+    full = checkpointed(full.dropDuplicates(["node"]).select("node", "grams"))
     each = full.select("node", F.explode("grams").alias("gram"))
-    counts = checkpointed(each.groupBy("gram").agg(F.count("*").alias("holders")).where("holders > 1"), free=True)
+    counts = checkpointed(each.groupBy("gram").agg(F.count("*").alias("holders")).where("holders > 1"))
     ranked = each.join(counts, "gram").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("holders", "gram"))).alias("ranked"))
     ranked = ranked.join(alive, "node").where(F.size("ranked") * 100 >= F.col("n") * threshold)
-    near = checkpointed(ranked.select("node", "n", F.transform("ranked", lambda x: x.gram).alias("grams")), free=True)
+    near = checkpointed(ranked.select("node", "n", F.transform("ranked", lambda x: x.gram).alias("grams")))
 
     sizes = near.select("node", "n")
     prefix = F.slice("grams", F.lit(1), F.greatest(F.lit(0), F.size("grams") - F.ceil(F.col("n") * threshold / 100) + 1).cast("int"))
@@ -214,7 +219,7 @@ def _merged_lists(lists: DataFrame, sets: DataFrame, sizes: DataFrame, threshold
         now = checkpointed(now.join(checkpointed(open_grams), "gram"))
         pairs = _pivot_pairs(now, turn, threshold) if turn < PIVOT_ROUNDS else _open_pairs(now, sets, threshold)
         pairs = checkpointed(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        found = checkpointed(_linked(pairs, sets, sizes, threshold), free=True)
+        found = checkpointed(_linked(pairs, sets, sizes, threshold))
         # without a new link the components stay, and only the full comparison can tell more
         fresh = not found.isEmpty()
         turn = PIVOT_ROUNDS if turn < PIVOT_ROUNDS and not fresh else turn + 1
