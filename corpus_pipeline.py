@@ -14,6 +14,7 @@ from readloom.llm.mixing import mixed_documents
 from readloom.llm.ngram_join import ngram_jaccard_components
 from readloom.llm.quality_rules import good_documents
 from readloom.llm.runtime import checkpointed, read_table
+from readloom.plans.registry import scratch
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,12 +32,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Groups are made by rows, so ids may be null or repeated. Documents without words stay. An empty
     table gives an empty table.
     """
-    # written once, so that a row keeps its number
-    rows = checkpointed(docs.withColumn("_row", F.monotonically_increasing_id()))
+    # written once, so that a row keeps its number; as Parquet, which is smaller than a checkpoint
+    path = scratch(spark)
+    docs.withColumn("_row", F.monotonically_increasing_id()).write.parquet(path)
+    rows = spark.read.parquet(path)
     groups = ngram_jaccard_components(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
     stay = groups.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id").agg(first.alias("first")).select("first._row")
-    return rows.join(checkpointed(stay), "_row", "left_semi").select(docs.columns)
+    return rows.join(checkpointed(stay, free=True), "_row", "left_semi").select(docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
