@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from readloom import model as m
-from readloom.functions import aux, cigar, flags, names
+from readloom.functions import aux, cigar, flags, murmur, names
 
 CLASSES = ("F", "F2", "O", "O2", "S")
 
@@ -86,6 +86,11 @@ def downsample(df: DataFrame, share: float, seed: int = 0, exclude: str = "") ->
     return without_flags(df, exclude).where(h <= limit)
 
 
+def downsample_by_murmur(df: DataFrame, share: float, seed: int = 0) -> DataFrame:
+    """Whole templates, of which about share are kept, by MurmurHash3 of the name, its words folded to 32 bits; no flags are excluded."""
+    return df.where(murmur.folded(murmur.murmur3(F.col("qname"), seed)) <= int(share * (2**32 - 1) + 0.5))
+
+
 def violations(df: DataFrame, sq: DataFrame) -> DataFrame:
     """rank and rule of each broken rule of a row; a valid file gives no rows."""
     with_length = df.join(sq.select("refid", F.col("length").alias("_length")), "refid", "left")

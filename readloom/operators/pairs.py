@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from readloom import model as m
 from readloom.functions import aux, cigar, flags, names, sequences
+from readloom.operators import orders, transforms
 
 
 def classified(df: DataFrame) -> DataFrame:
@@ -41,6 +42,31 @@ def ranks_in_names(df: DataFrame) -> DataFrame:
     return df.where(flags.primary()).withColumns({"_name": F.concat_ws("_", first.cast("string"), second.cast("string"), "qname"), "aux": aux.drop(F.col("aux"), ["ZR"])}).drop("qname").withColumnRenamed("_name", "qname").select(df.columns)
 
 
+def uncollated(df: DataFrame, exclude: str = "SECONDARY,SUPPLEMENTARY", reset: bool = False) -> DataFrame:
+    """Rows in their old order without those of any excluded flag; reset takes their mapping back and keeps their tags."""
+    return transforms.reset(df, exclude, keep_tags=None) if reset else df.where(flags.lacks(m.parse_flags(exclude)))
+
+
+def post_ranks(df: DataFrame, reset: bool = True) -> DataFrame:
+    """Primary rows, mates next to each other, with rank the place in this order; names take these places, tag zz holds the old rank, tag ZR goes.
+
+    Templates stand in the order of their first rows, read 1 before read 2. Mates are named a_b_name,
+    orphans a_a_name, singles a_name. reset takes the mapping back and keeps the tags.
+    """
+    w = Window.partitionBy("qname")
+    number = flags.read_number()
+    first_of = lambda n, c: F.min(F.when(F.col("_number") == n, F.col(c))).over(w)
+    rows = transforms.rank_to_tag(df.where(flags.primary())).withColumn("_number", number)
+    rows = rows.withColumns({"_1": first_of(1, "rank"), "_2": first_of(2, "rank")})
+    rows = rows.withColumn("_paired", (F.col("_number") > 0) & F.col("_1").isNotNull() & F.col("_2").isNotNull())
+    rows = rows.withColumn("_first", F.when(F.col("_paired"), F.least("_1", "_2")).otherwise(F.col("rank")))
+    placed = orders.numbered(rows, [F.col("_first"), F.col("_number"), F.col("rank")], F.floor(F.col("_first") / 4096), "_place")
+    one, two = (F.when(F.col("_paired"), first_of(n, "_place")).otherwise(F.col("_place")).cast("string") for n in (1, 2))
+    name = F.concat_ws("_", one, F.when(F.col("_number") > 0, two), "qname")
+    named = placed.withColumns({"_name": name, "rank": F.col("_place").cast("long"), "aux": aux.drop(F.col("aux"), ["ZR"])}).drop("qname").withColumnRenamed("_name", "qname").select(df.columns)
+    return transforms.reset(named, "", keep_tags=None) if reset else named
+
+
 def fix_mate_coordinates(df: DataFrame, keep_others: bool = False) -> DataFrame:
     """Pairs with exactly one mapped end: both ends take its coordinate, as their own and as their mate's.
 
@@ -138,18 +164,24 @@ def routed(df: DataFrame) -> DataFrame:
 ADAPTER_TAGS = ("qs", "qq", "as", "ah", "aa", "af", "ar", "a3")
 
 
-def merge_tags_by_rank(aligned: DataFrame, original: DataFrame) -> DataFrame:
-    """Aligned rows (names rank_name) take the tags that they lack, and QC failure, from the original row of that rank; the rank leaves the name."""
+def merge_tags_by_rank(aligned: DataFrame, original: DataFrame, reinsert: bool = False, old_rank_to_name: bool = False) -> DataFrame:
+    """Aligned rows (names rank_name) take the tags that they lack, and QC failure, from the original row of that rank; the rank leaves the name.
+
+    reinsert: clipped adapters, held in tags, go back into the rows; old_rank_to_name: the rank held
+    in tag zz goes in front of the name.
+    """
     other = original.select(F.col("rank").alias("_rank"), F.col("aux").alias("_aux"), F.col("flag").alias("_flag"))
     rows = aligned.withColumn("_rank", names.rank_in_name(F.col("qname"))).join(other, "_rank", "left")
     merged = F.when(F.col("_aux").isNull(), F.col("aux")).otherwise(aux.merge(F.col("aux"), F.col("_aux")))
-    return rows.withColumns(
+    out = rows.withColumns(
         {
             "aux": F.when(flags.primary(), merged).otherwise(aux.drop(merged, ADAPTER_TAGS)),
             "flag": F.col("flag").bitwiseAND(~m.QCFAIL).bitwiseOR(F.coalesce(F.col("_flag"), F.col("flag")).bitwiseAND(m.QCFAIL)),
             "qname": F.regexp_replace("qname", r"^\d+_", ""),
         }
     ).select(aligned.columns)
+    out = transforms.reinsert_clips(out) if reinsert else out
+    return transforms.rank_to_name(out) if old_rank_to_name else out
 
 
 def merge_tags_by_name(rows: DataFrame, tagged: DataFrame) -> DataFrame:

@@ -189,6 +189,11 @@ def _(a: DataFrame) -> DataFrame:
     return D.downsample(a, 0.3, 7).select("rank", "qname")
 
 
+@query("d10_downsample_by_murmur")
+def _(a: DataFrame) -> DataFrame:
+    return D.downsample_by_murmur(a, 0.3, 7).select("rank", "qname")
+
+
 @query("d12_by_pair_mapq", "SELECT rank FROM (SELECT rank, max(CASE WHEN flag & 4 = 0 THEN mapq END) OVER (PARTITION BY qname) AS best FROM aln) x WHERE best >= 55")
 def _(a: DataFrame) -> DataFrame:
     return D.by_pair_mapq(a, 55).select("rank")

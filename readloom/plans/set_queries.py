@@ -39,6 +39,24 @@ def _(a: DataFrame) -> DataFrame:
     return P.ranks_in_names(a).select("rank", "qname")
 
 
+@query("e2_uncollated", "SELECT rank, qname, flag FROM aln WHERE flag & 2304 = 0")
+def _(a: DataFrame) -> DataFrame:
+    return P.uncollated(a).select("rank", "qname", "flag")
+
+
+_POST = f"""{_MAIN}, r AS (SELECT *, min(CASE WHEN num = 1 THEN rank END) OVER (PARTITION BY qname) AS r1, min(CASE WHEN num = 2 THEN rank END) OVER (PARTITION BY qname) AS r2 FROM main),
+p AS (SELECT *, num > 0 AND r1 IS NOT NULL AND r2 IS NOT NULL AS paired FROM r),
+n AS (SELECT *, row_number() OVER (ORDER BY CASE WHEN paired THEN least(r1, r2) ELSE rank END, num, rank) - 1 AS place FROM p),
+b AS (SELECT *, CASE WHEN paired THEN min(CASE WHEN num = 1 THEN place END) OVER (PARTITION BY qname) ELSE place END AS p1, CASE WHEN paired THEN min(CASE WHEN num = 2 THEN place END) OVER (PARTITION BY qname) ELSE place END AS p2 FROM n)"""
+
+
+@query("e2_post_ranks", f", {_POST} SELECT rank AS old_rank, place AS rank, CAST(p1 AS VARCHAR) || CASE WHEN num > 0 THEN '_' || CAST(p2 AS VARCHAR) ELSE '' END || '_' || qname AS qname FROM b")
+def _(a: DataFrame) -> DataFrame:
+    digits = F.split(aux.value(F.col("aux"), "zz"), ",")
+    old = F.aggregate(F.slice(digits, 2, 8), F.lit(0).cast("long"), lambda n, d: n * 256 + d.cast("long"))
+    return P.post_ranks(a).select(old.alias("old_rank"), "rank", "qname")
+
+
 @query("e3_pairs_only", f", {_MAIN}, {_PAIRS} SELECT qname, m1.seq AS seq1, m2.seq AS seq2 FROM m1 JOIN m2 USING (qname)")
 def _(a: DataFrame) -> DataFrame:
     return P.mated(a).where("kind = 'pair'").select("qname", F.col("a.seq").alias("seq1"), F.col("b.seq").alias("seq2"))
@@ -464,6 +482,35 @@ def _(a: DataFrame) -> DataFrame:
     return S.checksum_sums(a)
 
 
+_TURNED = "CASE WHEN flag & 16 <> 0 THEN translate(reverse(seq), 'ACGT', 'TGCA') ELSE seq END"
+#: Sums of the digests of flags and bases in words of 32 bits, from the last; then the carries.
+_MD5_SUMS = f"""d AS (SELECT substr(aux, 6, 3) AS rg, flag & 512 = 0 AS ok, md5(CAST(flag & 193 AS VARCHAR) || chr(0) || {_TURNED}) AS h FROM aln WHERE flag & 2304 = 0),
+g AS (SELECT rg, false AS pass_only, h FROM d UNION ALL SELECT rg, true, h FROM d WHERE ok UNION ALL SELECT NULL, false, h FROM d UNION ALL SELECT NULL, true, h FROM d WHERE ok),
+s AS (SELECT rg, pass_only, count(*) AS n, sum(('0x' || substr(h, 25, 8))::BIGINT) AS w0, sum(('0x' || substr(h, 17, 8))::BIGINT) AS w1, sum(('0x' || substr(h, 9, 8))::BIGINT) AS w2, sum(('0x' || substr(h, 1, 8))::BIGINT) AS w3 FROM g GROUP BY rg, pass_only),
+c1 AS (SELECT *, w1 + w0 // 4294967296 AS v1 FROM s), c2 AS (SELECT *, w2 + v1 // 4294967296 AS v2 FROM c1), c3 AS (SELECT *, w3 + v2 // 4294967296 AS v3 FROM c2)"""
+_WORD = "printf('%08x', CAST({} % 4294967296 AS BIGINT))"
+
+
+@query("f10_checksums_md5", f", {_MD5_SUMS} SELECT rg, pass_only, n, {_WORD.format('v3')} || {_WORD.format('v2')} || {_WORD.format('v1')} || {_WORD.format('w0')} AS b_seq FROM c3")
+def _(a: DataFrame) -> DataFrame:
+    return S.checksums(a, "md5").select("rg", "pass_only", "n", "b_seq")
+
+
+@query("f10_checksums_sha512primesums")
+def _(a: DataFrame) -> DataFrame:
+    return S.checksums(a, "sha512primesums")
+
+
+@query("f10_checksums_crc32prime64")
+def _(a: DataFrame) -> DataFrame:
+    return S.checksums(a, "crc32prime64")
+
+
+@query("f10_checksums_murmur3")
+def _(a: DataFrame) -> DataFrame:
+    return S.checksums(a, "murmur3")
+
+
 @query("f11_near_collisions")
 def _(a: DataFrame) -> DataFrame:
     return S.near_collisions(S.read_digests(a))

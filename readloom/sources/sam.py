@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+from graphlib import CycleError, TopologicalSorter
 
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
@@ -111,6 +112,75 @@ def reset_header(lines: DataFrame, text: str | None = None) -> DataFrame:
     return new.unionByName(lines.where(~head).select("value"))
 
 
+def united_header(headers: list[str]) -> tuple[str, list[dict[str, dict[str, str]]]]:
+    """(header, renamed) of several headers: renamed holds for each its new ids, as {"RG": {old: new}, "PG": ...}.
+
+    References are united by name; one name with two lengths, or two names in two orders, is an
+    error. Equal @RG and @PG lines are united; another line of a used id gets the id with a number
+    behind it, and PP follows. Other lines come once each; the first header's @HD stands.
+    """
+    parsed = [[line.split("\t") for line in text.splitlines() if line] for text in headers]
+    field = lambda line, key: next((f[len(key) + 1 :] for f in line[1:] if f.startswith(f"{key}:")), None)
+    lengths: dict[str, str] = {}
+    lines: dict[str, list[str]] = {}
+    after: dict[str, set[str]] = {}
+    for head in parsed:
+        names = [field(line, "SN") for line in head if line[0] == "@SQ"]
+        for before, name in zip(names, names[1:], strict=False):
+            after.setdefault(before, set()).add(name)
+        for line in head:
+            if line[0] == "@SQ" and lengths.setdefault(field(line, "SN"), field(line, "LN")) != field(line, "LN"):
+                raise ValueError(f"two lengths of reference {field(line, 'SN')}")
+            if line[0] == "@SQ":
+                lines.setdefault(field(line, "SN"), line)
+    try:
+        # sorted by what must come before; the order of first use decides the rest
+        place = {name: i for i, name in enumerate(lines)}
+        sorter = TopologicalSorter({name: {b for b, later in after.items() if name in later} for name in lines})
+        sorter.prepare()
+        references: list[str] = []
+        ready = list(sorter.get_ready())
+        while ready:
+            ready.sort(key=place.get)
+            references.append(ready.pop(0))
+            sorter.done(references[-1])
+            ready += sorter.get_ready()
+    except CycleError as e:
+        raise ValueError(f"references in two orders: {', '.join(e.args[1])}") from e
+    top = next((line for head in parsed for line in head if line[0] == "@HD"), None)
+    out = [top] if top else []
+    out += [lines[name] for name in references]
+    used: dict[str, dict[str, list[str]]] = {"RG": {}, "PG": {}}
+    renamed: list[dict[str, dict[str, str]]] = []
+    rest: list[list[str]] = []
+    for head in parsed:
+        new: dict[str, dict[str, str]] = {"RG": {}, "PG": {}}
+        # a program's line names an earlier one, which may stand behind it
+        for line in sorted((x for x in head if x[0] in ("@RG", "@PG")), key=lambda x, h=head: _depth(x, h)):
+            kind, own = line[0][1:], field(line, "ID")
+            moved = [f"PP:{new['PG'].get(f[3:], f[3:])}" if kind == "PG" and f.startswith("PP:") else f for f in line]
+            name, i = own, 0
+            with_id = lambda n, fields=moved: [f"ID:{n}" if f.startswith("ID:") else f for f in fields]
+            while name in used[kind] and used[kind][name] != with_id(name):
+                i += 1
+                name = f"{own}.{i}"
+            used[kind][name] = with_id(name)
+            new[kind][own] = name
+        renamed.append(new)
+        rest += [line for line in head if line[0] not in ("@HD", "@SQ", "@RG", "@PG") and line not in rest]
+    out += [*used["RG"].values(), *used["PG"].values(), *rest]
+    return "".join("\t".join(line) + "\n" for line in out), renamed
+
+
+def _depth(line: list[str], head: list[list[str]]) -> int:
+    """How many programs of head ran before that of line."""
+    before = {f[3:]: p[3:] for x in head if x[0] == "@PG" for f in x if f.startswith("ID:") for p in x if p.startswith("PP:")}
+    at, n = next((f[3:] for f in line if f.startswith("ID:")), ""), 0
+    while line[0] == "@PG" and at in before and n <= len(head):
+        at, n = before[at], n + 1
+    return n
+
+
 def digest(folder: str, algorithm: str = "md5") -> str:
     """Hexadecimal digest of the bytes of a written folder (or one file), its parts in the order of their names. Read in pieces on the driver, as such a digest takes its bytes in one run."""
     store, top = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), os.path.abspath(folder))

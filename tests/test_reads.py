@@ -3,9 +3,11 @@
 import gzip
 import hashlib
 import itertools
+import math
 import os
 import random
 import re
+import zlib
 
 import duckdb
 import pytest
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from readloom import model as m
-from readloom.functions import aux, cigar, names, sequences
+from readloom.functions import aux, cigar, murmur, names, sequences
 from readloom.operators import aggregates, checksums, duplicates, filters, folds, intervals, orders, pairs, reference, transforms
 from readloom.plans import catalog, fixture
 from readloom.sources import bam, blast, fastq, sam
@@ -198,6 +200,92 @@ def test_checksums_ignore_order_and_mapping(spark):
     assert sorted(map(str, checksums.checksum_products(df).collect())) == sorted(map(str, checksums.checksum_products(turned.repartition(3)).collect()))
 
 
+def test_murmur(spark):
+    def plain(data, seed=0):
+        """Word by word with Python's numbers."""
+        mask, c1, c2 = 2**64 - 1, 0x87C37B91114253D5, 0x4CF5AD432745937F
+        turn = lambda x, n: (x << n | x >> 64 - n) & mask
+        h1 = h2 = seed
+        for at in range(0, len(data) + 1, 16):
+            block = data[at : at + 16]
+            k1, k2 = int.from_bytes(block[:8], "little"), int.from_bytes(block[8:], "little")
+            k1, k2 = turn(k1 * c1 & mask, 31) * c2 & mask, turn(k2 * c2 & mask, 33) * c1 & mask
+            if len(block) < 16:
+                h1, h2 = h1 ^ k1, h2 ^ k2
+                break
+            h1 = ((turn(h1 ^ k1, 27) + h2) * 5 + 0x52DCE729) & mask
+            h2 = ((turn(h2 ^ k2, 31) + h1) * 5 + 0x38495AB5) & mask
+        h1, h2 = h1 ^ len(data), h2 ^ len(data)
+        h1 = (h1 + h2) & mask
+        h2 = (h2 + h1) & mask
+        for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+            h1, h2 = (h1 ^ h1 >> 33) * factor & mask, (h2 ^ h2 >> 33) * factor & mask
+        h1, h2 = h1 ^ h1 >> 33, h2 ^ h2 >> 33
+        h1 = (h1 + h2) & mask
+        return f"{h1:016x}{(h2 + h1) & mask:016x}"
+
+    assert plain(b"hello") == "cbd8a7b341bd9b025b1e906a48ae1d19"  # the known value
+    texts = ["", "hello", "a" * 15, "b" * 16, "c" * 17, "äöü" * 9, None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for seed in (0, 7):
+        got = df.select("t", murmur.murmur3(F.col("t"), seed).alias("h"), murmur.folded(murmur.murmur3(F.col("t"), seed)).alias("f")).collect()
+        assert [r.h for r in got] == [None if t is None else plain(t.encode(), seed) for t in texts]
+        words = [int(got[1].h[i : i + 8], 16) for i in (0, 8, 16, 24)]
+        assert got[1].f == words[0] ^ words[1] ^ words[2] ^ words[3]
+    kept = filters.downsample_by_murmur(reads(spark, [{"qname": f"n{i // 2}"} for i in range(400)]), 0.5, 1).groupBy("qname").count().collect()
+    assert 60 < len(kept) < 140 and {r["count"] for r in kept} == {2}
+
+
+def test_checksums_of_all_kinds(spark):
+    rows = [{"aux": "RG:Z:a"}, {"aux": "RG:Z:b", "flag": 512, "seq": "AAAACCCC"}, {"aux": "RG:Z:b", "flag": 81, "seq": "AAAACCCC"}, {"flag": 256}]
+    df = reads(spark, rows).repartition(3)
+    texts = {"a": [(True, "0\0ACGTACGT")], "b": [(False, "0\0AAAACCCC"), (True, "65\0GGGGTTTT")]}
+    number = {"crc32": lambda t: zlib.crc32(t), "md5": lambda t: int(hashlib.md5(t).hexdigest(), 16), "sha384": lambda t: int(hashlib.sha384(t).hexdigest(), 16), "sha512": lambda t: int(hashlib.sha512(t).hexdigest(), 16)}
+    cases = {"crc32": ("crc32", None, 2**32), "md5": ("md5", None, 2**128), "sha384": ("sha384", None, 2**384), "sha512primesums": ("sha512", None, 2**521 - 1), "crc32prod": ("crc32", 2**31 - 1, None), "md5prime64": ("md5", 2**64 - 59, None), "sha512prime256": ("sha512", 2**256 - 189, None)}
+    for name, (kind, prime, modulus) in cases.items():
+        got = {(r.rg, r.pass_only): (r.n, int(r.b_seq, 16)) for r in checksums.checksums(df, name).collect()}
+        want = {}
+        for rg in ("a", "b", None):
+            for only in (False, True):
+                values = [number[kind](t.encode()) for g, rows_ in texts.items() if rg in (g, None) for ok, t in rows_ if ok or not only]
+                want[rg, only] = (len(values), sum(values) % modulus if modulus else math.prod(values) % prime)
+        assert got == want, name
+    # the older form of the same products
+    old = {(r.rg, r["pass"]): r.b_seq for r in checksums.checksum_products(df).collect()}
+    assert old["a", True] == zlib.crc32(b"0\0ACGTACGT") % (2**31 - 1)
+    with pytest.raises(ValueError):
+        checksums.checksums(df, "md5prod")
+
+
+def test_united_headers():
+    one = "@HD\tVN:1.6\n@SQ\tSN:b\tLN:2\n@SQ\tSN:c\tLN:3\n@RG\tID:r\tSM:x\n@PG\tID:p\n"
+    two = "@HD\tVN:1.5\n@SQ\tSN:a\tLN:1\n@SQ\tSN:b\tLN:2\n@RG\tID:r\tSM:y\n@PG\tID:q\tPP:p\n@PG\tID:p\tCL:z\n@CO\thi\n"
+    head, renamed = sam.united_header([one, two])
+    assert head.splitlines() == ["@HD\tVN:1.6", "@SQ\tSN:a\tLN:1", "@SQ\tSN:b\tLN:2", "@SQ\tSN:c\tLN:3", "@RG\tID:r\tSM:x", "@RG\tID:r.1\tSM:y", "@PG\tID:p", "@PG\tID:p.1\tCL:z", "@PG\tID:q\tPP:p.1", "@CO\thi"]
+    assert renamed == [{"RG": {"r": "r"}, "PG": {"p": "p"}}, {"RG": {"r": "r.1"}, "PG": {"p": "p.1", "q": "q"}}]
+    assert sam.united_header([one, one])[0] == one
+    for bad in ("@SQ\tSN:c\tLN:3\n@SQ\tSN:b\tLN:2\n", "@SQ\tSN:b\tLN:9\n"):
+        with pytest.raises(ValueError):
+            sam.united_header([one, bad])
+
+
+def test_merged_tags_put_clips_back(spark):
+    original = reads(spark, [{"aux": "as:i:3|qs:Z:TTT|qq:Z:###", "flag": 512}])
+    aligned = reads(spark, [{"qname": "0_q0", "aux": "NM:i:0"}])
+    row = text_of(pairs.merge_tags_by_rank(aligned, original, reinsert=True)).first()
+    assert (row.qname, row.flag, row.cigar, row.seq, row.qual, row.aux) == ("q0", 512, "8M3S", "ACGTACGTTTT", "IIIIIIII###", "NM:i:0|as:i:3")
+    tagged = transforms.rank_to_tag(reads(spark, [{}, {}])).where("rank = 1").withColumn("qname", F.lit("1_q1"))
+    assert pairs.merge_tags_by_rank(tagged, reads(spark, [{}, {}]), old_rank_to_name=True).first().qname == "1_q1"
+
+
+def test_post_ranks(spark):
+    rows = [{"qname": "x", "flag": 65}, {"qname": "s", "flag": 0, "aux": "ZR:i:1"}, {"qname": "o", "flag": 129}, {"qname": "x", "flag": 145}, {"qname": "x", "flag": 321}]
+    got = pairs.post_ranks(reads(spark, rows)).orderBy("rank").collect()
+    assert [(r.rank, r.qname, r.flag, r.refid) for r in got] == [(0, "0_1_x", 77, -1), (1, "0_1_x", 141, -1), (2, "2_s", 4, -1), (3, "3_3_o", 141, -1)]
+    assert [r.aux[-1].value for r in got] == [f"C,0,0,0,0,0,0,0,{i}" for i in (0, 3, 1, 2)]
+    assert pairs.uncollated(reads(spark, rows), reset=True).count() == 4
+
+
 def test_sam_and_bam_round_trips(spark, tmp_path):
     sq = spark.createDataFrame([(0, "chr1", 1000), (1, "chr2", 500)], "refid int, name string, length int")
     rows = [{"aux": "NM:i:3|RG:Z:a b|XA:A:c|XF:f:1.5|XB:B:s,1,-2", "cigar": "3S5M", "mate_refid": 1, "mate_pos": 7}, {"flag": 4, "refid": -1, "pos": -1, "cigar": "*", "qual": "*"}, {"seq": "ACGTN", "cigar": "5M", "qual": "!I~#5", "mate_refid": 0, "mate_pos": 99}]
@@ -356,7 +444,7 @@ def test_online_duplicates_equal_batch(spark, tmp_path):
     assert got == want and spark.table("online").count() == ends.count()
 
 
-SOME = ["c2_reset", "c14_convert_tags", "d7_used_header", "d15_routed", "e6_fix_mates", "e10_annotate", "f1_pair_distribution", "f5_depth", "f14_library_metrics", "g1_mark_duplicates", "g8_chains", "h1_sort_queryname", "h5_merge", "b5_to_fastq"]
+SOME = ["c2_reset", "c14_convert_tags", "d7_used_header", "d15_routed", "e6_fix_mates", "e10_annotate", "f1_pair_distribution", "f5_depth", "f14_library_metrics", "g1_mark_duplicates", "g8_chains", "h1_sort_queryname", "h5_merge", "b5_to_fastq", "e2_uncollated", "e2_post_ranks", "f10_checksums_md5"]
 
 
 @pytest.mark.parametrize("name", SOME)
