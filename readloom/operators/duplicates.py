@@ -75,27 +75,62 @@ def mark_duplicates(df: DataFrame, remove: bool = False, **how) -> DataFrame:
     return rows.withColumn("flag", F.when(F.col("_dup"), clean.bitwiseOR(m.DUPLICATE)).otherwise(clean)).select(df.columns)
 
 
-def library_metrics(df: DataFrame, marked: DataFrame, library: Column | None = None) -> DataFrame:
-    """Per library: unmapped reads, unpaired and paired reads examined, and duplicates of each."""
+def library_metrics(df: DataFrame, marked: DataFrame, library: Column | None = None, optical: DataFrame | None = None) -> DataFrame:
+    """Per library: unmapped reads, unpaired and paired reads examined, and duplicates of each; with optical (of optical_duplicates) also the optical pairs."""
     lib = library if library is not None else F.coalesce(aux.value(F.col("aux"), "RG"), F.lit(""))
     both = flags.has(m.PAIRED) & flags.mapped() & flags.lacks(m.MATE_UNMAPPED)
     n = lambda c: F.count(F.when(c, 1))
     rows = df.where(flags.lacks(SKIPPED)).groupBy(lib.alias("lib")).agg(n(flags.has(m.UNMAPPED)).alias("unmapped_reads"), n(flags.mapped() & ~both).alias("unpaired_reads"), F.floor(n(both) / 2).alias("read_pairs"))
     lost = marked.groupBy("lib").agg(n(F.col("kind") == "fragment").alias("fragment_duplicates"), F.floor(n(F.col("kind") == "pair") / 2).alias("pair_duplicates"))
+    if optical is not None:
+        lost = lost.join(optical.groupBy("lib").agg(F.floor(F.count("*") / 2).alias("optical_pair_duplicates")), "lib", "left")
     zero = F.lit(0).cast("long")
-    return rows.join(lost, "lib", "left").withColumns({"fragment_duplicates": F.coalesce("fragment_duplicates", zero), "pair_duplicates": F.coalesce("pair_duplicates", zero)})
+    return rows.join(lost, "lib", "left").withColumns({c: F.coalesce(c, zero) for c in lost.columns if c != "lib"})
+
+
+def set_sizes(marked: DataFrame) -> DataFrame:
+    """lib, size, n: how many sets of duplicate pairs have so many pairs, the one that stays included."""
+    sets = marked.where("kind = 'pair'").groupBy("lib", "kept").agg((F.floor(F.count("*") / 2) + 1).alias("size"))
+    return sets.groupBy("lib", "size").agg(F.count("*").alias("n"))
+
+
+def library_sizes(metrics: DataFrame) -> DataFrame:
+    """lib, pairs, unique_pairs, library_size (distinct molecules, by Lander and Waterman) of library_metrics; size null where no pair is a duplicate.
+
+    The size L solves unique / L = 1 - exp(-pairs / L), by halving between unique and a multiple of
+    it. Optical duplicates don't count as pairs.
+    """
+    optical = F.col("optical_pair_duplicates") if "optical_pair_duplicates" in metrics.columns else F.lit(0)
+    rows = metrics.select("lib", (F.col("read_pairs") - optical).alias("pairs"), (F.col("read_pairs") - F.col("pair_duplicates")).alias("unique_pairs"))
+    over = lambda x: F.col("unique_pairs") / (x * F.col("unique_pairs")) - 1 + F.exp(-F.col("pairs") / (x * F.col("unique_pairs")))
+    most = F.get(F.filter(F.transform(F.sequence(F.lit(2), F.lit(15)), lambda k: F.pow(F.lit(10.0), k)), lambda x: over(x) < 0), F.lit(0))
+    start = F.struct(F.lit(1.0).alias("low"), most.alias("high"))
+
+    def halve(at: Column, _: Column) -> Column:
+        middle = (at["low"] + at["high"]) / 2
+        return F.struct(F.when(over(middle) > 0, middle).otherwise(at["low"]).alias("low"), F.when(over(middle) > 0, at["high"]).otherwise(middle).alias("high"))
+
+    factor = F.aggregate(F.sequence(F.lit(1), F.lit(40)), start, halve, lambda at: (at["low"] + at["high"]) / 2)
+    return rows.withColumn("library_size", F.when((F.col("unique_pairs") > 0) & (F.col("pairs") > F.col("unique_pairs")), F.floor(F.col("unique_pairs") * factor)))
+
+
+def return_histogram(sizes: DataFrame, bins: int = 100) -> DataFrame:
+    """lib, bin, value of library_sizes: how many times the unique pairs of today bin times the sequencing would give."""
+    size = F.col("library_size")
+    value = size * (1 - F.exp(-F.col("bin") * F.col("pairs") / size)) / F.col("unique_pairs")
+    return sizes.where("library_size is not null").select("*", F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin")).select("lib", "bin", value.alias("value"))
 
 
 def optical_duplicates(df: DataFrame, pixels: int = OPTICAL_PIXELS, **how) -> DataFrame:
-    """rank, kept: duplicates whose tile is that of the read that stays and whose x and y are within pixels of it.
+    """rank, lib, kept: reads of duplicate pairs whose tile is that of the pair that stays and whose x and y are within pixels of it.
 
     Names end in tile:x:y. Each duplicate is compared with the kept read only, so groups of any size take linear work.
     """
     place = lambda c: F.struct(F.regexp_extract(c, r"(.*):\d+:\d+$", 1).alias("tile"), F.regexp_extract(c, r":(\d+):\d+$", 1).try_cast("long").alias("x"), F.regexp_extract(c, r":(\d+)$", 1).try_cast("long").alias("y"))
-    lost = duplicate_ranks(df, **how)
+    lost = duplicate_ranks(df, **how).where("kind = 'pair'")
     lost = lost.withColumns({"_a": place(F.col("qname")), "_b": place(F.col("kept"))})
     near = (F.col("_a.tile") == F.col("_b.tile")) & (F.abs(F.col("_a.x") - F.col("_b.x")) <= pixels) & (F.abs(F.col("_a.y") - F.col("_b.y")) <= pixels)
-    return lost.where(near).select("rank", "kept")
+    return lost.where(near).select("rank", "lib", "kept")
 
 
 def tag_optical(df: DataFrame, tag: str = "od", pixels: int = OPTICAL_PIXELS, **how) -> DataFrame:

@@ -276,16 +276,15 @@ def _with_places(a: DataFrame) -> DataFrame:
 
 
 _OPTICAL = _DUPS + """,
-kp AS (SELECT k1, k2, place, first_value(qname) OVER (PARTITION BY lib, r1, f1, s1, r2, f2, s2 ORDER BY score DESC, least(k1, k2)) AS kept FROM po),
-kf AS (SELECT rank, place, in_pair, first_value(qname) OVER (PARTITION BY lib, refid, five, strand ORDER BY CASE WHEN in_pair THEN 0 ELSE 1 END, score DESC, rank) AS kept FROM fo),
-kd AS (SELECT k1 AS rank, kept FROM kp WHERE place > 1 UNION ALL SELECT k2, kept FROM kp WHERE place > 1 UNION ALL SELECT rank, kept FROM kf WHERE place > 1 AND NOT in_pair),
-od AS (SELECT d.rank, CAST(substr(d.kept, 2) AS BIGINT) AS k, CAST(substr(a.qname, 2) AS BIGINT) AS n FROM kd d JOIN aln a USING (rank)),
-of AS (SELECT rank, 't:' || CAST(k % 3 AS VARCHAR) || ':' || CAST(k * 7 % 500 AS VARCHAR) || ':' || CAST(k AS VARCHAR) AS od FROM od WHERE k % 3 = n % 3 AND abs(k * 7 % 500 - n * 7 % 500) <= 100 AND abs(k - n) <= 100)"""
+kp AS (SELECT k1, k2, lib, place, first_value(qname) OVER (PARTITION BY lib, r1, f1, s1, r2, f2, s2 ORDER BY score DESC, least(k1, k2)) AS kept FROM po),
+kd AS (SELECT k1 AS rank, kept, lib FROM kp WHERE place > 1 UNION ALL SELECT k2, kept, lib FROM kp WHERE place > 1),
+od AS (SELECT d.rank, d.lib, CAST(substr(d.kept, 2) AS BIGINT) AS k, CAST(substr(a.qname, 2) AS BIGINT) AS n FROM kd d JOIN aln a USING (rank)),
+of AS (SELECT rank, lib, 't:' || CAST(k % 3 AS VARCHAR) || ':' || CAST(k * 7 % 500 AS VARCHAR) || ':' || CAST(k AS VARCHAR) AS od FROM od WHERE k % 3 = n % 3 AND abs(k * 7 % 500 - n * 7 % 500) <= 100 AND abs(k - n) <= 100)"""
 
 
 @query("g3_optical_duplicates", f", {_OPTICAL} SELECT rank, od AS kept FROM of")
 def _(a: DataFrame) -> DataFrame:
-    return G.optical_duplicates(_with_places(a))
+    return G.optical_duplicates(_with_places(a)).select("rank", "kept")
 
 
 @query("g3_optical_tags", f", {_OPTICAL} SELECT rank, od FROM aln LEFT JOIN of USING (rank)")
@@ -298,6 +297,25 @@ def _(a: DataFrame) -> DataFrame:
     return G.library_metrics(a, G.duplicate_ranks(a))
 
 
+_OPTICAL_METRICS = _METRICS.replace("AS pair_duplicates", "AS pair_duplicates, coalesce(o.n, 0) AS optical_pair_duplicates", 1) + " LEFT JOIN (SELECT lib, count(*) // 2 AS n FROM of GROUP BY lib) o USING (lib)"
+
+
+@query("f14_optical_metrics", f", {_OPTICAL} {_OPTICAL_METRICS}")
+def _(a: DataFrame) -> DataFrame:
+    a = _with_places(a)
+    return G.library_metrics(a, G.duplicate_ranks(a), optical=G.optical_duplicates(a))
+
+
+@query("f14_set_sizes", f", {_DUPS} SELECT lib, CAST(size AS BIGINT) AS size, count(*) AS n FROM (SELECT lib, count(*) AS size FROM po GROUP BY lib, r1, f1, s1, r2, f2, s2 HAVING count(*) > 1) x GROUP BY lib, size")
+def _(a: DataFrame) -> DataFrame:
+    return G.set_sizes(G.duplicate_ranks(a))
+
+
+@query("f14_return_histogram")
+def _(a: DataFrame) -> DataFrame:
+    return G.return_histogram(G.library_sizes(G.library_metrics(a, G.duplicate_ranks(a))))
+
+
 _COORD = "CASE WHEN refid < 0 THEN 4294967296 ELSE refid END, CASE WHEN pos < 0 THEN 4294967296 ELSE pos END"
 
 

@@ -269,6 +269,31 @@ def test_united_headers():
             sam.united_header([one, bad])
 
 
+def test_library_sizes_and_returns(spark):
+    rows = [("a", 1000, 200, 0), ("b", 50, 0, 0), ("c", 5000, 900, 100), ("d", 0, 0, 0)]
+    metrics = spark.createDataFrame(rows, "lib string, read_pairs long, pair_duplicates long, optical_pair_duplicates long")
+    sizes = {r.lib: r for r in duplicates.library_sizes(metrics).collect()}
+    assert sizes["b"].library_size is None and sizes["d"].library_size is None
+    for lib, pairs_, unique in (("a", 1000, 800), ("c", 4900, 4100)):
+        size = sizes[lib].library_size
+        # the equation changes its sign at the size
+        sign = lambda x: unique / x - 1 + math.exp(-pairs_ / x)  # noqa: B023, E731
+        assert sign(size - 1) > 0 > sign(size + 1)
+    got = {(r.lib, r.bin): r.value for r in duplicates.return_histogram(duplicates.library_sizes(metrics), 3).collect()}
+    assert set(got) == {(lib, b) for lib in "ac" for b in (1, 2, 3)}
+    assert abs(got["a", 1] - 1) < 1e-2 and got["a", 2] == pytest.approx(sizes["a"].library_size * (1 - math.exp(-2000 / sizes["a"].library_size)) / 800)
+
+
+def test_optical_duplicates_are_pairs(spark):
+    pair = lambda name, q: [{"qname": name, "flag": 65, "qual": q * 8}, {"qname": name, "flag": 129, "pos": 90, "qual": q * 8}]
+    rows = [*pair("t:1:10:10", "I"), *pair("t:1:50:60", "H"), *pair("t:1:500:10", "G"), *pair("t:2:10:10", "F"), {"qname": "t:1:11:11", "pos": 90}, {"qname": "t:1:12:12", "pos": 90}]
+    df = reads(spark, rows)
+    assert sorted(tuple(r) for r in duplicates.optical_duplicates(df).collect()) == [(2, "", "t:1:10:10"), (3, "", "t:1:10:10")]
+    row = duplicates.library_metrics(df, duplicates.duplicate_ranks(df), optical=duplicates.optical_duplicates(df)).first()
+    assert (row.pair_duplicates, row.optical_pair_duplicates, row.fragment_duplicates) == (3, 1, 2)
+    assert [tuple(r) for r in duplicates.set_sizes(duplicates.duplicate_ranks(df)).collect()] == [("", 4, 1)]
+
+
 def test_merged_tags_put_clips_back(spark):
     original = reads(spark, [{"aux": "as:i:3|qs:Z:TTT|qq:Z:###", "flag": 512}])
     aligned = reads(spark, [{"qname": "0_q0", "aux": "NM:i:0"}])
@@ -444,7 +469,7 @@ def test_online_duplicates_equal_batch(spark, tmp_path):
     assert got == want and spark.table("online").count() == ends.count()
 
 
-SOME = ["c2_reset", "c14_convert_tags", "d7_used_header", "d15_routed", "e6_fix_mates", "e10_annotate", "f1_pair_distribution", "f5_depth", "f14_library_metrics", "g1_mark_duplicates", "g8_chains", "h1_sort_queryname", "h5_merge", "b5_to_fastq", "e2_uncollated", "e2_post_ranks", "f10_checksums_md5"]
+SOME = ["c2_reset", "c14_convert_tags", "d7_used_header", "d15_routed", "e6_fix_mates", "e10_annotate", "f1_pair_distribution", "f5_depth", "f14_library_metrics", "g1_mark_duplicates", "g8_chains", "h1_sort_queryname", "h5_merge", "b5_to_fastq", "e2_uncollated", "e2_post_ranks", "f10_checksums_md5", "f14_optical_metrics", "f14_set_sizes", "g3_optical_duplicates", "g3_optical_tags", "e7_merge_tags_by_rank"]
 
 
 @pytest.mark.parametrize("name", SOME)
