@@ -38,7 +38,7 @@ def read(spark: SparkSession, path: str, queries: DataFrame, sq: DataFrame, shar
     tag = lambda t, kind, c: F.struct(F.lit(t).alias("tag"), F.lit(kind).alias("type"), c.cast("string").alias("value"))
     numbers = ["bit-score", "score", "evalue", "query-from", "query-to", "hit-from", "hit-to", "query-frame", "hit-frame", "identity", "positive", "gaps", "align-len"]
     tags = F.array(tag("AS", "i", F.col("p.Hsp_score").cast("int")), *[tag(f"Z{chr(65 + i)}", "f" if i < 3 else "i", F.col(f"p.Hsp_{n}")) for i, n in enumerate(numbers)])
-    placed = kept.withColumns({"_first": first, "cigar": _run_lengths(turned), "aux": tags})
+    placed = kept.withColumns({"_first": first, "cigar": _run_lengths(F.transform(turned, lambda op: F.struct(op.alias("op"), F.lit(1).alias("len")))), "aux": tags})
     seq = F.when(back, sequences.reverse_complement(F.col("_q"))).otherwise(F.col("_q"))
     flag = F.when(back, m.REVERSE).otherwise(0).bitwiseOR(F.when(F.col("_first"), 0).otherwise(m.SECONDARY))
     none = F.lit(-1)
