@@ -30,6 +30,7 @@ from readloom.llm.components import components
 from readloom.llm.runtime import bitmap_has, key_bitmap, ship_code, text_batches, utf8_buffer
 from readloom.llm.runtime import checkpointed as written
 from readloom.llm.shingles import mix, shingle_sets
+from readloom.plans.registry import scratch
 
 #: Every step frees the shuffle files of the steps before it, so that the disk holds one step's at a time.
 checkpointed = partial(written, free=True)
@@ -77,44 +78,68 @@ def _batches_of_sets(batches: Iterator[pa.RecordBatch], width: int, shared: froz
             yield batch, sets, nodes, digests[:, 1]
 
 
+class _Once:
+    """Tells sets that a task meets for the first time from those it has sent on already."""
+
+    def __init__(self) -> None:
+        self.seen: set[tuple[int, int]] = set()
+
+    def __call__(self, nodes: np.ndarray, others: np.ndarray) -> np.ndarray:
+        new = np.zeros(len(nodes), bool)
+        for i, key in enumerate(zip(nodes.tolist(), others.tolist())):
+            if key not in self.seen:
+                if len(self.seen) >= SEEN:
+                    self.seen.clear()
+                self.seen.add(key)
+                new[i] = key[0] != 0
+        return new
+
+
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
     ends = np.cumsum([0, *map(len, arrays)], dtype=np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays) if arrays else np.zeros(0, np.int64)))
 
 
-def _nodes(width: int):
-    """Arrow function: size and digests of each text's set."""
+def _nodes(width: int, threshold: int):
+    """Arrow function: size and digests of each text's set; its lowest part once for each set that the task meets, else nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, sets, nodes, other in _batches_of_sets(batches, width):
-            yield pa.record_batch([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes), pa.array(other)], ["doc_id", "n", "node", "other"])
+        once, none = _Once(), np.zeros(0, np.int64)
+        for batch, sets, nodes, others in _batches_of_sets(batches, width):
+            n = [len(s) for s in sets]
+            heads = [s[: k - _least_overlap(k, threshold) + k // SPARE + 1] if new else none for s, k, new in zip(sets, n, once(nodes, others).tolist())]
+            yield pa.record_batch(
+                [batch.column("doc_id"), batch.column("key"), pa.array(n, pa.int64()), pa.array(nodes), pa.array(others), _lists(heads)],
+                ["doc_id", "key", "n", "node", "other", "head"],
+            )
 
     return run
 
 
-def _grams(width: int, threshold: int, shared: frozenset[int], bitmap=None, common=None):
-    """Arrow function: (node, grams) once for each set that the task meets.
+def _held(common):
+    """Arrow function: (node, gram) of those n-grams in the lowest parts that may be in the bitmap."""
 
-    The lowest part of each set, with common only its grams that may be in that bitmap; with bitmap,
-    the whole sets of nodes that may be in it.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            heads = batch.column("head")
+            grams = heads.flatten().to_numpy(zero_copy_only=False)
+            nodes = np.repeat(batch.column("node").to_numpy(zero_copy_only=False), heads.value_lengths().to_numpy(zero_copy_only=False))
+            keep = bitmap_has(common.value, grams)
+            yield pa.record_batch([pa.array(nodes[keep]), pa.array(grams[keep])], ["node", "gram"])
+
+    return run
+
+
+def _whole_sets(width: int, shared: frozenset[int], wanted):
+    """Arrow function: (node, grams) of the texts whose keys may be in the bitmap, once for each set that the task meets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for _, sets, nodes, _ in _batches_of_sets(batches, width, shared):
-            wanted = nodes != 0 if bitmap is None else (nodes != 0) & bitmap_has(bitmap.value, nodes)
-            rows = []
-            for i in np.flatnonzero(wanted).tolist():
-                if int(nodes[i]) not in seen:
-                    if len(seen) >= SEEN:
-                        seen.clear()
-                    seen.add(int(nodes[i]))
-                    rows.append(i)
-            n = {i: len(sets[i]) for i in rows}
-            parts = [sets[i] if bitmap is not None else sets[i][: n[i] - _least_overlap(n[i], threshold) + n[i] // SPARE + 1] for i in rows]
-            if common is not None:
-                parts = [part[bitmap_has(common.value, part)] for part in parts]
-            yield pa.record_batch([pa.array(nodes[rows] if rows else np.zeros(0, np.int64)), _lists(parts)], ["node", "grams"])
+        once = _Once()
+        for whole in batches:
+            some = whole.filter(pa.array(bitmap_has(wanted.value, whole.column("key").to_numpy(zero_copy_only=False))))
+            for _, sets, nodes, others in _batches_of_sets(iter([some]), width, shared):
+                rows = np.flatnonzero(once(nodes, others))
+                yield pa.record_batch([pa.array(nodes[rows]), _lists([sets[i] for i in rows.tolist()])], ["node", "grams"])
 
     return run
 
@@ -170,25 +195,29 @@ def ngram_jaccard_components(docs: DataFrame, threshold: int = THRESHOLD, width:
     """
     spark = docs.sparkSession
     ship_code(spark)
-    texts = docs.select("text")
-    rows = checkpointed(docs.select("doc_id", "text").mapInArrow(_nodes(width), "doc_id long, n long, node long, other long"))
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
+    # written once, as Parquet, whose columns can be read apart; all but the sets of candidates comes from it
+    path = scratch(spark)
+    texts.mapInArrow(_nodes(width, threshold), "doc_id long, key long, n long, node long, other long, head array<bigint>").write.parquet(path)
+    rows = spark.read.parquet(path)
     # different sets of one first digest: a handful in 10^10 texts
     clash = rows.groupBy("node").agg(F.min("other").alias("lo"), F.max("other").alias("hi")).where("lo <> hi").select("node")
     shared = frozenset(r.node for r in clash.collect())
-    rows = rows.select("doc_id", "n", F.when(F.col("node").isin(*shared), F.col("other")).otherwise(F.col("node")).alias("node") if shared else "node")
-    classes = checkpointed(rows.where("node <> 0").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n")))
+    if shared:
+        rows = rows.withColumn("node", F.when(F.col("node").isin(*shared), F.col("other")).otherwise(F.col("node")))
+    classes = checkpointed(rows.where("node <> 0").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.min("key").alias("key")))
 
     # Classes whose set has enough n-grams, in its lowest part, that another class has too.
-    heads = lambda common=None: texts.mapInArrow(_grams(width, threshold, shared, common=common), "node long, grams array<bigint>").select("node", F.explode("grams").alias("gram"))
-    twice = heads().groupBy("gram").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("gram")
+    heads = rows.where(F.size("head") > 0).select("node", "head")
+    twice = heads.select("node", F.explode("head").alias("gram")).groupBy("gram").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("gram")
     twice = checkpointed(twice)
-    held = heads(spark.sparkContext.broadcast(key_bitmap(twice, "gram"))).join(twice, "gram", "left_semi").distinct()
+    held = heads.mapInArrow(_held(spark.sparkContext.broadcast(key_bitmap(twice, "gram"))), "node long, gram long").join(twice, "gram", "left_semi").distinct()
     common = held.groupBy("node").agg(F.count("*").alias("common"))
-    alive = checkpointed(common.join(classes, "node").where(F.col("common") > F.floor(F.col("n") / SPARE)).select("node", "n"))
+    alive = checkpointed(common.join(classes, "node").where(F.col("common") > F.floor(F.col("n") / SPARE)).select("node", "n", "key"))
 
-    # Their whole sets; then those with at least threshold hundredths of it in common with others.
-    bitmap = spark.sparkContext.broadcast(key_bitmap(alive, "node"))
-    full = texts.mapInArrow(_grams(width, threshold, shared, bitmap), "node long, grams array<bigint>").join(alive, "node")
+    # Their whole sets, from one text of each; then those with at least threshold hundredths of it in common with others.
+    wanted = spark.sparkContext.broadcast(key_bitmap(alive, "key"))
+    full = texts.select("text", "key").mapInArrow(_whole_sets(width, shared, wanted), "node long, grams array<bigint>").join(alive.select("node"), "node", "left_semi")
     full = checkpointed(full.dropDuplicates(["node"]).select("node", "grams"))
     each = full.select("node", F.explode("grams").alias("gram"))
     counts = checkpointed(each.groupBy("gram").agg(F.count("*").alias("holders")).where("holders > 1"))
@@ -204,7 +233,7 @@ def ngram_jaccard_components(docs: DataFrame, threshold: int = THRESHOLD, width:
     grouped = classes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = grouped.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = grouped.join(least, "component").select("node", "component_id")
-    return rows.join(named, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return rows.select("doc_id", "n", "node").join(named, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def _merged_lists(lists: DataFrame, sets: DataFrame, sizes: DataFrame, threshold: int) -> DataFrame:
