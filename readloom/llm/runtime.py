@@ -106,7 +106,8 @@ def key_bitmap(keys: DataFrame, column: str) -> np.ndarray:
         .agg(F.bitmap_construct_agg(F.pmod("slot", F.lit(1 << 15))).alias("bits"))
     )
     out = np.zeros(1 << (BITMAP_BITS - 3), np.uint8)
-    for row in words.toLocalIterator():
+    # at most 1024 pages of 4 KB, in one job
+    for row in words.collect():
         out[row.page << 12 : (row.page + 1) << 12] = np.frombuffer(bytes(row.bits), np.uint8)
     return out
 
