@@ -10,6 +10,7 @@ import re
 import zlib
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -522,6 +523,24 @@ def test_near_collisions_up_to_seven_bits(spark, monkeypatch):
     assert got == want and {d for _, _, d in want} == set(range(1, 8))
 
 
+def test_near_collisions_between_blocks_without_broadcast(spark):
+    rng = random.Random(2)
+    values = [rng.getrandbits(32) for _ in range(60)] + [i << 16 | 5 for i in range(200)]
+    values = sorted({*values, *(v ^ sum(1 << b for b in rng.sample(range(32), k)) for v in values[:60] for k in range(1, 9)), 0, (1 << 32) - 1})
+    df = spark.createDataFrame([(v,) for v in values] * 2, "b_seq long")
+    want = sorted((a, b, (a ^ b).bit_count()) for a in values for b in values if a < b and (a ^ b).bit_count() <= 7)
+    few = checksums.near_collisions(spark.createDataFrame([(v,) for v in range(8)], "b_seq long"), block=1)
+    assert few.count() == few.distinct().count() == 28
+    for block in (100, 10**6):
+        met = checksums.near_collisions(df, block=block)
+        assert sorted(map(tuple, met.collect())) == want
+    for rows in (1, 1000):
+        vs = pa.RecordBatch.from_pydict({"vs": [[v - (1 << 31) for v in values]]}, pa.schema({"vs": pa.list_(pa.int32())}))
+        assert sorted(t for b in checksums._near(7, rows)((pa.scalar(0), pa.scalar(0)), iter([vs])) for t in zip(*(c.to_pylist() for c in b.columns), strict=True)) == want
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" not in plan
+
+
 def test_depth_peaks_at_all_widths(spark, monkeypatch):
     spots = [(0, 500, 2)] + [(0, p, 5) for p in range(5000, 6000)]  # too low at width 4, too wide at width 64
     monkeypatch.setattr(aggregates, "depth", lambda blocks: spark.createDataFrame(spots, "refid int, pos int, depth int"))
