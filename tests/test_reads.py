@@ -185,6 +185,36 @@ def test_intervals(spark):
     assert [r.aux for r in row] == ["CO:Z:(h,d);(g,a)", ""]
 
 
+def shuffled(spark, df):
+    """(records, bytes) of the largest shuffle while df is run, without broadcasts."""
+    sc = spark.sparkContext
+    store, none = sc._jsc.sc().statusStore(), sc._gateway.new_array(sc._gateway.jvm.double, 0)
+
+    def stages():
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        found = store.stageList(None, False, False, none, None)
+        return {s.stageId(): (s.shuffleWriteRecords(), s.shuffleWriteBytes()) for s in (found.apply(i) for i in range(found.size()))}
+
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = stages()
+        df.write.format("noop").mode("overwrite").save()
+        new = [v for k, v in stages().items() if k not in before]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    return max(r for r, _ in new), max(b for _, b in new)
+
+
+def test_annotate_sends_notes_once_a_span(spark):
+    iv = spark.createDataFrame([(f"g{i % 7}", f"n{i * 7919 % 1000}", 0, i % 10, 12 + i % 90) for i in range(400)], "gene string, name string, refid int, from int, to int")
+    df = reads(spark, [{"aux": "AB:Z:x"}] * 300 + [{"flag": 4, "cigar": "*"}, {"refid": -1}, {"refid": 3}]).persist()
+    text = ";".join(f"({r.gene},{r.name})" for r in sorted(iv.collect(), key=lambda r: (r["from"], r["to"], r.name)))
+    assert [r.aux for r in text_of(intervals.annotate(df, iv)).orderBy("rank").collect()] == ["AB:Z:x|CO:Z:" + text] * 300 + [""] * 3
+    assert shuffled(spark, intervals.annotate(df, iv))[1] < 100_000
+    df.unpersist()
+
+
 def test_chain_and_cluster(spark):
     rows = [{"qname": "r", "pos": 100, "cigar": "4M4S", "aux": "AS:i:4"}, {"qname": "r", "pos": 300, "cigar": "2S5M1S", "aux": "AS:i:9"}, {"qname": "r", "pos": 105, "cigar": "5S3M", "aux": "AS:i:6"}]
     chain = folds.best_mappings(reads(spark, rows), "chain").orderBy("rank").collect()
