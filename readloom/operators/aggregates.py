@@ -126,13 +126,20 @@ def class_counts(classes: DataFrame) -> DataFrame:
 def comment_pairs(df: DataFrame) -> DataFrame:
     """name1, name2, n, reads: interval names (tag CO, 'a;b') that meet between read 1 and read 2 of a template.
 
-    Each unordered pair counts once for each pair of rows; reads: the template names, sorted.
+    Each unordered pair counts once for each pair of rows; reads: the template names, sorted. Names of
+    rows are paired within the rows, the counts of templates are added up, and reads are joined in
+    pieces of one prefix, so that a pair of names is held as a few texts instead of a list of reads.
     """
     names_of = F.filter(F.split(aux.value(F.col("aux"), "CO"), ";"), lambda x: x != "")
     number = flags.read_number()
-    side = lambda n, c: df.where(number == n).select("qname", F.col("rank").alias(f"rank{n}"), F.explode(F.array_distinct(names_of)).alias(c))
-    met = side(1, "x").join(side(2, "y"), "qname").select("qname", "rank1", "rank2", F.least("x", "y").alias("name1"), F.greatest("x", "y").alias("name2")).distinct()
-    return met.groupBy("name1", "name2").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_set("qname")), ",").alias("reads"))
+    side = lambda n, c: df.where(number == n).select("qname", F.array_distinct(names_of).alias(c)).where(F.size(c) > 0)
+    both = F.flatten(F.transform("x", lambda x: F.transform(F.col("y"), lambda y: F.struct(F.least(x, y).alias("name1"), F.greatest(x, y).alias("name2")))))
+    met = side(1, "x").join(side(2, "y"), "qname").select("qname", F.inline(F.array_distinct(both)))
+    per = met.groupBy("name1", "name2", "qname").agg(F.count("*").alias("n"))
+    prefix = F.substring("qname", 1, 6)
+    pieces = per.groupBy("name1", "name2", prefix.alias("prefix")).agg(F.sum("n").alias("n"), F.array_join(F.sort_array(F.collect_list("qname")), ",").alias("reads"))
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("prefix", "reads"))), lambda p: p["reads"]), ",")
+    return pieces.groupBy("name1", "name2").agg(F.sum("n").alias("n"), joined.alias("reads"))
 
 
 def pileup(df: DataFrame) -> DataFrame:

@@ -215,6 +215,37 @@ def test_annotate_sends_notes_once_a_span(spark):
     df.unpersist()
 
 
+def test_comment_pairs_of_many_names(spark):
+    names_ = ";".join(f"n{i:02d}" for i in range(30))
+    df = reads(spark, [{"qname": f"template{i}", "flag": 1 + 64 * n, "aux": f"CO:Z:{names_};n00"} for i in range(20) for n in (1, 2)] + [{"qname": "template3", "flag": 65, "aux": "CO:Z:n07"}])
+    got = {(r.name1, r.name2): (r.n, r.reads) for r in aggregates.comment_pairs(df).collect()}
+    every = ",".join(sorted(f"template{i}" for i in range(20)))
+    assert len(got) == 465 and got["n00", "n01"] == (20, every) and got["n07", "n09"] == (21, every)
+    assert shuffled(spark, aggregates.comment_pairs(df))[0] < 3000
+
+
+def test_comment_pairs_unite_intervals_of_a_gene(spark, monkeypatch):
+    iv = spark.createDataFrame([(f"g{i % 2}", f"n{i}", i % 4, 0, 900 + i) for i in range(400)], "gene string, name string, refid int, from int, to int")
+    monkeypatch.setattr(fixture, "intervals", lambda spark, sf_dir: iv)
+    df = catalog.QUERIES["f15_comment_pairs"](spark, SF)
+    assert {(r.name1, r.name2) for r in df.collect()} == {("g0", "g0"), ("g0", "g1"), ("g1", "g1")}
+    plans, most = [df._jdf.queryExecution().executedPlan()], 0
+    while plans:
+        p = plans.pop()
+        name = p.nodeName()
+        rows = p.metrics().get("numOutputRows")
+        most = max(most, rows.get().value()) if "Join" in name and rows.isDefined() else most
+        inner = [p.executedPlan()] if name == "AdaptiveSparkPlan" else [p.plan()] if "QueryStage" in name else []
+        plans += inner or [p.children().apply(i) for i in range(p.children().size())]
+    assert 0 < most < 20_000  # of 6000 reads
+
+
+def test_genes_of_reads(spark):
+    iv = spark.createDataFrame([("g", "a", 0, 17, 20), ("g", "b", 0, 12, 17), ("g", "c", 0, 0, 9), ("h", "d", 0, 5, 5000), ("i", "e", 0, 15, 12), ("j", "f", 1, 0, 99)], "gene string, name string, refid int, from int, to int")
+    got = intervals.annotate_genes(reads(spark, [{}, {"flag": 4, "cigar": "*"}, {"pos": 30}, {"pos": 9000}, {"refid": 1}]), iv)
+    assert {r.rank: sorted(r.aux.removeprefix("CO:Z:").split(";")) for r in text_of(got).collect()} == {0: ["g", "h"], 2: ["h"], 4: ["j"]}
+
+
 def test_chain_and_cluster(spark):
     rows = [{"qname": "r", "pos": 100, "cigar": "4M4S", "aux": "AS:i:4"}, {"qname": "r", "pos": 300, "cigar": "2S5M1S", "aux": "AS:i:9"}, {"qname": "r", "pos": 105, "cigar": "5S3M", "aux": "AS:i:6"}]
     chain = folds.best_mappings(reads(spark, rows), "chain").orderBy("rank").collect()
