@@ -206,6 +206,14 @@ def shuffled(spark, df):
     return max(r for r, _ in new), max(b for _, b in new)
 
 
+def test_rank_tag_holds_bytes_above_24_bits(spark):
+    rows = [36_000_000, (1 << 24) - 1, 1 << 24, (1 << 40) + 258]
+    df = transforms.rank_to_tag(reads(spark, [{"rank": r} for r in rows]))
+    got = {r["rank"]: r.aux for r in text_of(df).collect()}
+    assert got == {r: "zz:B:C," + ",".join(str(b) for b in r.to_bytes(8, "big")) for r in rows}
+    assert {r.qname.split("_")[0] for r in transforms.rank_to_name(df).collect()} == {str(r) for r in rows}
+
+
 def test_annotate_sends_notes_once_a_span(spark):
     iv = spark.createDataFrame([(f"g{i % 7}", f"n{i * 7919 % 1000}", 0, i % 10, 12 + i % 90) for i in range(400)], "gene string, name string, refid int, from int, to int")
     df = reads(spark, [{"aux": "AB:Z:x"}] * 300 + [{"flag": 4, "cigar": "*"}, {"refid": -1}, {"refid": 3}]).persist()
