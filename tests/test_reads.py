@@ -206,6 +206,32 @@ def shuffled(spark, df):
     return max(r for r, _ in new), max(b for _, b in new)
 
 
+def test_interval_overlaps_shuffle_little(spark, tmp_path):
+    lineitem = spark.read.parquet(f"{SF}/lineitem.parquet")
+    again = lineitem.where("l_orderkey % 3 = 0").withColumns({"l_extendedprice": F.col("l_extendedprice") / 2, "l_returnflag": F.lit("Z")})
+    lineitem.unionByName(again).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")  # rows that only the last columns of the order tell apart
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    for t in ("part", "region"):
+        os.symlink(f"{SF}/{t}.parquet", f"{tmp_path}/{t}.parquet")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    df = catalog.QUERIES["e10_interval_overlaps"](spark, str(tmp_path))
+    found = con.execute(f"SELECT rank, gene, name FROM ({catalog.ORACLE_SQL['e10_interval_overlaps']}) x").fetchall()
+    assert len(found) > 1000 and sorted(found) == sorted(tuple(r) for r in df.collect())
+    rows, size = shuffled(spark, df)
+    assert size < 30 * rows
+
+
+def test_overlaps_deal_reads_in_order_of_their_spans(spark):
+    iv = spark.createDataFrame([("g", "a", 0, 0, 499), ("g", "b", 0, 400, 2000)], "gene string, name string, refid int, from int, to int")
+    df = reads(spark, [{}]).drop("rank").crossJoin(spark.range(20_000, numPartitions=2)).withColumns({"rank": F.col("id"), "pos": (F.col("id") * 7919 % 900).cast("int")})
+    df = intervals.overlaps(df, iv).select("rank", "name")
+    want = [(i, name) for i in range(20_000) for name, s, e in (("a", 0, 499), ("b", 400, 2000)) if i * 7919 % 900 <= e and i * 7919 % 900 + 7 >= s]
+    assert sorted(tuple(r) for r in df.collect()) == want
+    rows, size = shuffled(spark, df)
+    assert rows >= 20_000 and size < 12 * rows
+
+
 def test_rank_tag_holds_bytes_above_24_bits(spark):
     rows = [36_000_000, (1 << 24) - 1, 1 << 24, (1 << 40) + 258]
     df = transforms.rank_to_tag(reads(spark, [{"rank": r} for r in rows]))
