@@ -21,13 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from readloom.llm.bpe_words import WordMerger
-from readloom.llm.runtime import ship_code, text_batches, utf8_buffer
+from readloom.llm.runtime import release_memory, ship_code, text_batches, utf8_buffer
 from readloom.llm.shingles import mix
 
 #: A chunk ends where these bits of the rolling hash are zero: 512 bytes on average.
 CUT_MASK = np.uint32(0xFF800000)
 WINDOW = 16
-#: Bounds of the tables that a worker keeps (about 250 MB).
+#: Bounds of the tables that a worker keeps during a task (about 250 MB).
 MAX_CHUNKS = 20_000
 MAX_WORDS = 700_000
 #: So many bytes of texts are encoded together (or one longer text).
@@ -196,7 +196,7 @@ _encoders: dict[int, ChunkEncoder] = {}
 
 
 def _encoder(tokenizer_json: str) -> ChunkEncoder:
-    """The worker's encoder, whose tables serve all tasks that it runs."""
+    """The worker's encoder, which serves all tasks that it runs; its tables last for one task."""
     key = hash(tokenizer_json)
     if key not in _encoders:
         _encoders.clear()
@@ -204,25 +204,34 @@ def _encoder(tokenizer_json: str) -> ChunkEncoder:
     return _encoders[key]
 
 
+def _encoded(encoder: ChunkEncoder, batches: Iterator[pa.RecordBatch], outputs: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for batch in text_batches(whole, "text", PIECE_BYTES):
+            raw, off = utf8_buffer(batch.column("text"))
+            rows: dict[str, list] = {k: [] for k in outputs}
+            for slots in encoder.encode([raw[a:b] for a, b in zip(off[:-1].tolist(), off[1:].tolist())]):
+                decoded = encoder.decode(slots) if {"decoded", "decoded_sha256"} & rows.keys() else ""
+                for k, out in rows.items():
+                    if k == "n_tokens":
+                        out.append(encoder.count(slots))
+                    elif k == "ids":
+                        out.append(encoder.token_ids(slots))
+                    elif k == "decoded":
+                        out.append(decoded)
+                    else:
+                        out.append(hashlib.sha256((encoder.id_text(slots) if k == "ids_sha256" else decoded).encode()).hexdigest())
+            yield pa.record_batch([batch.column("doc_id"), *(pa.array(rows[k], _ARROW[k]) for k in outputs)], ["doc_id", *outputs])
+
+
 def _encode_batches(source, outputs: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(source.value)
-        for whole in batches:
-            for batch in text_batches(whole, "text", PIECE_BYTES):
-                raw, off = utf8_buffer(batch.column("text"))
-                rows: dict[str, list] = {k: [] for k in outputs}
-                for slots in encoder.encode([raw[a:b] for a, b in zip(off[:-1].tolist(), off[1:].tolist())]):
-                    decoded = encoder.decode(slots) if {"decoded", "decoded_sha256"} & rows.keys() else ""
-                    for k, out in rows.items():
-                        if k == "n_tokens":
-                            out.append(encoder.count(slots))
-                        elif k == "ids":
-                            out.append(encoder.token_ids(slots))
-                        elif k == "decoded":
-                            out.append(decoded)
-                        else:
-                            out.append(hashlib.sha256((encoder.id_text(slots) if k == "ids_sha256" else decoded).encode()).hexdigest())
-                yield pa.record_batch([batch.column("doc_id"), *(pa.array(rows[k], _ARROW[k]) for k in outputs)], ["doc_id", *outputs])
+        try:
+            yield from _encoded(encoder, batches, outputs)
+        finally:
+            # Spark keeps the worker, and what it holds, beside the stages that come next
+            encoder.clear()
+            release_memory()
 
     return run
 
@@ -242,8 +251,8 @@ def bpe_encode(docs: DataFrame, vocabulary: str, outputs: tuple[str, ...] = ("n_
     vocabulary: a tokenizers file of word-level BPE whose pre-tokens never span white space and
     which has no decoder. The file is read on the driver and sent to the executors (a few MB,
     whatever the input). Null and empty texts have no tokens and decode to ''. Repeated rows come
-    back as often as they came in; doc_id may be null. No shuffle: each worker keeps bounded tables
-    of chunks and words.
+    back as often as they came in; doc_id may be null. No shuffle: each task keeps bounded tables of
+    chunks and words, and frees them at its end.
     """
     ship_code(docs.sparkSession)
     with open(vocabulary, encoding="utf-8") as f:

@@ -1,7 +1,9 @@
-"""Session plumbing shared by the text operators: checkpoints, code shipping, bounded bitmaps."""
+"""Session plumbing shared by the text operators: checkpoints, code shipping, bounded bitmaps, memory of workers."""
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import os
 import tempfile
@@ -57,6 +59,14 @@ def ship_code(spark: SparkSession) -> None:
     sc._readloom_shipped = True
 
 
+def release_memory() -> None:
+    """Give what this process has freed back to the system, as Spark reuses its Python workers."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def let(value: Column, body) -> Column:
     """body(value), with value evaluated once per row however often body names it."""
     return F.element_at(F.transform(F.array(value), body), 1)

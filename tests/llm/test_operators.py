@@ -6,8 +6,10 @@ import math
 import random
 import re
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -370,6 +372,25 @@ def test_bpe_equals_the_library(spark):
         assert json.load(f)["decoder"] is None
 
 
+def test_bpe_frees_its_tables_when_a_task_ends():
+    import public_tokenizers
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        source = SimpleNamespace(value=f.read())
+    run = bpe_chunks._encode_batches(source, ("n_tokens", "ids"))
+    batch = pa.record_batch([pa.array([1, 2]), pa.array(["some words of a text " * 50, "others"])], ["doc_id", "text"])
+    encoder = bpe_chunks._encoder(source.value)
+    first = list(run(iter([batch])))
+    assert first[0].column("n_tokens").to_pylist()[0] >= 250
+    assert not encoder.slots and not encoder.chunks and not encoder.ids and not encoder.token_texts
+    assert list(run(iter([batch]))) == first and bpe_chunks._encoder(source.value) is encoder
+    cut = run(iter([batch]))
+    next(cut)
+    assert encoder.slots
+    cut.close()
+    assert not encoder.slots and not encoder.chunks
+
+
 def brute_winnow(text, gram, span):
     hashes = winnowing.gram_hashes(winnowing._codes(text), gram).tolist()
     span = min(span, len(hashes))
